@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from ingot.functions.expr import column_fields, parse_id_list  # noqa: E402
+from ingot.functions.expr import parse_id_list  # noqa: E402
 from ingot.operators.dedup import latest_wins  # noqa: E402
 from ingot.operators.limit import RUN_HISTORY, SAMPLE_ROWS, first_n, newest_n  # noqa: E402
 from ingot.plans import catalog as cat  # noqa: E402
@@ -177,7 +177,7 @@ def q_catalog_bronze(spark, sf):
     configure(spark)
     rows = None
     for name in ("lineitem", "orders", "events"):
-        r = bronze.records_from_dataframe(roles.table(spark, sf, name), "tpch", name)
+        r = bronze.records_from_dataframe(roles.raw_table(spark, sf, name), "tpch", name)
         rows = r if rows is None else rows.unionByName(r)
     return bronze.catalog(rows)
 
@@ -215,7 +215,7 @@ def q_parse_id_list(spark, sf):
 def q_src_fixture_events(spark, sf):
     """A DataFrame source poured into bronze rows, parsed back into its schema."""
     configure(spark)
-    ev = roles.table(spark, sf, "events")
+    ev = roles.raw_table(spark, sf, "events")
     rows = ing.ingest_dataframe(ev, "fixture", "events")
     return bronze.typed(rows, ev.schema).drop("_seq")
 
@@ -224,7 +224,7 @@ def q_src_generic(spark, sf):
     """A reader format + options poured into bronze rows, parsed back."""
     configure(spark)
     rows = ing.ingest_format(spark, "parquet", "generic", "orders", path=f"{sf}/orders.parquet")
-    schema = roles.table(spark, sf, "orders").schema
+    schema = roles.raw_table(spark, sf, "orders").schema
     return bronze.typed(rows, schema).drop("_seq")
 
 
@@ -232,7 +232,7 @@ def q_bronze_roundtrip(spark, sf):
     """S9 + S10: append events to a bronze store in the checkpoint folder, scan them back."""
     configure(spark)
     root = scratch_path(spark, "bronze")
-    ev = roles.table(spark, sf, "events")
+    ev = roles.raw_table(spark, sf, "events")
     bronze.append(bronze.records_from_dataframe(ev, "fixture", "events"), root, [("fixture", "events")])
     return bronze.typed(bronze.scan(spark, root, "fixture", "events"), ev.schema).drop("_seq")
 

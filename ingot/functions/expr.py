@@ -18,17 +18,105 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FieldAccessor = Callable[[str], "Field"]
+
+# str() renderings that are falsy unless the value was a JSON string (fixed values).
+_AMBIGUOUS_TEXT = ("false", "[]", "{}")
+
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-FieldAccessor = Callable[[str], Column]
 
-# JSON spellings of falsy values whose type is not numeric (fixed values):
-# null, empty string, false, empty array, empty object.
-_FALSY_JSON = ("null", '""', "false", "[]", "{}")
+class Field:
+    """One field of a raw record, with Python's view of it.
+
+    ``raw`` is the field's Column; ``kind`` says how to read it: ``"json"`` for
+    a VARIANT value of unknown JSON type, else the Spark type of a typed column.
+    ``text``/``falsy`` take the staged columns (see :func:`stage_fields`) so the
+    expensive parts are evaluated once per row.
+    """
+
+    def __init__(self, raw: Column, kind: T.DataType | str):
+        self.raw = raw
+        self.kind = kind
+
+    @property
+    def is_json(self) -> bool:
+        return self.kind == "json"
+
+    def text(self, raw: Column | None = None) -> Column:
+        """``str(x)``, NULL when the value is None."""
+        r = self.raw if raw is None else raw
+        k = self.kind
+        if k == "json":
+            return F.try_variant_get(r, "$", "string")
+        if isinstance(k, T.StringType):
+            return r
+        if isinstance(k, T.BooleanType):
+            return F.when(r, F.lit("True")).when(~r, F.lit("False"))
+        if isinstance(k, (T.ArrayType, T.MapType, T.StructType)):
+            return F.to_json(r)
+        if isinstance(k, T.NullType):
+            return F.lit(None).cast("string")
+        return r.cast("string")
+
+    def falsy(self, raw: Column | None = None, text: Column | None = None) -> Column:
+        """Python falsiness; never NULL."""
+        r = self.raw if raw is None else raw
+        k = self.kind
+        if k == "json":
+            t = self.text(r) if text is None else text
+            candidate = t.isin(*_AMBIGUOUS_TEXT) | F.coalesce(t.try_cast("double") == F.lit(0.0), F.lit(False))
+            # to_json runs only for the rare ambiguous renderings ("0" vs 0)
+            return t.isNull() | (t == F.lit("")) | (candidate & ~F.to_json(r).startswith('"'))
+        if isinstance(k, T.StringType):
+            return r.isNull() | (r == F.lit(""))
+        if isinstance(k, _NUMERIC):
+            return r.isNull() | (r == F.lit(0))
+        if isinstance(k, T.BooleanType):
+            return r.isNull() | ~r
+        if isinstance(k, (T.ArrayType, T.MapType)):
+            return r.isNull() | (F.size(r) == F.lit(0))
+        return r.isNull()
+
+    def as_int(self, raw: Column | None = None) -> Column:
+        """Lenient int: ints stay, floats truncate, numeric strings parse, else NULL."""
+        r = self.raw if raw is None else raw
+        k = self.kind
+        if k == "json":
+            return F.try_variant_get(r, "$", "bigint")
+        if isinstance(k, (T.StringType, T.BooleanType) + _NUMERIC):
+            return r.try_cast("bigint")
+        return F.lit(None).cast("bigint")
+
+    def as_float(self, raw: Column | None = None) -> Column:
+        """Lenient float: numbers and numeric strings (nan, inf, 1e3) parse, else NULL."""
+        r = self.raw if raw is None else raw
+        k = self.kind
+        if k == "json":
+            return F.try_variant_get(r, "$", "double")
+        if isinstance(k, (T.StringType, T.BooleanType) + _NUMERIC):
+            return r.try_cast("double")
+        return F.lit(None).cast("double")
+
+    def as_str_array(self, raw: Column | None = None) -> Column:
+        """``[str(p) for p in (x or []) if p is not None]``; a non-array becomes ``[]``."""
+        r = self.raw if raw is None else raw
+        k = self.kind
+        if k == "json":
+            arr = F.try_variant_get(r, "$", "array<string>")
+        elif isinstance(k, T.ArrayType):
+            arr = F.transform(r, lambda x: x.cast("string"))
+        else:
+            arr = F.lit(None).cast("array<string>")
+        return F.coalesce(F.filter(arr, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
-# --------------------------------------------------------------------------- fields
 def _path(name: str) -> str:
     if name.replace("_", "").isalnum():
         return f"$.{name}"
@@ -38,33 +126,63 @@ def _path(name: str) -> str:
 def json_fields(record: str | Column = "record_v") -> FieldAccessor:
     """Field accessor over a VARIANT record column: absent field -> NULL."""
     rec = F.col(record) if isinstance(record, str) else record
-    return lambda name: F.try_variant_get(rec, _path(name), "variant")
+    return lambda name: Field(F.try_variant_get(rec, _path(name), "variant"), "json")
 
 
-def column_fields(columns: Iterable[str]) -> FieldAccessor:
-    """Field accessor over typed columns; names not in ``columns`` are absent."""
-    present = set(columns)
+def column_fields(schema: T.StructType | DataFrame) -> FieldAccessor:
+    """Field accessor over typed columns; names not in the schema are absent (None)."""
+    st = schema.schema if isinstance(schema, DataFrame) else schema
+    types = {f.name: f.dataType for f in st.fields}
 
-    def get(name: str) -> Column:
-        if name in present:
-            return F.col(name).cast("variant")
-        return F.lit(None).cast("variant")
+    def get(name: str) -> Field:
+        if name in types:
+            return Field(F.col(name), types[name])
+        return Field(F.lit(None), T.NullType())
 
     return get
 
 
+def stage_fields(df: DataFrame, fields: FieldAccessor, names: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Evaluate each field's raw value, ``str()`` and falsiness once per row.
+
+    Returns the staged DataFrame (columns ``_r_<n>``, ``_t_<n>``, ``_f_<n>`` plus
+    ``keep``) and a dict name -> Field whose methods read the staged raw column.
+    Staging matters for JSON fields: later CASE expressions reference the staged
+    columns several times, and Catalyst keeps non-trivial projections that are
+    referenced more than once instead of inlining them.
+    """
+    fs = {n: fields(n) for n in names}
+    s1 = df.select(*[fs[n].raw.alias(f"_r_{n}") for n in names], *keep)
+    s2 = s1.select("*", *[fs[n].text(F.col(f"_r_{n}")).alias(f"_t_{n}") for n in names])
+    s3 = s2.select(
+        "*", *[fs[n].falsy(F.col(f"_r_{n}"), F.col(f"_t_{n}")).alias(f"_f_{n}") for n in names]
+    )
+    staged = {n: Field(F.col(f"_r_{n}"), fs[n].kind) for n in names}
+    return s3, staged
+
+
+def text_or(*names: str, default: str | None = "") -> Column:
+    """``str(a or b or ... or default)`` over staged fields; ``default=None`` returns
+    the last operand's ``str()`` as Python's ``or`` does."""
+    ops = list(names)
+    if default is None:
+        *ops, last = ops
+        out = F.col(f"_t_{last}")
+    else:
+        out = F.lit(default)
+    for n in reversed(ops):
+        out = F.when(~F.col(f"_f_{n}"), F.col(f"_t_{n}")).otherwise(out)
+    return out
+
+
 # --------------------------------------------------------------------------- F1 truthiness
 def v_falsy(v: Column) -> Column:
-    """Python falsiness of a JSON value; never NULL.
+    """Python falsiness of a JSON (VARIANT) value; never NULL.
 
     Falsy: absent/null, ``""``, ``false``, any numeric zero (``0``, ``0.0``, ``-0.0``,
     ``0e5``), ``[]`` and ``{}``. A *string* ``"0"`` or ``"false"`` is truthy.
     """
-    j = F.to_json(v)
-    numeric_zero = F.coalesce(
-        (~j.startswith('"')) & (F.try_variant_get(v, "$", "double") == F.lit(0.0)), F.lit(False)
-    )
-    return v.isNull() | F.coalesce(j.isin(*_FALSY_JSON), F.lit(False)) | numeric_zero
+    return Field(v, "json").falsy()
 
 
 def v_or(*operands: Column) -> Column:
@@ -120,9 +238,7 @@ def s_float(c: Column) -> Column:
 # --------------------------------------------------------------------------- F5 / F6 arrays and ids
 def v_str_array(v: Column) -> Column:
     """``[str(p) for p in (x or []) if p is not None]``; a non-array value becomes ``[]``."""
-    arr = F.try_variant_get(v, "$", "array<string>")
-    cleaned = F.filter(arr, lambda x: x.isNotNull())
-    return F.coalesce(cleaned, F.array().cast("array<string>"))
+    return Field(v, "json").as_str_array()
 
 
 def v_id(v: Column) -> Column:
@@ -173,6 +289,7 @@ def inject_keys(payload_map: Column, **keys: Column | str | int) -> Column:
 
 
 # --------------------------------------------------------------------------- F12 id fallback
-def player_id(fields: FieldAccessor) -> Column:
-    """``str(player_id or id)``; NULL when the fallback yields None."""
-    return v_str(v_or(fields("player_id"), fields("id")))
+def player_id_text() -> Column:
+    """F12 over staged fields ``player_id`` and ``id``: ``str(player_id or id)``;
+    NULL when the fallback yields None."""
+    return text_or("player_id", "id", default=None)

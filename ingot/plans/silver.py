@@ -16,19 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingot.functions.expr import (
-    FieldAccessor,
-    json_fields,
-    player_id,
-    s_or,
-    v_falsy,
-    v_float,
-    v_int,
-    v_or,
-    v_str,
-    v_str_array,
-    v_str_or,
-)
+from ingot.functions.expr import FieldAccessor, json_fields, player_id_text, s_or, stage_fields, text_or
 from ingot.operators.dedup import FIRST_SEQ, SEQ, latest_wins
 from ingot.schema import SILVER_INJURY_KEYS, SILVER_LEAGUE_KEYS, SILVER_PLAYER_KEYS, SILVER_ROSTER_KEYS
 
@@ -39,20 +27,26 @@ def public(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- players
+_PLAYER_INPUTS = (
+    "player_id", "id", "display_name", "name", "position", "team", "status",
+    "injury_status", "age", "trending", "updated_at", "injury_updated",
+)
+
+
 def conform_players(records: DataFrame, fields: FieldAccessor | None = None, seq: str = SEQ) -> DataFrame:
     """P1 + P8: raw player record -> silver columns; records without an id are dropped."""
-    f = fields or json_fields()
-    conformed = records.select(
-        player_id(f).alias("player_id"),
-        v_str_or(f("display_name"), f("name")).alias("name"),
-        v_str_or(f("position")).alias("position"),
-        v_str_or(f("team")).alias("team"),
-        v_str_or(f("status")).alias("status"),
-        v_str_or(f("injury_status")).alias("injury_status"),
-        v_int(f("age")).alias("age"),
-        v_float(f("trending")).alias("trending"),
-        v_str(v_or(f("updated_at"), f("injury_updated"))).alias("updated_at"),
-        F.col(seq).alias(SEQ),
+    staged, f = stage_fields(records, fields or json_fields(), _PLAYER_INPUTS, [F.col(seq).alias(SEQ)])
+    conformed = staged.select(
+        player_id_text().alias("player_id"),
+        text_or("display_name", "name").alias("name"),
+        text_or("position").alias("position"),
+        text_or("team").alias("team"),
+        text_or("status").alias("status"),
+        text_or("injury_status").alias("injury_status"),
+        f["age"].as_int().alias("age"),
+        f["trending"].as_float().alias("trending"),
+        text_or("updated_at", "injury_updated", default=None).alias("updated_at"),
+        SEQ,
     )
     return conformed.where(F.col("player_id").isNotNull())
 
@@ -67,12 +61,11 @@ def players(records: DataFrame, fields: FieldAccessor | None = None, seq: str =
 # --------------------------------------------------------------------------- leagues
 def conform_leagues(records: DataFrame, fields: FieldAccessor | None = None, seq: str = SEQ) -> DataFrame:
     """P2 + P9: raw league record -> (league_id, name); falsy ids are dropped."""
-    f = fields or json_fields()
-    lid = f("league_id")
-    return records.where(~v_falsy(lid)).select(
-        v_str(lid).alias("league_id"),
-        v_str_or(f("name"), f("league_name")).alias("name"),
-        F.col(seq).alias(SEQ),
+    staged, _ = stage_fields(records, fields or json_fields(), ("league_id", "name", "league_name"), [F.col(seq).alias(SEQ)])
+    return staged.where(~F.col("_f_league_id")).select(
+        F.col("_t_league_id").alias("league_id"),
+        text_or("name", "league_name").alias("name"),
+        SEQ,
     )
 
 
@@ -93,10 +86,11 @@ def conform_rosters(records: DataFrame, fields: FieldAccessor | None = None, seq
     Unlike leagues, a roster keeps falsy-but-present ids such as ``0`` or ``""``.
     """
     f = fields or json_fields()
+    lid, rid, pl = f("league_id"), f("roster_id"), f("players")
     conformed = records.select(
-        v_str(f("league_id")).alias("league_id"),
-        v_str(f("roster_id")).alias("roster_id"),
-        v_str_array(f("players")).alias("players"),
+        lid.text().alias("league_id"),
+        rid.text().alias("roster_id"),
+        pl.as_str_array().alias("players"),
         F.col(seq).alias(SEQ),
     )
     return conformed.where(F.col("league_id").isNotNull() & F.col("roster_id").isNotNull())

@@ -20,15 +20,12 @@ LAYERS = ("bronze", "silver", "gold")
 # Session functions the SQL files use: Python truthiness on VARIANT values
 # and ``str(a or b or "")``; same definitions as ingot.functions.expr.
 _FUNCTIONS = (
-    """CREATE OR REPLACE TEMPORARY FUNCTION falsy(x VARIANT) RETURNS BOOLEAN
-RETURN x IS NULL
-  OR coalesce(to_json(x) IN ('null', '""', 'false', '[]', '{}'), false)
-  OR coalesce(NOT startswith(to_json(x), '"') AND try_variant_get(x, '$', 'double') = 0, false)""",
-    """CREATE OR REPLACE TEMPORARY FUNCTION str_or(a VARIANT, b VARIANT) RETURNS STRING
-RETURN CASE
-  WHEN NOT falsy(a) THEN try_variant_get(a, '$', 'string')
-  WHEN NOT falsy(b) THEN try_variant_get(b, '$', 'string')
-  ELSE '' END""",
+    # falsy(x, t): x is a VARIANT value, t its str() (try_variant_get(x, '$', 'string')).
+    # to_json runs only for the ambiguous renderings, to tell "0" from 0.
+    """CREATE OR REPLACE TEMPORARY FUNCTION falsy(x VARIANT, t STRING) RETURNS BOOLEAN
+RETURN t IS NULL OR t = ''
+  OR ((t IN ('false', '[]', '{}') OR coalesce(try_cast(t AS DOUBLE) = 0, false))
+      AND NOT startswith(to_json(x), '"'))""",
 )
 
 
