@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingot.operators.dedup import SEQ
+from ingot.schema import BRONZE as BRONZE_SCHEMA
 from ingot.schema import SEQ_FIELDS
 
 BRONZE_DIR = "bronze"
