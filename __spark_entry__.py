@@ -157,7 +157,7 @@ def _sql_inputs(spark, sf):
 def q_sql_bronze_players(spark, sf):
     _sql_inputs(spark, sf)
     b = sqlfiles.run_layer(spark, "bronze", ["players"])["players"]
-    return b.select(*[F.try_variant_get(F.col(c), "$", "string").alias(c) for c in roles.PLAYER_FIELDS])
+    return b.select(*[F.col(f"t_{c}").alias(c) for c in roles.PLAYER_FIELDS])
 
 
 def q_sql_silver_players(spark, sf):

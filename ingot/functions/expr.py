@@ -126,7 +126,16 @@ def _path(name: str) -> str:
 def json_fields(record: str | Column = "record_v") -> FieldAccessor:
     """Field accessor over a VARIANT record column: absent field -> NULL."""
     rec = F.col(record) if isinstance(record, str) else record
-    return lambda name: Field(F.try_variant_get(rec, _path(name), "variant"), "json")
+
+    def get(name: str) -> Field:
+        return Field(F.try_variant_get(rec, _path(name), "variant"), "json")
+
+    get.record = rec  # lets stage_fields extract many fields in one call
+    return get
+
+
+def _struct_of(names: Sequence[str], typ: str) -> str:
+    return "struct<" + ",".join(f"`{n}`:{typ}" for n in names) + ">"
 
 
 def column_fields(schema: T.StructType | DataFrame) -> FieldAccessor:
@@ -152,8 +161,21 @@ def stage_fields(df: DataFrame, fields: FieldAccessor, names: Sequence[str], kee
     referenced more than once instead of inlining them.
     """
     fs = {n: fields(n) for n in names}
-    s1 = df.select(*[fs[n].raw.alias(f"_r_{n}") for n in names], *keep)
-    s2 = s1.select("*", *[fs[n].text(F.col(f"_r_{n}")).alias(f"_t_{n}") for n in names])
+    rec = getattr(fields, "record", None)
+    if rec is not None:
+        # JSON record: one variant->struct cast yields every raw field, another every str()
+        s2 = df.select(
+            F.try_variant_get(rec, "$", _struct_of(names, "variant")).alias("_rs"),
+            F.try_variant_get(rec, "$", _struct_of(names, "string")).alias("_ts"),
+            *keep,
+        ).select(
+            *[F.col(f"_rs.`{n}`").alias(f"_r_{n}") for n in names],
+            *[F.col(f"_ts.`{n}`").alias(f"_t_{n}") for n in names],
+            *[c for c in df.select(*keep).columns],
+        )
+    else:
+        s1 = df.select(*[fs[n].raw.alias(f"_r_{n}") for n in names], *keep)
+        s2 = s1.select("*", *[fs[n].text(F.col(f"_r_{n}")).alias(f"_t_{n}") for n in names])
     s3 = s2.select(
         "*", *[fs[n].falsy(F.col(f"_r_{n}"), F.col(f"_t_{n}")).alias(f"_f_{n}") for n in names]
     )

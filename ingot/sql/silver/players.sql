@@ -1,25 +1,7 @@
 -- Silver: conformed players, latest record per player_id wins.
 -- falsy(x, t) is the session function registered by ingot.plans.sqlfiles
--- (Python truthiness of a JSON value x whose str() is t).
-WITH texts AS (
-  SELECT
-    player_id, id, display_name, name, position, team, status, injury_status, updated_at, injury_updated,
-    try_variant_get(player_id, '$', 'string') AS t_player_id,
-    try_variant_get(id, '$', 'string') AS t_id,
-    try_variant_get(display_name, '$', 'string') AS t_display_name,
-    try_variant_get(name, '$', 'string') AS t_name,
-    try_variant_get(position, '$', 'string') AS t_position,
-    try_variant_get(team, '$', 'string') AS t_team,
-    try_variant_get(status, '$', 'string') AS t_status,
-    try_variant_get(injury_status, '$', 'string') AS t_injury_status,
-    try_variant_get(updated_at, '$', 'string') AS t_updated_at,
-    try_variant_get(injury_updated, '$', 'string') AS t_injury_updated,
-    try_variant_get(age, '$', 'bigint') AS age,
-    try_variant_get(trending, '$', 'double') AS trending,
-    _seq
-  FROM bronze_players
-),
-conformed AS (
+-- (Python truthiness of a JSON value x whose str() is t); t_* come from the bronze view.
+WITH conformed AS (
   SELECT
     CASE WHEN NOT falsy(player_id, t_player_id) THEN t_player_id ELSE t_id END AS player_id,
     CASE WHEN NOT falsy(display_name, t_display_name) THEN t_display_name
@@ -28,11 +10,11 @@ conformed AS (
     CASE WHEN NOT falsy(team, t_team) THEN t_team ELSE '' END AS team,
     CASE WHEN NOT falsy(status, t_status) THEN t_status ELSE '' END AS status,
     CASE WHEN NOT falsy(injury_status, t_injury_status) THEN t_injury_status ELSE '' END AS injury_status,
-    age,
-    trending,
+    try_variant_get(age, '$', 'bigint') AS age,
+    try_variant_get(trending, '$', 'double') AS trending,
     CASE WHEN NOT falsy(updated_at, t_updated_at) THEN t_updated_at ELSE t_injury_updated END AS updated_at,
     _seq
-  FROM texts
+  FROM bronze_players
 ),
 latest AS (
   SELECT
