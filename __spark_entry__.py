@@ -33,6 +33,7 @@ from ingot.plans import sqlfiles  # noqa: E402
 from ingot.session import configure, scratch_path  # noqa: E402
 from ingot.sources import bronze  # noqa: E402
 from ingot.sources import ingest as ing  # noqa: E402
+from ingot.sources import landed  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 LEAGUE = "7"  # the league the single-league queries ask about
@@ -228,6 +229,20 @@ def q_src_generic(spark, sf):
     return bronze.typed(rows, schema).drop("_seq")
 
 
+def q_src_map_snapshot(spark, sf):
+    """A map snapshot of every part, landed as JSON shards, ingested into bronze
+    with the key injected as player_id, and read back."""
+    configure(spark)
+    root = scratch_path(spark, "landing")
+    part = roles.raw_table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("display_name"), F.col("p_type").alias("position"),
+        F.col("p_brand").alias("team"),
+    )
+    pattern = landed.land_map_snapshot(part, "p_partkey", root)
+    rows = landed.players_snapshot(spark, root, pattern=pattern)
+    return bronze.typed(rows, "player_id string, display_name string, position string, team string").drop("_seq")
+
+
 def q_bronze_roundtrip(spark, sf):
     """S9 + S10: append events to a bronze store in the checkpoint folder, scan them back."""
     configure(spark)
@@ -267,6 +282,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_fixture_events": q_src_fixture_events,
     "src_generic": q_src_generic,
     "bronze_roundtrip": q_bronze_roundtrip,
+    "src_map_snapshot": q_src_map_snapshot,
 }
 
 
@@ -390,6 +406,8 @@ _ORACLES: dict[str, str] = {
     "src_fixture_events": "select * from events",
     "src_generic": "select * from orders",
     "bronze_roundtrip": "select * from events",
+    "src_map_snapshot": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,
+        p_brand as team from part""",
 }
 
 

@@ -78,13 +78,15 @@ def _first_char(text: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- S5 broad snapshot
-def players_snapshot(spark: SparkSession, landing: str, batch_id: int | None = None) -> DataFrame:
+def players_snapshot(
+    spark: SparkSession, landing: str, batch_id: int | None = None, pattern: str = "players/*.json"
+) -> DataFrame:
     """Map payload -> one record per entry with the key injected as ``player_id``;
     a non-object value becomes ``{player_id, raw}``; a list payload is used as is;
     any other payload yields no rows."""
     configure(spark)
     bid = batch_id or bronze.new_batch_id()
-    t = _read_payloads(spark, f"{landing.rstrip('/')}/players/*.json")
+    t = _read_payloads(spark, f"{landing.rstrip('/')}/{pattern}")
     if t is None:
         return _empty(spark)
     first = _first_char(F.col("value"))
@@ -177,3 +179,30 @@ def ingest(spark: SparkSession, landing: str, root: str, league_id: str | list[s
         bronze.append(rows, root, [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")])
     else:
         bronze.append(players_snapshot(spark, landing), root, [(SOURCE_ID, "players")])
+
+
+# --------------------------------------------------------------------------- landing writers
+# Entries per landed snapshot shard (fixed value): keeps every shard document,
+# and so every parse task, bounded whatever the table size.
+SHARD_ENTRIES = 5000
+
+
+def land_map_snapshot(df: DataFrame, key: str, path: str, shard_entries: int = SHARD_ENTRIES) -> str:
+    """Write ``df`` as map-snapshot shards ``{key: {other columns}}`` under ``path``.
+
+    Rows are hashed into ``ceil(rows / shard_entries)`` shards; each shard
+    becomes one JSON document in its own directory. Returns the glob of the
+    shard files, relative to ``path``, for :func:`players_snapshot`.
+    """
+    n = max(1, -(-df.count() // shard_entries))
+    vals = [c for c in df.columns if c != key]
+    shards = (
+        df.select(
+            F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("shard"),
+            F.struct(F.col(key).cast("string").alias("k"), F.struct(*vals).alias("v")).alias("e"),
+        )
+        .groupBy("shard")
+        .agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value"))
+    )
+    shards.write.mode("overwrite").partitionBy("shard").text(f"{path.rstrip('/')}/players")
+    return "players/shard=*/*.txt"
