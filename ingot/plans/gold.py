@@ -17,8 +17,13 @@ from ingot.operators.joins import DEFAULT_BROADCAST_ROWS, anti_join, lookup_join
 from ingot.operators.limit import WAIVER_LIMIT, first_n
 from ingot.plans import silver as sv
 
-# League used when a request names none (fixed value; override per call).
-DEFAULT_LEAGUE_ID = "1261894762944802816"
+# League used when a request names none; set by the deployment (None = no default).
+DEFAULT_LEAGUE_ID: str | None = None
+
+
+def league_or_default(league_id: str | None, default: str | None = None) -> str | None:
+    """The given league, else the configured default."""
+    return league_id or default or DEFAULT_LEAGUE_ID
 
 
 def _requested(spark: SparkSession, league_ids: Iterable[str] | DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from ingot.functions.expr import inject_keys
 from ingot.session import configure
 from ingot.sources import bronze
 
-SOURCE_ID = "nfl_sleeper"
+SOURCE_ID = "league_api"
 PAYLOAD_MAP = "map<string,variant>"
 PAYLOAD_LIST = "array<variant>"
 

@@ -112,7 +112,7 @@ def merge_players(spark: SparkSession, path: str, new_records: DataFrame, versio
 
 
 def incremental_silver(
-    spark: SparkSession, root: str, silver_path: str, source_id: str = "nfl_sleeper", tbl: str = "players",
+    spark: SparkSession, root: str, silver_path: str, source_id: str = "league_api", tbl: str = "players",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Keep ``silver_path`` up to date with new bronze player rows."""

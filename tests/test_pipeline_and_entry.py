@@ -59,7 +59,7 @@ def test_pipeline_run_and_lazy_ingest(spark, landing, tmp_path):
     assert runs[0].ts >= runs[-1].ts and {r.kind for r in runs} == {"broad", "league"}
     datasets = cat.silver_gold_datasets(out["silver_players"], out["silver_league"], out["silver_rosters"])
     assert cat.sample_table(datasets, "silver", "players", n=2).count() == 2
-    assert cat.sample_table(datasets, "bronze", "nfl_sleeper", "nope", bronze_rows=spark.read.parquet(root + "/bronze")).count() == 0
+    assert cat.sample_table(datasets, "bronze", "league_api", "nope", bronze_rows=spark.read.parquet(root + "/bronze")).count() == 0
     with pytest.raises(KeyError):
         cat.sample_table(datasets, "gold", "nope")
     with pytest.raises(ValueError):

@@ -48,14 +48,14 @@ def test_league_scoped_ingest(spark, tmp_path):
     _land(land, "rosters/missing_league.json", [{"roster_id": 1, "league_id": "payload-wins"}])
     _land(land, "matchups/missing_league/1.json", [{"matchup_id": 1}])
     landed.ingest(spark, str(land), root, ["league_123", "missing_league", "nowhere"])
-    lg = _records(bronze.scan(spark, root, "nfl_sleeper", "league"))
+    lg = _records(bronze.scan(spark, root, "league_api", "league"))
     assert lg == [{"league_id": "league_123", "name": "My League", "status": "pre_draft"}]
-    ro = _records(bronze.scan(spark, root, "nfl_sleeper", "rosters"))
+    ro = _records(bronze.scan(spark, root, "league_api", "rosters"))
     assert sorted(r["league_id"] for r in ro) == ["league_123", "league_123", "payload-wins"]
-    mu = _records(bronze.scan(spark, root, "nfl_sleeper", "matchups"))
+    mu = _records(bronze.scan(spark, root, "league_api", "matchups"))
     assert all(m["week"] == 1 for m in mu) and len(mu) == 3
     assert {m["league_id"] for m in mu} == {"league_123", "missing_league"}
-    leagues = sv.leagues(bronze.parsed(bronze.scan(spark, root, "nfl_sleeper", "league")), json_fields())
+    leagues = sv.leagues(bronze.parsed(bronze.scan(spark, root, "league_api", "league")), json_fields())
     assert [r.name for r in leagues.collect()] == ["My League"]
 
 

@@ -17,9 +17,9 @@ def test_stream_to_bronze_then_incremental_silver(spark, tmp_path):
     land, root, silver = tmp_path / "land", str(tmp_path / "store"), str(tmp_path / "silver_players")
     ck1, ck2 = str(tmp_path / "ck1"), str(tmp_path / "ck2")
     _write(land / "a.jsonl", [{"player_id": "p1", "display_name": "Old"}, {"player_id": "p2", "display_name": "Two"}])
-    q = bs.stream_to_bronze(spark, str(land), root, "nfl_sleeper", "players", checkpoint=ck1)
+    q = bs.stream_to_bronze(spark, str(land), root, "league_api", "players", checkpoint=ck1)
     q.awaitTermination(120)
-    assert bronze.scan(spark, root, "nfl_sleeper", "players").count() == 2
+    assert bronze.scan(spark, root, "league_api", "players").count() == 2
     q = bs.incremental_silver(spark, root, silver, checkpoint=ck2)
     q.awaitTermination(120)
     cur = bs.read_current(spark, silver)
@@ -27,13 +27,13 @@ def test_stream_to_bronze_then_incremental_silver(spark, tmp_path):
 
     # second file: an update for p1 and a new player; only the new file is read
     _write(land / "b.jsonl", [{"player_id": "p1", "display_name": "New"}, {"player_id": "p3", "display_name": "Three"}])
-    bs.stream_to_bronze(spark, str(land), root, "nfl_sleeper", "players", checkpoint=ck1).awaitTermination(120)
-    assert bronze.scan(spark, root, "nfl_sleeper", "players").count() == 4
+    bs.stream_to_bronze(spark, str(land), root, "league_api", "players", checkpoint=ck1).awaitTermination(120)
+    assert bronze.scan(spark, root, "league_api", "players").count() == 4
     bs.incremental_silver(spark, root, silver, checkpoint=ck2).awaitTermination(120)
     cur = bs.read_current(spark, silver)
     got = {r.player_id: r.name for r in cur.collect()}
     assert got == {"p1": "New", "p2": "Two", "p3": "Three"}
     # the incremental result equals a full rebuild, first-seen order included
-    full = sv.players(bronze.parsed(bronze.scan(spark, root, "nfl_sleeper", "players")), json_fields())
+    full = sv.players(bronze.parsed(bronze.scan(spark, root, "league_api", "players")), json_fields())
     assert [r.player_id for r in full.orderBy("_first_seq").collect()] == [
         r.player_id for r in cur.orderBy("_first_seq").collect()] == ["p1", "p2", "p3"]
