@@ -292,8 +292,14 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_gold_available_players(spark, SMOKE_DIR)
 
 
+try:  # the training-data operators are a part that can be left out
+    from ingot.llm import queries as _llm
+except ImportError:
+    _llm = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(_llm.queries() if _llm else {})}
 
 
 # =========================================================================== oracles (DuckDB)
@@ -412,4 +418,5 @@ _ORACLES: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _ORACLES.items() if k in _QUERIES}
+    own = {k: v for k, v in _ORACLES.items() if k in _QUERIES}
+    return {**own, **(_llm.oracle_sql() if _llm else {})}

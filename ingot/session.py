@@ -59,18 +59,19 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for materialised intermediate data.
+    """The shared folder for materialised intermediate data: what ``spark.checkpoint.dir`` names.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system every executor sees). Only when the session has none - local tests,
-    the bench - do we make one, under the system temp folder.
+    Where it is unset, a session whose tasks all run in the driver's process
+    (local tests, the bench) gets a folder of its own; a cluster session is
+    refused, because its executors would not see a folder of one machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ingot-ckpt-")
-        sc.setCheckpointDir(current)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
