@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingot.session import checkpoint_root, configure
+from ingot.session import checkpoint_root, configure, scratch_path
 
 # Fixed by the contracts: a word is a run of characters other than space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -46,3 +48,19 @@ def words(text: Column) -> Column:
 def keyed(df: DataFrame, *key: Column) -> DataFrame:
     """The rows as one struct ``_row`` beside ``_k1``, ``_k2``, ...: no column name can clash."""
     return df.select(F.struct("*").alias("_row"), *[k.alias(f"_k{i}") for i, k in enumerate(key, 1)])
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows, written once to the shared checkpoint folder and read back.
+
+    Later steps then neither repeat the work nor depend on shuffle files of lost
+    executors, and the planner knows the size of what it joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ships(module: str) -> None:
+    """Send this module's functions to executors whole, as they need not have the library installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

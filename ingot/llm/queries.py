@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ingot.llm.common import read
+from ingot.llm.minhash import near_duplicates
+from ingot.llm.pii import find_pii
 from ingot.llm.quality import quality
 
+SHINGLE = 2  # words; fixed by the contract of operator 7
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=SHINGLE)
+
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op7_minhash": op7_minhash, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
