@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ingot.llm.common import read
+from ingot.llm import mixing
 from ingot.llm.minhash import near_duplicates
 from ingot.llm.pii import find_pii
 from ingot.llm.quality import quality
@@ -22,13 +23,17 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=SHINGLE)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op7_minhash": op7_minhash, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.ORACLE}
