@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ingot.llm.common import read
 from ingot.llm import mixing
 from ingot.llm.minhash import near_duplicates
+from ingot.llm.pieces import encode_documents
 from ingot.llm.pii import find_pii
 from ingot.llm.quality import quality
 
@@ -19,6 +20,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=SHINGLE)
 
@@ -32,7 +37,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op4_sentencepiece": op4_sentencepiece, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
