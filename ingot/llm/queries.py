@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ingot.llm.common import read
-from ingot.llm import mixing
+from ingot.llm.html import extract_pages
+from ingot.llm import mixing, sharding
 from ingot.llm.minhash import near_duplicates
 from ingot.llm.pieces import encode_documents
 from ingot.llm.pii import find_pii
@@ -20,6 +21,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
@@ -37,8 +46,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_sentencepiece": op4_sentencepiece, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_quality": op10_quality}
+    return {
+        "op1_pii": op1_pii,
+        "op2_sharding": op2_sharding,
+        "op3_html": op3_html,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op7_minhash": op7_minhash,
+        "op8_mixing": op8_mixing,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op2_sharding": sharding.ORACLE, "op8_mixing": mixing.ORACLE}
