@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ingot.llm.chat import formatted
 from ingot.llm.common import read
 from ingot.llm.html import extract_pages
 from ingot.llm import mixing, sharding
@@ -13,6 +14,7 @@ from ingot.llm.minhash import near_duplicates
 from ingot.llm.pieces import encode_documents
 from ingot.llm.pii import find_pii
 from ingot.llm.quality import quality
+from ingot.llm.warc import archived
 
 SHINGLE = 2  # words; fixed by the contract of operator 7
 
@@ -33,6 +35,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=SHINGLE)
 
@@ -41,6 +47,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted(read(spark, sf_dir, "conversations"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
@@ -51,8 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_html": op3_html,
         "op4_sentencepiece": op4_sentencepiece,
+        "op6_warc": op6_warc,
         "op7_minhash": op7_minhash,
         "op8_mixing": op8_mixing,
+        "op9_chat": op9_chat,
         "op10_quality": op10_quality,
     }
 
