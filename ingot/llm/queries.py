@@ -11,6 +11,7 @@ from ingot.llm.common import read
 from ingot.llm.html import extract_pages
 from ingot.llm import mixing, sharding
 from ingot.llm.minhash import near_duplicates
+from ingot.llm.mtree import top_k
 from ingot.llm.pieces import encode_documents
 from ingot.llm.pii import find_pii
 from ingot.llm.quality import quality
@@ -35,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(read(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_html": op3_html,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_mtree": op5_mtree,
         "op6_warc": op6_warc,
         "op7_minhash": op7_minhash,
         "op8_mixing": op8_mixing,
