@@ -8,6 +8,7 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DoubleType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -108,5 +109,6 @@ RUNS = StructType(
         StructField("kind", StringType(), False),
         StructField("league_id", StringType(), True),
         StructField("ts", TimestampType(), False),
+        StructField("seq", IntegerType(), False),
     ]
 )

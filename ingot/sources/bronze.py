@@ -1,9 +1,9 @@
 """Bronze store: append-only raw records with an explicit arrival sequence.
 
 At rest bronze is Parquet under ``{root}/bronze``, partitioned by
-``source_id`` and ``tbl`` so that reading one table prunes every other
-partition. A row holds one JSON record as text plus the sequence columns
-``(_batch_id, _file, _block, _pos)``: ``_batch_id`` grows per ingest call,
+``source_id``, ``tbl`` and ``_batch_id``, so that reading one table prunes every other
+partition and a repeated write of a batch replaces it. A row holds one JSON record as text plus the
+sequence columns ``(_batch_id, _file, _block, _pos)``: ``_batch_id`` is allocated by the store per append,
 ``_file``/``_block`` name the landed file and split, and ``_pos`` is a
 ``monotonically_increasing_id()`` assigned directly above the scan and then
 *persisted* - it is never recomputed by a query. Comparing the four fields in
@@ -15,7 +15,7 @@ Bad input is kept, not dropped: a malformed line is stored with
 
 from __future__ import annotations
 
-import time
+from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from ingot.operators.dedup import SEQ
 from ingot.schema import BRONZE as BRONZE_SCHEMA
 from ingot.schema import SEQ_FIELDS
+from ingot.sources import files
 
 BRONZE_DIR = "bronze"
 TABLES_DIR = "_tables"
+BATCHES_DIR = "_batches"
 
 # Lines made of whitespace only are skipped, as the reference strips lines (fixed pattern).
 _BLANK = r"^\s*$"
-# {root}/{source_id}/{table}.jsonl (fixed pattern for JSON Lines trees).
-_JSONL_PATH = r"([^/]+)/([^/]+)\.jsonl$"
+# {root}/{source_id}/{table}.jsonl, a file or a folder of files (fixed pattern for JSON Lines trees).
+_JSONL_PATH = r"([^/]+)/([^/]+)\.jsonl(?:/[^/]+)?$"
 # Timestamps keep microseconds in JSON records (Spark's default drops them).
 JSON_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -39,9 +41,22 @@ JSON_OPTIONS = {
 }
 
 
-def new_batch_id() -> int:
-    """Monotone id of one ingest call: driver time in microseconds."""
-    return time.time_ns() // 1000
+def allocate_batch(spark: SparkSession, root: str, key: str | None = None) -> int:
+    """The store's next batch id, whichever driver asks: the number whose file this call created.
+
+    A ``key`` (of a stream's micro-batch, say) always gets the same number.
+    """
+    folder = f"{root.rstrip('/')}/{BATCHES_DIR}"
+    while True:
+        known = [n.rpartition("=") for n in files.names(spark, folder)]
+        mine = [int(n) for k, _, n in known if key and k == key]
+        if mine:
+            return min(mine)
+        number = 1 + max([0, *(int(n) for _, _, n in known)])
+        if files.create(spark, f"{folder}/{number:012d}"):
+            if key:
+                files.create(spark, f"{folder}/{key}={number:012d}")
+            return number
 
 
 def _with_file_metadata(df: DataFrame) -> DataFrame:
@@ -69,7 +84,7 @@ def _bronze_row(record: Column, is_malformed: Column, source_id: str | Column, t
     ]
 
 
-def records_from_dataframe(df: DataFrame, source_id: str, tbl: str, batch_id: int | None = None) -> DataFrame:
+def records_from_dataframe(df: DataFrame, source_id: str, tbl: str, batch_id: int = 0) -> DataFrame:
     """Bronze rows from any DataFrame, one JSON record per row.
 
     Must be applied to the DataFrame as read (file metadata and the position id
@@ -78,26 +93,26 @@ def records_from_dataframe(df: DataFrame, source_id: str, tbl: str, batch_id: in
     cols = [F.col(f"`{c}`") for c in df.columns]
     base = _with_file_metadata(df)
     return base.select(
-        *_bronze_row(F.to_json(F.struct(*cols), JSON_OPTIONS), F.lit(False), source_id, tbl, batch_id or new_batch_id())
+        *_bronze_row(F.to_json(F.struct(*cols), JSON_OPTIONS), F.lit(False), source_id, tbl, batch_id)
     )
 
 
-def records_from_json_column(df: DataFrame, json_col: str, source_id: str, tbl: str, batch_id: int | None = None) -> DataFrame:
+def records_from_json_column(df: DataFrame, json_col: str, source_id: str, tbl: str, batch_id: int = 0) -> DataFrame:
     """Bronze rows from a column that already holds one JSON record per row."""
     base = df if "_file" in df.columns else _with_file_metadata(df)
     rec = F.col(json_col)
-    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), source_id, tbl, batch_id or new_batch_id()))
+    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), source_id, tbl, batch_id))
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], source_id: str, tbl: str, batch_id: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, paths: str | list[str], source_id: str, tbl: str, batch_id: int = 0) -> DataFrame:
     """Bronze rows from JSON Lines files; blank lines skipped, bad lines flagged."""
     text = spark.read.text(paths)
     base = _with_file_metadata(text).where(~F.col("value").rlike(_BLANK))
     rec = F.col("value")
-    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), source_id, tbl, batch_id or new_batch_id()))
+    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), source_id, tbl, batch_id))
 
 
-def read_jsonl_tree(spark: SparkSession, root: str, batch_id: int | None = None) -> DataFrame:
+def read_jsonl_tree(spark: SparkSession, root: str, batch_id: int = 0) -> DataFrame:
     """Every ``{root}/{source_id}/{table}.jsonl`` in one distributed scan.
 
     Source and table come from the file path, so all tables load in one job.
@@ -107,32 +122,40 @@ def read_jsonl_tree(spark: SparkSession, root: str, batch_id: int | None = None)
     rec = F.col("value")
     src = F.regexp_extract(F.col("_file"), _JSONL_PATH, 1)
     tbl = F.regexp_extract(F.col("_file"), _JSONL_PATH, 2)
-    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), src, tbl, batch_id or new_batch_id()))
+    return base.select(*_bronze_row(rec, F.try_parse_json(rec).isNull(), src, tbl, batch_id))
 
 
 # --------------------------------------------------------------------------- sink
-def append(rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None) -> None:
-    """Append bronze rows (Parquet, partitioned by source and table).
+def append(rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None, key: str | None = None) -> int:
+    """Append bronze rows as one batch; returns its id.
 
-    Every table written is also recorded in a small listing, so a table
-    appended with zero rows still shows in the catalog with count 0. Pass
-    ``tables`` when the caller knows them (saves a second pass over ``rows``).
-    Spark's commit protocol makes the append safe against task retries.
+    The batch is written to partitions of its own. With a ``key``, a repeated append replaces
+    those of the first one. Spark's commit protocol makes the write safe against task retries.
+    ``tables`` names those that may get no rows: they are listed with count 0.
     """
-    spark = rows.sparkSession
-    rows.write.mode("append").partitionBy("source_id", "tbl").parquet(f"{root.rstrip('/')}/{BRONZE_DIR}")
-    if tables is not None:
-        listing = spark.createDataFrame(list(tables), "source_id string, tbl string")
-    else:
-        listing = rows.select("source_id", "tbl").distinct()
-    listing.write.mode("append").parquet(f"{root.rstrip('/')}/{TABLES_DIR}")
+    spark, root = rows.sparkSession, root.rstrip("/")
+    number = allocate_batch(spark, root, key)
+    rows = rows.withColumn("_batch_id", F.lit(number).cast("long"))
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("source_id", "tbl", "_batch_id").parquet(f"{root}/{BRONZE_DIR}")
+    for source_id, tbl in tables or []:
+        register_table(spark, root, source_id, tbl)
+    return number
 
 
 def register_table(spark: SparkSession, root: str, source_id: str, tbl: str) -> None:
-    """Record a (possibly empty) table in the listing."""
-    spark.createDataFrame([(source_id, tbl)], "source_id string, tbl string").write.mode("append").parquet(
-        f"{root.rstrip('/')}/{TABLES_DIR}"
-    )
+    """List a (possibly empty) table: one marker file for each table, however often it is appended to."""
+    files.create(spark, f"{root.rstrip('/')}/{TABLES_DIR}/{_escaped(source_id)}={_escaped(tbl)}")
+
+
+def _escaped(name: str) -> str:
+    return quote(name, safe="")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(source_id, tbl) of the listed tables."""
+    found = [n.split("=") for n in files.names(spark, f"{root.rstrip('/')}/{TABLES_DIR}")]
+    return spark.createDataFrame([(unquote(s), unquote(t)) for s, t in found], "source_id string, tbl string")
 
 
 def export_jsonl(rows: DataFrame, path: str) -> None:
@@ -145,7 +168,7 @@ def export_jsonl(rows: DataFrame, path: str) -> None:
 # --------------------------------------------------------------------------- scan
 def scan(spark: SparkSession, root: str, source_id: str | None = None, tbl: str | None = None) -> DataFrame:
     """Bronze rows, optionally of one source/table (partition-pruned at the scan)."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{BRONZE_DIR}")
+    df = spark.read.schema(BRONZE_SCHEMA).parquet(f"{root.rstrip('/')}/{BRONZE_DIR}")
     if source_id is not None:
         df = df.where(F.col("source_id") == F.lit(source_id))
     if tbl is not None:
@@ -199,14 +222,12 @@ def catalog(rows: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """
     counts = rows.groupBy("source_id", "tbl").agg(F.count(F.lit(1)).alias("row_count"))
     if listing is not None:
-        counts = listing.select("source_id", "tbl").distinct().join(counts, ["source_id", "tbl"], "left").select(
-            "source_id", "tbl", F.coalesce(F.col("row_count"), F.lit(0)).alias("row_count")
-        )
+        named = listing.select("source_id", "tbl", F.lit(0).cast("long").alias("row_count"))
+        counts = counts.unionByName(named).groupBy("source_id", "tbl").agg(F.sum("row_count").alias("row_count"))
     return counts.select(
         F.lit("bronze").alias("layer"), "source_id", F.col("tbl").alias("name"), F.col("row_count").cast("long").alias("row_count")
     )
 
 
 def catalog_at(spark: SparkSession, root: str) -> DataFrame:
-    listing = spark.read.parquet(f"{root.rstrip('/')}/{TABLES_DIR}")
-    return catalog(scan(spark, root), listing)
+    return catalog(scan(spark, root), listing(spark, root))

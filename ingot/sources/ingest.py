@@ -65,7 +65,7 @@ def register_datasource(spark: SparkSession, cls) -> str:
     name = cls.name()
 
     def reader(spark: SparkSession, **options) -> DataFrame:
-        return read_format(spark, name, None, None, **options)
+        return read_format(spark, name, **options)
 
     register_source(name, reader)
     return name

@@ -3,15 +3,21 @@
 The upstream API is not called from Spark. Its JSON responses are landed as
 files, and one distributed scan turns any number of them into bronze rows:
 
-    {landing}/players/*.json                  map {player_id: player} (or a list), one file per shard
+    {landing}/players/*.json                  map {player_id: player} (or a list), one document per file
+    {landing}/players/*.jsonl                 the same, one document per line
     {landing}/league/{league_id}.json         one league object (``null`` / absent = no league)
     {landing}/rosters/{league_id}.json        list of roster objects
     {landing}/matchups/{league_id}/{week}.json list of matchup objects
+    {landing}/{league,rosters,matchups}/*.jsonl  the same for many leagues: a line {league_id, week, payload: text} each
 
 League id and week come from the file path, so ingesting many leagues is one
-job, not a loop. Each payload file is read whole (``wholetext``) and parsed
-by one task; a large snapshot should be landed as several shard files, after
-which the work is spread like any other scan.
+job, not a loop. A ``.json`` payload is parsed by one task; a large snapshot
+should be landed as many files or as lines, and its entries are dealt out
+again after the parse.
+
+Nothing is lost: a payload that is not JSON is one row with its whole text and
+``is_malformed``; so is each element (and each league payload) that is JSON but no
+object, because no key can be injected into it.
 
 Key injection follows ``{"league_id": L, **payload}``: the payload wins when
 it carries the key itself, even with a null value.
@@ -19,51 +25,41 @@ it carries the key itself, even with a null value.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingot.functions.expr import inject_keys
 from ingot.session import configure
-from ingot.sources import bronze
+from ingot.sources import bronze, files
 
 SOURCE_ID = "league_api"
 PAYLOAD_MAP = "map<string,variant>"
 PAYLOAD_LIST = "array<variant>"
 
-_GLOB_SPECIAL = re.compile(r"([\\{}\[\]*?,])")
-
-
-def _escape(part: str) -> str:
-    return _GLOB_SPECIAL.sub(r"\\\1", part)
-
-
-def _ids_glob(ids: list[str]) -> str:
-    esc = [_escape(str(i)) for i in ids]
-    return esc[0] if len(esc) == 1 else "{" + ",".join(esc) + "}"
+Leagues = list[str] | DataFrame
 
 
-def _read_payloads(spark: SparkSession, pattern: str) -> DataFrame | None:
-    """Whole files as rows ``(value, _file, _block)``; None when nothing matches."""
-    try:
-        df = spark.read.option("wholetext", True).text(pattern)
-    except AnalysisException:
+def _read_payloads(spark: SparkSession, pattern: str, whole: bool = True) -> DataFrame | None:
+    """Documents as rows ``(value, doc VARIANT, _file, _block)``; None when no file matches."""
+    if not files.matches(spark, pattern):
         return None
+    df = spark.read.option("wholetext", whole).text(pattern)
+    if not whole:
+        df = df.where(~F.col("value").rlike(r"^\s*$"))
     return df.select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+        "value", F.try_parse_json("value").alias("doc"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
     )
 
 
-def _rows(df: DataFrame, record: Column, pos: Column, tbl: str, batch_id: int) -> DataFrame:
+def _rows(df: DataFrame, record: Column, pos: Column, bad: Column, tbl: str, batch_id: int) -> DataFrame:
     return df.select(
         F.lit(batch_id).cast("long").alias("_batch_id"),
         "_file",
         F.col("_block").cast("long").alias("_block"),
         pos.cast("long").alias("_pos"),
         record.alias("record"),
-        F.lit(False).alias("is_malformed"),
+        bad.alias("is_malformed"),
         F.lit(SOURCE_ID).alias("source_id"),
         F.lit(tbl).alias("tbl"),
     )
@@ -73,136 +69,143 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], bronze.BRONZE_SCHEMA)
 
 
-def _first_char(text: Column) -> Column:
-    return F.substring(F.ltrim(F.regexp_replace(text, r"^\s+", "")), 1, 1)
+def _item(key: Column, value: Column, text: Column) -> Column:
+    """An entry of a payload, or (with text) a payload that could not be parsed."""
+    return F.struct(key.cast("string").alias("k"), value.alias("v"), text.cast("string").alias("bad"))
+
+
+def _items(as_map: Column | None = None) -> Column:
+    """The payload's entries; one marked entry if it isn't JSON, none if it is neither a map nor a list."""
+    none = F.lit(None)
+    as_list = F.transform(F.try_variant_get("doc", "$", PAYLOAD_LIST), lambda v: _item(none, v, none))
+    out = F.when(F.col("doc").isNull(), F.array(_item(none, none.cast("variant"), F.col("value"))))
+    if as_map is not None:
+        out = out.when(as_map.isNotNull(), F.transform(F.map_entries(as_map), lambda e: _item(e["key"], e["value"], none)))
+    return out.otherwise(as_list)
 
 
 # --------------------------------------------------------------------------- S5 broad snapshot
 def players_snapshot(
-    spark: SparkSession, landing: str, batch_id: int | None = None, pattern: str = "players/*.json"
+    spark: SparkSession, landing: str, batch_id: int = 0, pattern: str = "players/*.json", whole: bool = True
 ) -> DataFrame:
     """Map payload -> one record per entry with the key injected as ``player_id``;
     a non-object value becomes ``{player_id, raw}``; a list payload is used as is;
-    any other payload yields no rows."""
+    any other payload yields no rows. ``whole=False``: one payload per line."""
     configure(spark)
-    bid = batch_id or bronze.new_batch_id()
-    t = _read_payloads(spark, f"{landing.rstrip('/')}/{pattern}")
+    t = _read_payloads(spark, f"{landing.rstrip('/')}/{pattern}", whole)
     if t is None:
         return _empty(spark)
-    first = _first_char(F.col("value"))
-    as_map = F.from_json(F.col("value"), PAYLOAD_MAP)
-    as_list = F.from_json(F.col("value"), PAYLOAD_LIST)
-    items = F.when(
-        first == "{", F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-    ).when(first == "[", F.transform(as_list, lambda x: F.struct(F.lit(None).cast("string").alias("k"), x.alias("v"))))
-    ex = t.select("_file", "_block", F.posexplode(items).alias("_p", "item"))
-    k, v = F.col("item.k"), F.col("item.v")
+    items = _items(F.try_variant_get("doc", "$", PAYLOAD_MAP))
+    if whole:
+        ex = t.select("_file", "_block", F.posexplode(items).alias("_p", "item")).repartition("_file", "_p")
+    else:
+        # lines keep the order of the scan; positions are taken above it and written with the rows
+        ex = t.select("_file", "_block", F.explode(items).alias("item")).withColumn("_p", F.monotonically_increasing_id())
+    k, v, bad = F.col("item.k"), F.col("item.v"), F.col("item.bad")
     obj = F.try_variant_get(v, "$", PAYLOAD_MAP)
     rec = (
-        F.when(k.isNull(), F.to_json(v))
+        F.when(bad.isNotNull(), bad)
+        .when(k.isNull(), F.to_json(v))
         .when(obj.isNotNull(), F.to_json(inject_keys(obj, player_id=k)))
         .otherwise(F.to_json(F.create_map(F.lit("player_id"), k.cast("variant"), F.lit("raw"), v)))
     )
-    return _rows(ex, rec, F.col("_p"), "players", bid)
+    return _rows(ex, rec, F.col("_p"), bad.isNotNull(), "players", batch_id)
 
 
 # --------------------------------------------------------------------------- S6 league scoped
-def _league_from_path(kind: str) -> Column:
-    return F.regexp_extract(F.col("_file"), rf"/{kind}/([^/]+)\.json$", 1)
+def _of_leagues(
+    spark: SparkSession, landing: str, pattern: str, path: str, league_ids: Leagues, lines: bool, week: int | None = None
+) -> DataFrame | None:
+    """The payloads of the requested leagues, with their id from the file path or the line."""
+    folder = f"{landing.rstrip('/')}/{pattern.split('/')[0]}"
+    t = _read_payloads(spark, f"{folder}/*.jsonl" if lines else f"{landing.rstrip('/')}/{pattern}", not lines)
+    if t is None:
+        return None
+    if lines:
+        line = F.from_json("value", "league_id string, week bigint, payload string")
+        t = t.withColumn("_l", line).where(F.lit(True) if week is None else F.col("_l.week") == week)
+        t = t.select(
+            F.col("_l.payload").alias("value"), F.try_parse_json("_l.payload").alias("doc"), "_file", "_block",
+            F.col("_l.league_id").alias("_league"),
+        )
+    else:
+        t = t.withColumn("_league", F.regexp_extract("_file", path, 1))
+    if isinstance(league_ids, DataFrame):
+        ids = league_ids.select(F.col(league_ids.columns[0]).cast("string").alias("_league"))
+        return t.join(ids, "_league", "left_semi")
+    return t.where(F.col("_league").isin([str(i) for i in league_ids]))
 
 
-def league_records(spark: SparkSession, landing: str, league_ids: list[str], batch_id: int | None = None) -> DataFrame:
+def league_records(spark: SparkSession, landing: str, league_ids: Leagues, batch_id: int = 0, lines: bool = False) -> DataFrame:
     """One record per league payload, ``league_id`` injected; null/absent -> no row."""
     configure(spark)
-    bid = batch_id or bronze.new_batch_id()
-    t = _read_payloads(spark, f"{landing.rstrip('/')}/league/{_ids_glob(league_ids)}.json")
+    t = _of_leagues(spark, landing, "league/*.json", r"/league/([^/]+)\.json$", league_ids, lines)
     if t is None:
         return _empty(spark)
-    m = F.from_json(F.col("value"), PAYLOAD_MAP)
-    t = t.where(_first_char(F.col("value")) == "{")
-    rec = F.to_json(inject_keys(m, league_id=_league_from_path("league")))
-    return _rows(t, rec, F.lit(0), "league", bid)
+    obj = F.try_variant_get("doc", "$", PAYLOAD_MAP)
+    t = t.where(F.col("doc").isNull() | ~F.is_variant_null("doc")).withColumn("_obj", obj)
+    rec = F.when(F.col("_obj").isNull(), F.col("value")).otherwise(F.to_json(inject_keys(F.col("_obj"), league_id=F.col("_league"))))
+    return _rows(t, rec, F.monotonically_increasing_id() if lines else F.lit(0), F.col("_obj").isNull(), "league", batch_id)
 
 
-def _list_records(t: DataFrame, tbl: str, inject: dict[str, Column], bid: int) -> DataFrame:
+def _list_records(t: DataFrame, tbl: str, inject: dict[str, Column], batch_id: int, lines: bool) -> DataFrame:
     ex = t.select(
-        "_file", "_block", *[c.alias(f"_inj_{k}") for k, c in inject.items()],
-        F.posexplode(F.from_json(F.col("value"), PAYLOAD_LIST)).alias("_p", "elem"),
+        "_file", "_block", *[c.alias(f"_inj_{k}") for k, c in inject.items()], F.posexplode(_items()).alias("_p", "item")
+    )
+    v, bad = F.col("item.v"), F.col("item.bad")
+    ex = ex.withColumn("_obj", F.try_variant_get(v, "$", PAYLOAD_MAP))
+    if lines:  # a file holds many payloads: positions in the order of the scan
+        ex = ex.withColumn("_p", F.monotonically_increasing_id())
+    rec = (
+        F.when(bad.isNotNull(), bad)
+        .when(F.col("_obj").isNull(), F.to_json(v))
+        .otherwise(F.to_json(inject_keys(F.col("_obj"), **{k: F.col(f"_inj_{k}") for k in inject})))
     )
-    obj = F.try_variant_get(F.col("elem"), "$", PAYLOAD_MAP)
-    ex = ex.where(obj.isNotNull())  # non-object elements cannot take injected keys
-    rec = F.to_json(inject_keys(obj, **{k: F.col(f"_inj_{k}") for k in inject}))
-    return _rows(ex, rec, F.col("_p"), tbl, bid)
+    return _rows(ex, rec, F.col("_p"), F.col("_obj").isNull(), tbl, batch_id)
 
 
-def roster_records(spark: SparkSession, landing: str, league_ids: list[str], batch_id: int | None = None) -> DataFrame:
+def roster_records(spark: SparkSession, landing: str, league_ids: Leagues, batch_id: int = 0, lines: bool = False) -> DataFrame:
     """One record per roster, ``league_id`` injected; a non-list payload -> no rows."""
     configure(spark)
-    bid = batch_id or bronze.new_batch_id()
-    t = _read_payloads(spark, f"{landing.rstrip('/')}/rosters/{_ids_glob(league_ids)}.json")
+    t = _of_leagues(spark, landing, "rosters/*.json", r"/rosters/([^/]+)\.json$", league_ids, lines)
     if t is None:
         return _empty(spark)
-    return _list_records(t, "rosters", {"league_id": _league_from_path("rosters")}, bid)
+    return _list_records(t, "rosters", {"league_id": F.col("_league")}, batch_id, lines)
 
 
 def matchup_records(
-    spark: SparkSession, landing: str, league_ids: list[str], week: int = 1, batch_id: int | None = None
+    spark: SparkSession, landing: str, league_ids: Leagues, week: int = 1, batch_id: int = 0, lines: bool = False
 ) -> DataFrame:
     """One record per matchup, ``league_id`` and ``week`` injected."""
     configure(spark)
-    bid = batch_id or bronze.new_batch_id()
-    t = _read_payloads(spark, f"{landing.rstrip('/')}/matchups/{_ids_glob(league_ids)}/{int(week)}.json")
+    path = r"/matchups/([^/]+)/[^/]+\.json$"
+    t = _of_leagues(spark, landing, f"matchups/*/{int(week)}.json", path, league_ids, lines, int(week))
     if t is None:
         return _empty(spark)
-    lid = F.regexp_extract(F.col("_file"), r"/matchups/([^/]+)/[^/]+\.json$", 1)
-    wk = F.regexp_extract(F.col("_file"), r"/([^/]+)\.json$", 1).cast("bigint")
-    return _list_records(t, "matchups", {"league_id": lid, "week": wk}, bid)
+    return _list_records(t, "matchups", {"league_id": F.col("_league"), "week": F.lit(int(week)).cast("bigint")}, batch_id, lines)
 
 
-def league_scoped(spark: SparkSession, landing: str, league_ids: list[str], week: int = 1, batch_id: int | None = None) -> DataFrame:
+def league_scoped(spark: SparkSession, landing: str, league_ids: Leagues, week: int = 1, batch_id: int = 0) -> DataFrame:
     """League, rosters and matchups of many leagues as one DataFrame (one write).
     Rosters and matchups are ingested even when the league payload is missing."""
-    bid = batch_id or bronze.new_batch_id()
-    return (
-        league_records(spark, landing, league_ids, bid)
-        .unionByName(roster_records(spark, landing, league_ids, bid))
-        .unionByName(matchup_records(spark, landing, league_ids, week, bid))
-    )
+    out = _empty(spark)
+    for lines in (False, True):
+        out = (
+            out.unionByName(league_records(spark, landing, league_ids, batch_id, lines))
+            .unionByName(roster_records(spark, landing, league_ids, batch_id, lines))
+            .unionByName(matchup_records(spark, landing, league_ids, week, batch_id, lines))
+        )
+    return out
 
 
 # --------------------------------------------------------------------------- S7 dispatch
-def ingest(spark: SparkSession, landing: str, root: str, league_id: str | list[str] | None = None, week: int = 1) -> None:
-    """Truthy ``league_id`` (or a list) -> league-scoped ingest, else the broad snapshot."""
-    if league_id:
-        ids = [league_id] if isinstance(league_id, str) else list(league_id)
+def ingest(spark: SparkSession, landing: str, root: str, league_id: str | Leagues | None = None, week: int = 1) -> None:
+    """A league id (or a list, or a DataFrame of ids) -> league-scoped ingest, else the broad snapshot."""
+    if isinstance(league_id, DataFrame) or league_id:
+        ids = [league_id] if isinstance(league_id, str) else league_id
         rows = league_scoped(spark, landing, ids, week)
         bronze.append(rows, root, [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")])
     else:
-        bronze.append(players_snapshot(spark, landing), root, [(SOURCE_ID, "players")])
-
-
-# --------------------------------------------------------------------------- landing writers
-# Entries per landed snapshot shard (fixed value): keeps every shard document,
-# and so every parse task, bounded whatever the table size.
-SHARD_ENTRIES = 5000
-
-
-def land_map_snapshot(df: DataFrame, key: str, path: str, shard_entries: int = SHARD_ENTRIES) -> str:
-    """Write ``df`` as map-snapshot shards ``{key: {other columns}}`` under ``path``.
-
-    Rows are hashed into ``ceil(rows / shard_entries)`` shards; each shard
-    becomes one JSON document in its own directory. Returns the glob of the
-    shard files, relative to ``path``, for :func:`players_snapshot`.
-    """
-    n = max(1, -(-df.count() // shard_entries))
-    vals = [c for c in df.columns if c != key]
-    shards = (
-        df.select(
-            F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("shard"),
-            F.struct(F.col(key).cast("string").alias("k"), F.struct(*vals).alias("v")).alias("e"),
-        )
-        .groupBy("shard")
-        .agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value"))
-    )
-    shards.write.mode("overwrite").partitionBy("shard").text(f"{path.rstrip('/')}/players")
-    return "players/shard=*/*.txt"
+        rows = players_snapshot(spark, landing)
+        rows = rows.unionByName(players_snapshot(spark, landing, pattern="players/*.jsonl", whole=False))
+        bronze.append(rows, root, [(SOURCE_ID, "players")])
