@@ -2,34 +2,36 @@
 
 X1 ``stream_to_bronze``: JSON Lines files landing in a directory are picked
 up by a file stream and appended to bronze by ``foreachBatch``; positions are
-taken directly above the micro-batch scan, as for batch ingest. The stream's
-checkpoint lives in the shared checkpoint folder, so a restarted query resumes
-where it stopped. A replayed micro-batch appends identical records again;
-latest-wins deduplication makes silver insensitive to such copies.
-
-X2 ``incremental_silver``: each micro-batch of new bronze rows is conformed,
-unioned with the current silver version and deduplicated once more (latest
-wins is associative: the winner over old ∪ new equals the winner over all
-rows). The result goes to a *new* version directory and a pointer file is
-switched afterwards, so readers never see a half-written version and a path
-is never overwritten while being read.
+taken directly above the micro-batch scan, as for batch ingest. The checkpoint
+lies in the store by default, so a restarted query resumes where it stopped. A
+micro-batch has one batch id in the store, and a replay replaces what the first attempt wrote.
+
+X2 ``incremental_silver``: silver is kept in buckets by key hash. A micro-batch of
+new bronze rows is conformed, unioned with the buckets its keys fall into, and deduplicated
+once more (latest wins is associative: the winner over old and new equals the winner over all
+rows). The new buckets go to a folder of their own, and a new manifest (a line for each
+bucket) is published afterwards; nothing that a reader may hold is overwritten, and a crash
+at any point leaves the last manifest. A replay merges the same rows again, which changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ingot.functions.expr import json_fields
-from ingot.operators.dedup import FIRST_SEQ, SEQ, latest_wins
+from ingot.operators.dedup import FIRST_SEQ, SEQ
 from ingot.plans import silver as sv
-from ingot.session import configure, scratch_path
-from ingot.sources import bronze
 from ingot.schema import SILVER_PLAYER_KEYS
+from ingot.session import configure
+from ingot.sources import bronze, files
 
 _BLANK = r"^\s*$"
+BUCKETS = 64
 
 
 def stream_to_bronze(
@@ -50,10 +52,13 @@ def stream_to_bronze(
     src = reader.load(landing_dir).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
+    place = hashlib.sha256(landing_dir.encode()).hexdigest()[:12]
+    checkpoint = checkpoint or f"{root.rstrip('/')}/_streams/{source_id}-{tbl}-{place}"
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where(~F.col("value").rlike(_BLANK)).select(
-            F.lit(bronze.new_batch_id()).cast("long").alias("_batch_id"),
+            F.lit(0).cast("long").alias("_batch_id"),
             "_file",
             F.col("_block").cast("long").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"),
@@ -62,53 +67,51 @@ def stream_to_bronze(
             F.lit(source_id).alias("source_id"),
             F.lit(tbl).alias("tbl"),
         )
-        bronze.append(rows, root, [(source_id, tbl)])
+        bronze.append(rows, root, [(source_id, tbl)], key=f"{stream}-{batch_id}")
 
-    w = src.writeStream.foreachBatch(write_batch).option(
-        "checkpointLocation", checkpoint or scratch_path(spark, f"stream-{source_id}-{tbl}")
-    )
+    w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 # --------------------------------------------------------------------------- X2
-def _pointer(path: str) -> str:
-    return f"{path.rstrip('/')}/_current"
+def _manifest(spark: SparkSession, path: str) -> dict[int, str]:
+    """bucket -> folder of its current rows."""
+    lines = files.current(spark, f"{path.rstrip('/')}/_versions")
+    return {int(b): folder for b, folder in (line.split("\t") for line in lines)}
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Directory of the current silver version, or None before the first one."""
-    try:
-        rows = spark.read.text(_pointer(path)).collect()
-    except AnalysisException:
-        return None
-    return rows[0].value if rows else None
+def _read_buckets(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.parquet(*folders).select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    v = current_version(spark, path)
-    return None if v is None else spark.read.parquet(v)
-
-
-def merge_players(spark: SparkSession, path: str, new_records: DataFrame, version: str) -> DataFrame:
-    """One X2 step: current silver ∪ conformed new records -> latest wins -> new version."""
-    conformed = sv.conform_players(new_records, json_fields())
-    prev = read_current(spark, path)
-    if prev is not None:
+    """Silver as last published, or None before the first version."""
+    held = _manifest(spark, path)
+    return _read_buckets(spark, sorted(held.values())) if held else None
+
+
+def merge_players(spark: SparkSession, path: str, new_records: DataFrame) -> DataFrame | None:
+    """One X2 step: the touched buckets of current silver and the conformed new records -> latest wins -> published."""
+    path = path.rstrip("/")
+    bucket = F.pmod(F.xxhash64("player_id"), F.lit(BUCKETS)).cast("int")
+    new = sv.conform_players(new_records, json_fields()).withColumn(FIRST_SEQ, F.col(SEQ))
+    new = new.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
+    touched = {r[0] for r in new.select(bucket).distinct().collect()}  # BUCKETS at most
+    held = _manifest(spark, path)
+    if touched:
+        old = [held[b] for b in sorted(touched) if b in held]
         # previous winners carry their own first-seen sequence
-        conformed = conformed.withColumn(FIRST_SEQ, F.col(SEQ))
-        old = prev.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
-        both = old.unionByName(conformed.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ))
+        both = _read_buckets(spark, old).unionByName(new) if old else new
+        values = [c for c in SILVER_PLAYER_KEYS if c != "player_id"]
         merged = both.groupBy("player_id").agg(
-            F.max_by(F.struct(*[c for c in SILVER_PLAYER_KEYS if c != "player_id"], SEQ), F.col(SEQ)).alias("_w"),
-            F.min(FIRST_SEQ).alias(FIRST_SEQ),
+            F.max_by(F.struct(*values, SEQ), F.col(SEQ)).alias("_w"), F.min(FIRST_SEQ).alias(FIRST_SEQ)
         ).select("player_id", "_w.*", FIRST_SEQ)
-    else:
-        merged = latest_wins(conformed, ["player_id"])
-    out = f"{path.rstrip('/')}/v={version}"
-    merged.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ).write.mode("overwrite").parquet(out)
-    spark.createDataFrame([(out,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(path))
-    return spark.read.parquet(out)
+        version = f"{path}/v={uuid.uuid4().hex}"
+        merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(version)
+        held |= {b: f"{version}/_bucket={b}" for b in touched}
+        files.publish(spark, f"{path}/_versions", "\n".join(f"{b}\t{f}" for b, f in sorted(held.items())))
+    return read_current(spark, path)
 
 
 def incremental_silver(
@@ -124,11 +127,11 @@ def incremental_silver(
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        merge_players(spark, silver_path, bronze.parsed(batch), f"{batch_id:012d}")
+        merge_players(spark, silver_path, bronze.parsed(batch))
 
     return (
         src.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-silver"))
+        .option("checkpointLocation", checkpoint or f"{silver_path.rstrip('/')}/_stream")
         .trigger(availableNow=True)
         .start()
     )
