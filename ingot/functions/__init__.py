@@ -1,28 +1 @@
-"""Scalar functions (F1-F13) as Spark Column builders."""
-
-from ingot.functions.expr import (  # noqa: F401
-    Field,
-    clean_id_array,
-    column_fields,
-    inject_keys,
-    json_fields,
-    parse_id_list,
-    parse_record,
-    player_id_text,
-    s_falsy,
-    s_float,
-    s_int,
-    s_or,
-    score,
-    stage_fields,
-    text_or,
-    to_record,
-    v_falsy,
-    v_float,
-    v_id,
-    v_int,
-    v_or,
-    v_str,
-    v_str_array,
-    v_str_or,
-)
+"""Scalar functions (F1-F13) as Spark Column builders: see :mod:`ingot.functions.expr`."""

@@ -29,9 +29,17 @@ FieldAccessor = Callable[[str], "Field"]
 # str() renderings that are falsy unless the value was a JSON string (fixed values).
 _AMBIGUOUS_TEXT = ("false", "[]", "{}")
 
+# Java reads "1d" and "2f" as numbers; Python's float() doesn't (fixed pattern).
+_JAVA_SUFFIX = r"(?i)[0-9.][df]\s*$"
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def _no_suffix(number: Column, text: Column) -> Column:
+    """``number`` unless its text is a number only to Java."""
+    return F.when(~text.rlike(_JAVA_SUFFIX), number)
+
+
 class Field:
     """One field of a raw record, with Python's view of it.
 
@@ -99,8 +107,10 @@ class Field:
         r = self.raw if raw is None else raw
         k = self.kind
         if k == "json":
-            return F.try_variant_get(r, "$", "double")
-        if isinstance(k, (T.StringType, T.BooleanType) + _NUMERIC):
+            return _no_suffix(F.try_variant_get(r, "$", "double"), F.try_variant_get(r, "$", "string"))
+        if isinstance(k, T.StringType):
+            return _no_suffix(r.try_cast("double"), r)
+        if isinstance(k, (T.BooleanType,) + _NUMERIC):
             return r.try_cast("double")
         return F.lit(None).cast("double")
 
@@ -197,88 +207,13 @@ def text_or(*names: str, default: str | None = "") -> Column:
     return out
 
 
-# --------------------------------------------------------------------------- F1 truthiness
-def v_falsy(v: Column) -> Column:
-    """Python falsiness of a JSON (VARIANT) value; never NULL.
-
-    Falsy: absent/null, ``""``, ``false``, any numeric zero (``0``, ``0.0``, ``-0.0``,
-    ``0e5``), ``[]`` and ``{}``. A *string* ``"0"`` or ``"false"`` is truthy.
-    """
-    return Field(v, "json").falsy()
-
-
-def v_or(*operands: Column) -> Column:
-    """``a or b or ...`` on VARIANT values: the first truthy operand, else the last one."""
-    if not operands:
-        raise ValueError("v_or needs at least one operand")
-    out = operands[-1]
-    for op in reversed(operands[:-1]):
-        out = F.when(~v_falsy(op), op).otherwise(out)
-    return out
-
-
-def s_falsy(c: Column) -> Column:
-    """Falsiness of a string column: NULL or ''."""
-    return c.isNull() | (c == F.lit(""))
-
-
+# --------------------------------------------------------------------------- F1 on string columns
 def s_or(*operands: Column | str, default: str = "") -> Column:
     """``a or b or default`` on string columns."""
     cols = [F.col(o) if isinstance(o, str) else o for o in operands]
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(default))
 
 
-# --------------------------------------------------------------------------- F2 / F3 / F4 casts
-def v_str(v: Column) -> Column:
-    """``str(x)`` of a JSON value; NULL stays NULL. Arrays and objects become JSON text."""
-    return F.try_variant_get(v, "$", "string")
-
-
-def v_str_or(*operands: Column, default: str = "") -> Column:
-    """``str(a or b or default)``: the common silver fallback for text fields."""
-    return v_str(v_or(*operands, F.lit(default).cast("variant")))
-
-
-def v_int(v: Column) -> Column:
-    """Lenient int: ints stay, floats truncate, numeric strings parse, anything else NULL."""
-    return F.try_variant_get(v, "$", "bigint")
-
-
-def v_float(v: Column) -> Column:
-    """Lenient float: numbers and numeric strings (``nan``, ``inf``, ``1e3``) parse, else NULL."""
-    return F.try_variant_get(v, "$", "double")
-
-
-def s_int(c: Column) -> Column:
-    return c.try_cast("bigint")
-
-
-def s_float(c: Column) -> Column:
-    return c.try_cast("double")
-
-
-# --------------------------------------------------------------------------- F5 / F6 arrays and ids
-def v_str_array(v: Column) -> Column:
-    """``[str(p) for p in (x or []) if p is not None]``; a non-array value becomes ``[]``."""
-    return Field(v, "json").as_str_array()
-
-
-def v_id(v: Column) -> Column:
-    """Canonical id text: ints and strings alike compare as their text."""
-    return v_str(v)
-
-
-# --------------------------------------------------------------------------- F7 / F8 JSON
-def parse_record(text: Column) -> Column:
-    """JSON text -> VARIANT; malformed text -> NULL (quarantined upstream)."""
-    return F.try_parse_json(text)
-
-
-def to_record(*cols: Column | str) -> Column:
-    """Serialise columns to one JSON object; NULL fields are omitted."""
-    return F.to_json(F.struct(*cols))
-
-
 # --------------------------------------------------------------------------- F9 id lists
 def parse_id_list(text: Column) -> Column:
     """Split on comma and newline, strip whitespace, drop blanks; duplicates kept."""

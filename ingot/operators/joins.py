@@ -1,10 +1,8 @@
-"""Join helpers whose broadcast decisions are backed by a size check.
+"""Join helpers.
 
-A broadcast is only safe when the broadcast side has a proven bound. Either
-the bound is known on the driver (a user-supplied id list), or it is measured:
-:func:`bounded_broadcast` counts at most ``max_rows + 1`` rows of the candidate
-side and broadcasts only below the limit; beyond it the join is left to the
-planner (sort-merge, or AQE's runtime switch when the real size turns out small).
+A side is hinted for broadcast only where its size is known: a list the caller holds on the
+driver, and what matches it. Every other choice is the planner's, which decides by the
+measured bytes of a side at run time. All functions are lazy.
 """
 
 from __future__ import annotations
@@ -14,50 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default row bound for broadcasting a measured side (fixed value). At a few
-# dozen bytes per id this stays far below spark.sql.autoBroadcastJoinThreshold
-# in memory terms and below the driver's result-size limit.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
+def anti_join(big: DataFrame, exclude: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """``big`` rows with no match in ``exclude`` (NOT EXISTS)."""
+    return big.join(exclude, on=on, how="left_anti")
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check is a ``limit(max_rows + 1).count()`` job: it stops reading once the
-    bound is exceeded, so it costs at most one pass over a small side.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def anti_join(big: DataFrame, exclude: DataFrame, on: Sequence[str] | str, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``big`` rows with no match in ``exclude`` (NOT EXISTS).
-
-    A small ``exclude`` side is broadcast after a size check, so ``big`` is never
-    shuffled; a large one falls back to a shuffled anti-join.
-    """
-    return big.join(bounded_broadcast(exclude, max_rows), on=on, how="left_anti")
-
-
-def lookup_join(requested: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``requested LEFT JOIN table USING (key)`` when ``requested`` is a small driver-side list.
+def lookup_join(requested: DataFrame, table: DataFrame, key: str, listed: bool = False) -> DataFrame:
+    """``requested LEFT JOIN table USING (key)``; ``listed``: ``requested`` is a list from the driver.
 
     A left outer join can only broadcast its right side, which here is the big
-    table. So first cut the table down with a broadcast semi-join against the
+    table. So for a list the table is first cut down by a broadcast semi-join with the
     requested keys (Catalyst pushes it below a latest-wins aggregate on the same
-    key), then left-join the requested list to that cut, which holds at most one
-    row per requested key when ``key`` is unique in ``table``.
+    key), and the cut, at most one row per requested key when ``key`` is unique in ``table``, is
+    broadcast back.
     """
+    if not listed:
+        return requested.join(table, on=key, how="left")
     matched = table.join(F.broadcast(requested.select(key)), on=key, how="left_semi")
     return requested.join(F.broadcast(matched), on=key, how="left")
 
 
-def missing_keys(requested: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Requested keys that do not occur in ``table`` (requested LEFT ANTI table).
-
-    Same shape as :func:`lookup_join`: the big table is probed with a broadcast
-    semi-join, the distinct hits (at most one per requested key) are broadcast
-    back for the anti-join.
-    """
+def missing_keys(requested: DataFrame, table: DataFrame, key: str, listed: bool = False) -> DataFrame:
+    """Requested keys that do not occur in ``table`` (requested LEFT ANTI table); as :func:`lookup_join`."""
+    if not listed:
+        return requested.join(table.select(key), on=key, how="left_anti")
     found = table.select(key).join(F.broadcast(requested.select(key)), on=key, how="left_semi").distinct()
     return requested.join(F.broadcast(found), on=key, how="left_anti")

@@ -1,8 +1,7 @@
 """Catalog, samples and run log.
 
-The catalog is one lazy DataFrame: a one-row count per dataset, unioned.
-When several entries share a subplan (silver players feeds four of them),
-Spark's exchange reuse computes the shared shuffle once.
+The catalog is one lazy DataFrame. Four of its entries are counts over silver
+players, taken in one aggregate; leagues and rosters are one more each.
 """
 
 from __future__ import annotations
@@ -37,18 +36,22 @@ def silver_gold_datasets(players: DataFrame, leagues: DataFrame, rosters: DataFr
         ("silver", "rosters"): rosters,
         ("silver", "injuries"): sv.injuries(players),
         # as in the reference, the catalog counts available players without a league
-        ("gold", "available_players"): gold.gold_available_players(players, rosters, None),
+        ("gold", "available_players"): gold.gold_available_players(players, rosters, gold.ALL_PLAYERS),
         ("gold", "injury"): gold.injury_report(players),
     }
 
 
 def catalog_silver_gold(players: DataFrame, leagues: DataFrame, rosters: DataFrame) -> DataFrame:
     """(layer, name, row_count) of the four silver and two gold datasets."""
-    out = None
-    for (layer, name), df in silver_gold_datasets(players, leagues, rosters).items():
-        c = _count(df, layer, name)
-        out = c if out is None else out.unionByName(c)
-    return out
+    one = players.agg(F.count(F.lit(1)).alias("all"), F.count_if(sv.is_injured()).alias("injured"))
+    entry = lambda layer, name, n: F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("name"), F.col(n).alias("row_count"))
+    entries = F.array(
+        entry("silver", "players", "all"), entry("silver", "injuries", "injured"),
+        # as in the reference, available players are counted without a league
+        entry("gold", "available_players", "all"), entry("gold", "injury", "injured"),
+    )
+    rest = _count(leagues, "silver", "league").unionByName(_count(rosters, "silver", "rosters"))
+    return one.select(F.inline(entries)).unionByName(rest)
 
 
 def catalog_all(bronze_rows: DataFrame, players: DataFrame, leagues: DataFrame, rosters: DataFrame, listing=None) -> DataFrame:
@@ -63,9 +66,9 @@ def catalog_all(bronze_rows: DataFrame, players: DataFrame, leagues: DataFrame,
 # --------------------------------------------------------------------------- samples
 def sample(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """L2 for silver/gold: the first ``n`` rows in first-seen order."""
-    if FIRST_SEQ in df.columns:
-        return first_n(df, [FIRST_SEQ], n)
-    return df.limit(n)
+    if FIRST_SEQ not in df.columns:
+        raise ValueError(f"a sample needs the order column {FIRST_SEQ}")
+    return first_n(df, [FIRST_SEQ], n)
 
 
 def sample_table(
@@ -94,17 +97,17 @@ def sample_table(
 
 # --------------------------------------------------------------------------- run log
 def record_run(spark: SparkSession, root: str, kind: str, league_id: str | None = None, ts: _dt.datetime | None = None) -> None:
-    """Append one run to ``{root}/runs`` (the time is taken on the driver, once)."""
-    when = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    spark.createDataFrame([(kind, league_id, when)], RUNS).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+    """Append one run to ``{root}/runs``."""
+    record_runs(spark, root, kind, [league_id], ts)
 
 
 def record_runs(spark: SparkSession, root: str, kind: str, league_ids: list[str], ts: _dt.datetime | None = None) -> None:
+    """Append runs in order: the time is taken on the driver once, ``seq`` keeps the order within the call."""
     when = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(kind, lid, when) for lid in league_ids]
+    rows = [(kind, lid, when, i) for i, lid in enumerate(league_ids)]
     spark.createDataFrame(rows, RUNS).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
 
 
 def latest_runs(spark: SparkSession, root: str, n: int = RUN_HISTORY) -> DataFrame:
-    """L3: the newest ``n`` runs."""
-    return newest_n(spark.read.schema(RUNS).parquet(f"{root.rstrip('/')}/runs"), "ts", n)
+    """L3: the newest ``n`` runs; of equal times the later one in its call."""
+    return newest_n(spark.read.schema(RUNS).parquet(f"{root.rstrip('/')}/runs"), "ts", n, ["seq", "league_id", "kind"])

@@ -1,7 +1,6 @@
 """Gold datasets: the business answers.
 
-All functions are lazy DataFrame builders over silver DataFrames. The only
-eager step is the size check in front of a broadcast (:mod:`ingot.operators.joins`).
+All functions are lazy DataFrame builders over silver DataFrames.
 """
 
 from __future__ import annotations
@@ -13,17 +12,29 @@ from pyspark.sql import functions as F
 
 from ingot.functions.expr import score
 from ingot.operators.dedup import FIRST_SEQ
-from ingot.operators.joins import DEFAULT_BROADCAST_ROWS, anti_join, lookup_join, missing_keys
+from ingot.operators.joins import anti_join, lookup_join, missing_keys
 from ingot.operators.limit import WAIVER_LIMIT, first_n
 from ingot.plans import silver as sv
 
-# League used when a request names none; set by the deployment (None = no default).
-DEFAULT_LEAGUE_ID: str | None = None
+# The session setting that names the league of requests without one.
+DEFAULT_LEAGUE_CONF = "spark.ingot.default.league"
 
 
-def league_or_default(league_id: str | None, default: str | None = None) -> str | None:
-    """The given league, else the configured default."""
-    return league_id or default or DEFAULT_LEAGUE_ID
+class _AllPlayers:
+    """The request for every player, whatever the default league."""
+
+    def __repr__(self) -> str:
+        return "ALL_PLAYERS"
+
+
+ALL_PLAYERS = _AllPlayers()
+
+
+def league_or_default(spark: SparkSession, league_id: str | _AllPlayers | None) -> str | None:
+    """The given league, else the configured default; None for all players."""
+    if league_id is ALL_PLAYERS:
+        return None
+    return league_id or spark.conf.get(DEFAULT_LEAGUE_CONF, None) or None
 
 
 def _requested(spark: SparkSession, league_ids: Iterable[str] | DataFrame) -> DataFrame:
@@ -37,22 +48,21 @@ def _requested(spark: SparkSession, league_ids: Iterable[str] | DataFrame) -> Da
 def available_players(
     silver_players: DataFrame,
     silver_rosters: DataFrame,
-    league_id: str | None = None,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    league_id: str | _AllPlayers | None = None,
 ) -> DataFrame:
-    """J1 + P14: players on no roster of ``league_id``; all players when it is NULL or ''.
+    """J1 + P14 + P15: players on no roster of ``league_id``.
 
-    The league's rostered ids are the small side: they are broadcast after a
-    size check and the player table is streamed through the hash probe, never
-    shuffled. ``silver_rosters`` may be unfiltered: the league filter reaches
-    the roster scan through the latest-wins aggregate.
+    None or '' means the configured default league, or all players when there is
+    none; ``ALL_PLAYERS`` asks for them in any case. ``silver_rosters`` may be unfiltered: the
+    league filter reaches the roster scan through the latest-wins aggregate.
     """
+    league_id = league_or_default(silver_players.sparkSession, league_id)
     if not league_id:
         return silver_players
     rostered = silver_rosters.where(F.col("league_id") == F.lit(str(league_id))).select(
         F.explode("players").alias("player_id")
     )
-    return anti_join(silver_players, rostered, "player_id", max_broadcast_rows)
+    return anti_join(silver_players, rostered, "player_id")
 
 
 def player_objects(players: DataFrame) -> DataFrame:
@@ -70,9 +80,9 @@ def player_objects(players: DataFrame) -> DataFrame:
     )
 
 
-def gold_available_players(silver_players, silver_rosters, league_id=None, **kw) -> DataFrame:
+def gold_available_players(silver_players, silver_rosters, league_id=None) -> DataFrame:
     """G1: available players shaped as API objects."""
-    return player_objects(available_players(silver_players, silver_rosters, league_id, **kw))
+    return player_objects(available_players(silver_players, silver_rosters, league_id))
 
 
 # --------------------------------------------------------------------------- G2 / P5
@@ -91,7 +101,7 @@ def validate_leagues(
 ) -> DataFrame:
     """One row per requested id: (league_id, valid, league_name)."""
     requested = _requested(spark, league_ids)
-    joined = lookup_join(requested, silver_leagues.select("league_id", "name"), "league_id")
+    joined = lookup_join(requested, silver_leagues.select("league_id", "name"), "league_id", not isinstance(league_ids, DataFrame))
     return joined.select(
         "league_id",
         F.col("name").isNotNull().alias("valid"),
@@ -99,16 +109,14 @@ def validate_leagues(
     )
 
 
-def validate_league(spark: SparkSession, silver_leagues: DataFrame, league_id: str) -> DataFrame:
-    return validate_leagues(spark, silver_leagues, [league_id])
-
-
 # --------------------------------------------------------------------------- J4
 def leagues_missing(
     spark: SparkSession, ingested_league_ids: DataFrame, league_ids: Iterable[str] | DataFrame
 ) -> DataFrame:
     """Requested leagues with no data in bronze yet (the ones a lazy ingest must fetch)."""
-    return missing_keys(_requested(spark, league_ids), ingested_league_ids.select("league_id"), "league_id")
+    return missing_keys(
+        _requested(spark, league_ids), ingested_league_ids.select("league_id"), "league_id", not isinstance(league_ids, DataFrame)
+    )
 
 
 # --------------------------------------------------------------------------- G4 / L1 / P6
@@ -118,7 +126,6 @@ def waiver_recommendations(
     league_id: str | None = None,
     limit: int = WAIVER_LIMIT,
     order: str = "arrival",
-    **kw,
 ) -> DataFrame:
     """The first ``limit`` available players with a score.
 
@@ -126,7 +133,7 @@ def waiver_recommendations(
     order and does not sort by score; ``order="score"`` takes the best scores
     (ties in first-seen order). Either way the plan is a TakeOrderedAndProject.
     """
-    avail = available_players(silver_players, silver_rosters, league_id, **kw)
+    avail = available_players(silver_players, silver_rosters, league_id)
     with_score = avail.select("player_id", "name", "position", "team", score(F.col("trending")).alias("score"), FIRST_SEQ)
     if order == "arrival":
         keys = [F.col(FIRST_SEQ)]

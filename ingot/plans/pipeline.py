@@ -7,34 +7,42 @@ unless ``refresh=True``; all of them in one distributed job.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ingot.functions.expr import json_fields
+from ingot.functions.expr import clean_id_array, json_fields, parse_id_list
 from ingot.plans import catalog as cat
 from ingot.plans import gold
 from ingot.plans import silver as sv
 from ingot.session import configure
-from ingot.sources import bronze, landed
+from ingot.sources import bronze, files, landed
 
 SOURCE_ID = landed.SOURCE_ID
 
 
-def parse_ids(raw: str | list | tuple) -> list[str]:
-    """F9 for request input: a string is split on commas and newlines; list
-    elements are only stripped. Blanks dropped, duplicates and order kept."""
-    if isinstance(raw, (list, tuple)):
-        parts = [str(x).strip() for x in raw]
+def requested_ids(spark: SparkSession, league_ids: str | list | tuple | DataFrame) -> DataFrame:
+    """F9 as rows ``league_id``: of a text (commas and line ends part it), a list, or a DataFrame."""
+    if isinstance(league_ids, DataFrame):
+        return league_ids.select(F.col(league_ids.columns[0]).cast("string").alias("league_id"))
+    if isinstance(league_ids, str):
+        ids = parse_id_list(F.lit(league_ids))
     else:
-        parts = [p.strip() for p in str(raw).replace("\n", ",").split(",")]
-    return [p for p in parts if p]
+        ids = clean_id_array(F.array(*[F.lit(str(x)) for x in league_ids]))
+    return spark.range(1).select(F.explode(ids).alias("league_id"))
+
+
+def listed_ids(spark: SparkSession, league_ids: str | list | tuple) -> list[str]:
+    """The same of a request that came as a text or a list."""
+    return [r.league_id for r in requested_ids(spark, league_ids).collect()]
 
 
 def _bronze_table(spark: SparkSession, root: str, tbl: str) -> DataFrame | None:
-    try:
-        return bronze.parsed(bronze.scan(spark, root, SOURCE_ID, tbl))
-    except AnalysisException:
+    """The table's parsed rows; None before the store's first append."""
+    if not files.matches(spark, f"{root.rstrip('/')}/{bronze.BRONZE_DIR}"):
         return None
+    return bronze.parsed(bronze.scan(spark, root, SOURCE_ID, tbl))
 
 
 def ingested_league_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -51,17 +59,13 @@ def ingest_leagues(
     spark: SparkSession, landing: str, root: str, league_ids, refresh: bool = False, week: int = 1
 ) -> list[str]:
     """Ingest league, rosters and matchups for the requested leagues that
-    are not in bronze yet (all of them with ``refresh``). Returns the fetched ids."""
+    are not in bronze yet (all of them with ``refresh``). Returns the fetched ids, of a request that came as a text or list."""
     configure(spark)
-    ids = parse_ids(league_ids)
+    ids = listed_ids(spark, league_ids)
     if not ids:
         raise ValueError("at least one league_id is required")
-    if refresh:
-        fetch = ids
-    else:
-        # bounded by the number of requested ids
-        missing = gold.leagues_missing(spark, ingested_league_ids(spark, root), ids)
-        fetch = [r["league_id"] for r in missing.collect()]
+    missing = gold.leagues_missing(spark, ingested_league_ids(spark, root), ids)
+    fetch = ids if refresh else [r["league_id"] for r in missing.collect()]  # no more than were asked for
     if fetch:
         landed.ingest(spark, landing, root, fetch, week)
     cat.record_runs(spark, root, "league", ids)
@@ -93,19 +97,30 @@ def materialize_silver(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Write silver to Parquet and return DataFrames over the written copies.
 
     Gold queries then read conformed, typed columns (with pushdown) instead of
-    re-parsing bronze JSON. Rosters are clustered by league so a one-league
-    filter skips most row groups.
+    re-parsing bronze JSON. Rosters are clustered by league and roster, so a one-league
+    filter skips most row groups and a big league is not one task. Every call writes folders of its
+    own and publishes them afterwards: what an earlier call returned stays readable.
     """
-    out = {}
+    out, version = {}, uuid.uuid4().hex
     for name, df in silver_tables(spark, root).items():
         path = f"{root.rstrip('/')}/silver/{name}"
         if name == "rosters":
-            df = df.repartitionByRange("league_id").sortWithinPartitions("league_id", "roster_id")
-        df.write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
+            df = df.repartitionByRange("league_id", "roster_id").sortWithinPartitions("league_id", "roster_id")
+        df.write.parquet(f"{path}/v={version}")
+        files.publish(spark, f"{path}/_versions", f"{path}/v={version}")
+        out[name] = spark.read.parquet(f"{path}/v={version}")
     return out
 
 
+def current_silver(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The newest published version of a silver table."""
+    path = f"{root.rstrip('/')}/silver/{name}"
+    lines = files.current(spark, f"{path}/_versions")
+    if not lines:
+        raise FileNotFoundError(f"no silver {name} under {root}")
+    return spark.read.parquet(lines[0])
+
+
 def run(
     spark: SparkSession,
     landing: str,
@@ -122,7 +137,7 @@ def run(
     if league_ids:
         ingest_leagues(spark, landing, root, league_ids, refresh)
     s = materialize_silver(spark, root)
-    lid = league_id or (parse_ids(league_ids)[0] if league_ids else None)
+    lid = league_id or (listed_ids(spark, league_ids)[0] if league_ids else None)
     return {
         "silver_players": s["players"],
         "silver_league": s["league"],
@@ -132,7 +147,7 @@ def run(
         "waiver": gold.waiver_recommendations(s["players"], s["rosters"], lid),
         "catalog": cat.catalog_all(
             bronze.scan(spark, root), s["players"], s["league"], s["rosters"],
-            spark.read.parquet(f"{root.rstrip('/')}/{bronze.TABLES_DIR}"),
+            bronze.listing(spark, root),
         ),
         "runs": cat.latest_runs(spark, root),
     }
@@ -140,7 +155,7 @@ def run(
 
 def validate(spark: SparkSession, root: str, league_ids) -> DataFrame:
     """G3 against the bronze root."""
-    return gold.validate_leagues(spark, silver_tables(spark, root)["league"], parse_ids(league_ids))
+    return gold.validate_leagues(spark, silver_tables(spark, root)["league"], listed_ids(spark, league_ids))
 
 
 def available(spark: SparkSession, root: str, league_id: str | None) -> DataFrame:

@@ -31,36 +31,17 @@ PLAYER_FIELDS = (
     "age",
     "trending",
     "updated_at",
+    "number",
 )
 ROSTER_FIELDS = ("league_id", "roster_id", "players")
 LEAGUE_FIELDS = ("league_id", "name", "league_name")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when its scan yields too few splits.
-
-    The test tables are single-row-group Parquet files, which Spark cannot split:
-    the whole map side of every query would run in one task. When the scan has
-    fewer partitions than the cluster has cores, rows are redistributed
-    round-robin (no key, so a hot key cannot pile up, and partial aggregation
-    still runs before the key shuffle). On real inputs - many files and row
-    groups - the scan is already wide and nothing is added.
-    """
-    return spread(raw_table(spark, sf_dir, name))
-
-
-def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table exactly as scanned (bronze ingest takes positions from the scan)."""
+    """A driver table, as scanned."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def player_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw player records, one per line item; sequence = (ship date, order, line, supplier)."""
     li = table(spark, sf_dir, "lineitem")
@@ -77,6 +58,7 @@ def player_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ln == 5, "n/a").otherwise(q.cast("int").cast("string")).alias("age"),
         F.when(ln == 6, F.lit(None).cast("double")).otherwise(F.col("l_discount")).alias("trending"),
         F.col("l_shipdate").alias("updated_at"),
+        ln.alias("number"),
         F.struct(
             F.col("l_shipdate").alias("s1"),
             F.col("l_orderkey").alias("s2"),

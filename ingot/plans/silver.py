@@ -13,7 +13,7 @@ arrival), which order samples and recommendations; :func:`public` drops them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ingot.functions.expr import FieldAccessor, json_fields, player_id_text, s_or, stage_fields, text_or
@@ -130,12 +130,13 @@ def roster_players(silver_rosters: DataFrame, league_id: str | None = None) -> D
 
 
 # --------------------------------------------------------------------------- injuries
+def is_injured() -> Column:
+    """P12's condition on silver players: ``injury_status or status`` is set and not 'Active' (case-sensitive)."""
+    return ~s_or("injury_status", "status").isin("", "Active")
+
+
 def injuries(silver_players: DataFrame) -> DataFrame:
-    """Players whose ``injury_status or status`` is set and not 'Active' (case-sensitive)."""
+    """The injured players."""
     status = s_or("injury_status", "status")
-    out = silver_players.select(
-        "player_id", status.alias("status"), "updated_at", FIRST_SEQ
-    )
-    return out.where((F.col("status") != F.lit("")) & (F.col("status") != F.lit("Active"))).select(
-        *SILVER_INJURY_KEYS, FIRST_SEQ
-    )
+    out = silver_players.where(is_injured()).select("player_id", status.alias("status"), "updated_at", FIRST_SEQ)
+    return out.select(*SILVER_INJURY_KEYS, FIRST_SEQ)

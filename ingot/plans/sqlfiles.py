@@ -9,6 +9,8 @@ of :mod:`ingot.plans.silver` / :mod:`ingot.plans.gold` (a test checks it).
 
 from __future__ import annotations
 
+import re
+import uuid
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,29 +31,12 @@ RETURN t IS NULL OR t = ''
 )
 
 
-def medallion_layers() -> list[str]:
-    return list(LAYERS)
-
-
-def _layer_dir(layer: str):
+def _texts(layer: str) -> dict[str, str]:
+    """The layer's transformations: name -> SQL text."""
     if layer not in LAYERS:
         raise ValueError(f"unknown layer: {layer!r}")
-    return resources.files("ingot").joinpath("sql", layer)
-
-
-def list_sql_files(layer: str) -> list[str]:
-    """Transformation names of a layer, sorted."""
-    d = _layer_dir(layer)
-    return sorted(p.name[:-4] for p in d.iterdir() if p.name.endswith(".sql"))
-
-
-def read_sql(layer: str, name: str) -> str:
-    """Text of ``{layer}/{name}.sql`` (``name`` with or without ``.sql``)."""
-    fname = name if name.endswith(".sql") else f"{name}.sql"
-    p = _layer_dir(layer).joinpath(fname)
-    if not p.is_file():
-        raise FileNotFoundError(f"transformation not found: {layer}/{fname}")
-    return p.read_text(encoding="utf-8")
+    found = resources.files("ingot").joinpath("sql", layer).iterdir()
+    return {p.name.removesuffix(".sql"): p.read_text(encoding="utf-8") for p in sorted(found, key=lambda p: p.name) if p.name.endswith(".sql")}
 
 
 def register_functions(spark: SparkSession) -> None:
@@ -59,29 +44,57 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(stmt)
 
 
-def run_sql(spark: SparkSession, layer: str, name: str, **args) -> DataFrame:
-    """Run one transformation; named parameters (``:league_id``) come from ``args``."""
+def run_sql(spark: SparkSession, layer: str, name: str, views: dict[str, str] | None = None, **args) -> DataFrame:
+    """Run one transformation.
+
+    ``views`` maps the input names its text uses to the temp views to read; named parameters
+    (``:league_id``) come from ``args``.
+    """
     configure(spark)
     register_functions(spark)
-    text = read_sql(layer, name)
-    used = {k: v for k, v in args.items() if f":{k}" in text}
-    return spark.sql(text, args=used) if used else spark.sql(text)
-
-
-def run_layer(spark: SparkSession, layer: str, names: list[str] | None = None, **args) -> dict[str, DataFrame]:
-    """Run the transformations of a layer; each result becomes view ``{layer}_{name}``."""
+    texts = _texts(layer)
+    if name not in texts:
+        raise FileNotFoundError(f"transformation not found: {layer}/{name}")
+    text = texts[name]
+    for short, view in (views or {}).items():
+        text = re.sub(rf"\b{re.escape(short)}\b", view, text)
+    used = set(re.findall(r":([a-z_]+)\b", re.sub(r"--[^\n]*", "", text)))
+    return spark.sql(text, args={k: v for k, v in args.items() if k in used})
+
+
+def run_layer(
+    spark: SparkSession, layer: str, names: list[str] | None = None, views: dict[str, str] | None = None,
+    store: str | None = None, **args,
+) -> dict[str, DataFrame]:
+    """Run the transformations of a layer; each result becomes a temp view, entered in ``views`` as ``{layer}_{name}``.
+
+    Without ``views`` the temp view has that name itself, for use from SQL. With a ``store`` folder results are
+    written there and read back: the next layer then reads columns, and its filters reach the scan.
+    """
     out = {}
-    for name in names or list_sql_files(layer):
-        df = run_sql(spark, layer, name, **args)
-        df.createOrReplaceTempView(f"{layer}_{name}")
+    for name in names or list(_texts(layer)):
+        df = run_sql(spark, layer, name, views, **args)
+        if store is not None:
+            path = f"{store.rstrip('/')}/{layer}_{name}_{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            df = spark.read.parquet(path)
+        view = f"{layer}_{name}"
+        if views is not None:
+            views[view] = f"{view}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view if views is None else views[view])
         out[name] = df
     return out
 
 
-def run_all(spark: SparkSession, **args) -> dict[str, DataFrame]:
-    """Q5: bronze -> silver -> gold. Needs the ``*_raw`` input views registered."""
-    out = {}
+def run_all(
+    spark: SparkSession, views: dict[str, str] | None = None, store: str | None = None, **args
+) -> dict[str, DataFrame]:
+    """Q5: bronze -> silver -> gold. ``views`` names the ``*_raw`` input views (by default: as in the texts).
+
+    Every run has views of its own, so two runs in one session don't meet. ``store``: where silver is written.
+    """
+    views, out = dict(views or {}), {}
     for layer in LAYERS:
-        for name, df in run_layer(spark, layer, **args).items():
+        for name, df in run_layer(spark, layer, views=views, store=store if layer == "silver" else None, **args).items():
             out[f"{layer}_{name}"] = df
     return out

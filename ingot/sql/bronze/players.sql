@@ -3,8 +3,9 @@
 -- Two struct-typed extractions per record instead of one call per field; an absent field is NULL.
 WITH x AS (
   SELECT
-    try_variant_get(record_v, '$', 'struct<player_id: variant, id: variant, display_name: variant, name: variant, position: variant, team: variant, status: variant, injury_status: variant, age: variant, trending: variant, updated_at: variant, injury_updated: variant>') AS f,
-    try_variant_get(record_v, '$', 'struct<player_id: string, id: string, display_name: string, name: string, position: string, team: string, status: string, injury_status: string, age: string, trending: string, updated_at: string, injury_updated: string>') AS t,
+    try_variant_get(record_v, '$', 'struct<player_id: variant, id: variant, display_name: variant, name: variant, position: variant, team: variant, status: variant, injury_status: variant, age: variant, trending: variant, updated_at: variant, injury_updated: variant, number: variant>') AS f,
+    try_variant_get(record_v, '$', 'struct<player_id: string, id: string, display_name: string, name: string, position: string, team: string, status: string, injury_status: string, age: string, trending: string, updated_at: string, injury_updated: string, number: string>') AS t,
+    record_v AS raw,
     _seq
   FROM bronze_players_raw
 )
@@ -21,6 +22,7 @@ SELECT
   f.trending AS trending,
   f.updated_at AS updated_at,
   f.injury_updated AS injury_updated,
+  f.number AS number,
   t.player_id AS t_player_id,
   t.id AS t_id,
   t.display_name AS t_display_name,
@@ -33,5 +35,7 @@ SELECT
   t.trending AS t_trending,
   t.updated_at AS t_updated_at,
   t.injury_updated AS t_injury_updated,
+  t.number AS t_number,
+  raw,
   _seq
 FROM x

@@ -11,7 +11,7 @@ WITH conformed AS (
     CASE WHEN NOT falsy(status, t_status) THEN t_status ELSE '' END AS status,
     CASE WHEN NOT falsy(injury_status, t_injury_status) THEN t_injury_status ELSE '' END AS injury_status,
     try_variant_get(age, '$', 'bigint') AS age,
-    try_variant_get(trending, '$', 'double') AS trending,
+    CASE WHEN NOT t_trending RLIKE '(?i)[0-9.][df]\\s*$' THEN try_variant_get(trending, '$', 'double') END AS trending,
     CASE WHEN NOT falsy(updated_at, t_updated_at) THEN t_updated_at ELSE t_injury_updated END AS updated_at,
     _seq
   FROM bronze_players

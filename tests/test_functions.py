@@ -12,7 +12,6 @@ from ingot.functions.expr import (
     parse_id_list,
     stage_fields,
     text_or,
-    v_falsy,
 )
 
 # (JSON text, Python truthiness of json.loads(text))
@@ -26,7 +25,7 @@ TRUTH = [
 
 def test_falsy_matches_python(spark):
     df = spark.createDataFrame([(t,) for t, _ in TRUTH], "j string")
-    got = dict(df.select("j", v_falsy(F.parse_json("j")).alias("f")).collect())
+    got = dict(df.select("j", Field(F.parse_json("j"), "json").falsy().alias("f")).collect())
     for text, truthy in TRUTH:
         assert got[text] == (not truthy), text
         assert bool(json.loads(text)) == truthy
@@ -34,7 +33,7 @@ def test_falsy_matches_python(spark):
 
 def test_falsy_absent_field_is_falsy(spark):
     df = spark.createDataFrame([('{"a": 1}',)], "j string")
-    r = df.select(v_falsy(F.try_variant_get(F.parse_json("j"), "$.b", "variant")).alias("f")).first()
+    r = df.select(Field(F.try_variant_get(F.parse_json("j"), "$.b", "variant"), "json").falsy().alias("f")).first()
     assert r.f is True
 
 

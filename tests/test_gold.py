@@ -34,11 +34,16 @@ def test_available_players_excludes_rostered(silver):
     assert gold.available_players(players, rosters, "L404").count() == 30
 
 
-def test_available_players_without_broadcast_gives_same_rows(silver):
+def test_default_league_and_all_players(spark, silver):
     players, rosters, _ = silver
-    a = gold.available_players(players, rosters, "L1")
-    b = gold.available_players(players, rosters, "L1", max_broadcast_rows=0)
-    assert sorted(r.player_id for r in a.collect()) == sorted(r.player_id for r in b.collect())
+    spark.conf.set(gold.DEFAULT_LEAGUE_CONF, "L1")
+    try:
+        by_default = {r.player_id for r in gold.available_players(players, rosters).collect()}
+        assert by_default == {r.player_id for r in gold.available_players(players, rosters, "L1").collect()}
+        assert gold.available_players(players, rosters, gold.ALL_PLAYERS).count() == 30
+        assert gold.available_players(players, rosters, "L404").count() == 30
+    finally:
+        spark.conf.unset(gold.DEFAULT_LEAGUE_CONF)
 
 
 def test_player_object_shape(silver):

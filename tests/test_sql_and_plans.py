@@ -1,7 +1,6 @@
 """SQL files (Q1-Q5, G7) agree with the DataFrame forms; plan shape assertions."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from ingot.functions.expr import json_fields
 from ingot.plans import gold, roles, sqlfiles
@@ -18,15 +17,12 @@ RECS = [
 ]
 
 
-def test_layer_listing_and_errors():
-    assert sqlfiles.medallion_layers() == ["bronze", "silver", "gold"]
-    assert sqlfiles.list_sql_files("silver") == ["players", "rosters"]
-    assert "SELECT" in sqlfiles.read_sql("gold", "available_players.sql")
-    assert sqlfiles.read_sql("gold", "available_players") == sqlfiles.read_sql("gold", "available_players.sql")
+def test_layer_errors(spark):
+    assert sqlfiles.LAYERS == ("bronze", "silver", "gold")
     with pytest.raises(FileNotFoundError):
-        sqlfiles.read_sql("gold", "nope")
+        sqlfiles.run_sql(spark, "gold", "nope")
     with pytest.raises(ValueError):
-        sqlfiles.list_sql_files("platinum")
+        sqlfiles.run_layer(spark, "platinum")
 
 
 def test_sql_silver_players_equals_dataframe_form(spark):
@@ -58,11 +54,29 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_anti_join_is_broadcast_and_filter_reaches_scan(spark):
+def test_runs_have_views_of_their_own(spark):
+    def raw(ids):
+        views = {}
+        for name, recs in (("players", [{"player_id": i} for i in ids]), ("rosters", [{"league_id": "L", "roster_id": 1, "players": ids[:1]}])):
+            views[f"bronze_{name}_raw"] = f"raw_{name}_{'_'.join(ids)}"
+            bronze_records(spark, recs).createOrReplaceTempView(views[f"bronze_{name}_raw"])
+        return views
+
+    one = sqlfiles.run_all(spark, raw(["a", "b"]), league_id="L")["gold_available_players"]
+    two = sqlfiles.run_all(spark, raw(["c", "d", "e"]), league_id="L")["gold_available_players"]
+    assert [r.id for r in one.collect()] == ["b"] and sorted(r.id for r in two.collect()) == ["d", "e"]
+
+
+def test_building_gold_starts_no_job_and_the_filter_reaches_the_scan(spark):
     p = roles.silver_players(spark, SF001)
     r = roles.silver_rosters(spark, SF001)
+    sc = spark.sparkContext
+    sc.setJobGroup("gold-build", "")
     plan = _plan(gold.available_players(p, r, "7"))
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    gold.gold_available_players(p, r, "7"), gold.waiver_recommendations(p, r, "7"), gold.injury_report(p)
+    assert list(sc.statusTracker().getJobIdsForGroup("gold-build")) == []
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "LeftAnti" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     # the league filter sits on the orders scan, below the latest-wins aggregate
     explain = gold.available_players(p, r, "7")._jdf.queryExecution().optimizedPlan().toString()
@@ -89,4 +103,6 @@ def test_lookup_join_broadcasts_requested_side(spark):
     lg = roles.silver_leagues(spark, SF001)
     plan = _plan(gold.validate_leagues(spark, lg, ["1", "7"]))
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
-    assert F is not None
+    # a request of unknown size is not hinted
+    many = lg.select("league_id").limit(3)
+    assert "LeftOuter" in _plan(gold.validate_leagues(spark, lg, many))
