@@ -15,6 +15,7 @@ Oracle notes
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,17 +24,18 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from ingot.functions.expr import parse_id_list  # noqa: E402
+from ingot.functions.expr import column_fields, json_fields, parse_id_list  # noqa: E402
 from ingot.operators.dedup import latest_wins  # noqa: E402
 from ingot.operators.limit import RUN_HISTORY, SAMPLE_ROWS, first_n, newest_n  # noqa: E402
 from ingot.plans import catalog as cat  # noqa: E402
 from ingot.plans import gold, roles  # noqa: E402
 from ingot.plans import silver as sv  # noqa: E402
-from ingot.plans import sqlfiles  # noqa: E402
+from ingot.plans import pipeline, sqlfiles  # noqa: E402
 from ingot.session import configure, scratch_path  # noqa: E402
 from ingot.sources import bronze  # noqa: E402
 from ingot.sources import ingest as ing  # noqa: E402
 from ingot.sources import landed  # noqa: E402
+from ingot.sources.datasources import JsonLineFiles  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 LEAGUE = "7"  # the league the single-league queries ask about
@@ -143,33 +145,98 @@ def q_gold_waiver_by_score(spark, sf):
 
 
 # --------------------------------------------------------------------------- SQL files
-def _sql_inputs(spark, sf):
-    configure(spark)
-    pr = roles.player_records(spark, sf)
-    pr.select(F.to_variant_object(F.struct(*roles.PLAYER_FIELDS)).alias("record_v"), "_seq").createOrReplaceTempView(
-        "bronze_players_raw"
+# --------------------------------------------------------------------------- the store of JSON records
+_STORES: dict[tuple[str, str], str] = {}
+_SRC = landed.SOURCE_ID
+
+
+def _json_rows(recs: DataFrame, fields, order: list[str], tbl: str) -> DataFrame:
+    """Bronze rows of records in the order of their sequence."""
+    if "updated_at" in recs.columns:
+        recs = recs.withColumn("updated_at", F.col("updated_at").cast("string"))
+    lines = recs.orderBy(*order).select(
+        F.to_json(F.struct(*fields)).alias("record"), F.lit("").alias("_file"), F.lit(0).cast("long").alias("_block")
     )
-    rr = roles.roster_records(spark, sf)
-    rr.select(F.to_variant_object(F.struct(*roles.ROSTER_FIELDS)).alias("record_v"), "_seq").createOrReplaceTempView(
-        "bronze_rosters_raw"
+    return bronze.records_from_json_column(lines, "record", _SRC, tbl)
+
+
+def _store(spark, sf) -> str:
+    """A bronze store with the JSON records of players, rosters and leagues, written once per session and input."""
+    configure(spark)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        root = scratch_path(spark, "store")
+        seq = ["_seq.s1", "_seq.s2", "_seq.s3", "_seq.s4"]
+        bronze.append(_json_rows(roles.player_records(spark, sf), roles.PLAYER_FIELDS, seq, "players"), root)
+        bronze.append(_json_rows(roles.roster_records(spark, sf), roles.ROSTER_FIELDS, ["_seq.s1", "roster_id"], "rosters"), root)
+        bronze.append(_json_rows(roles.league_records(spark, sf), roles.LEAGUE_FIELDS, ["_seq.s1", "league_id"], "league"), root)
+        bronze.register_table(spark, root, _SRC, "matchups")  # a table without rows yet
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def _records(spark, sf, tbl) -> DataFrame:
+    return bronze.parsed(bronze.scan(spark, _store(spark, sf), _SRC, tbl)).select("record_v", "_seq")
+
+
+def _silver_json(spark, sf) -> dict[str, DataFrame]:
+    return {
+        "players": sv.players(_records(spark, sf, "players")),
+        "rosters": sv.rosters(_records(spark, sf, "rosters")),
+        "league": sv.leagues(_records(spark, sf, "league")),
+    }
+
+
+def q_silver_players_json(spark, sf):
+    """Silver players from JSON text in the bronze store."""
+    return _silver_json(spark, sf)["players"].select(*_PLAYER_COLS)
+
+
+def q_silver_rosters_json(spark, sf):
+    return _silver_json(spark, sf)["rosters"].select("league_id", "roster_id", F.explode("players").alias("player_id"))
+
+
+def q_silver_leagues_json(spark, sf):
+    return _silver_json(spark, sf)["league"].select("league_id", "name")
+
+
+def q_player_trend_texts(spark, sf):
+    """F3 + F4 on texts: every line's quantity in spellings that only some number parsers accept."""
+    configure(spark)
+    q = F.col("l_quantity").cast("int").cast("string")
+    n = F.col("l_linenumber")
+    text = F.when(n == 1, F.concat(q, F.lit("d"))).when(n == 2, F.concat(q, F.lit("F"))).when(n == 3, F.concat(q, F.lit("e1"))).otherwise(q)
+    rows = roles.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", text.alias("age"))
+    f = column_fields(rows)
+    json = rows.select("*", F.parse_json(F.to_json(F.struct("age"))).alias("record_v"))
+    return json.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", f("age").as_float().alias("typed"), json_fields()("age").as_float().alias("from_json"),
+        json_fields()("age").as_int().alias("whole"),
     )
 
 
+# --------------------------------------------------------------------------- SQL files
+def _sql_views(spark, sf) -> dict[str, str]:
+    views = {}
+    for tbl in ("players", "rosters"):
+        views[f"bronze_{tbl}_raw"] = f"bronze_{tbl}_raw_{uuid.uuid4().hex}"
+        _records(spark, sf, tbl).createOrReplaceTempView(views[f"bronze_{tbl}_raw"])
+    return views
+
+
 def q_sql_bronze_players(spark, sf):
-    _sql_inputs(spark, sf)
-    b = sqlfiles.run_layer(spark, "bronze", ["players"])["players"]
-    return b.select(*[F.col(f"t_{c}").alias(c) for c in roles.PLAYER_FIELDS])
+    b = sqlfiles.run_layer(spark, "bronze", ["players"], _sql_views(spark, sf))["players"]
+    return b.select(*[F.col(f"t_{c}").alias(c) for c in roles.PLAYER_FIELDS], F.expr("variant_get(raw, '$.name', 'string')").alias("raw_name"))
 
 
 def q_sql_silver_players(spark, sf):
-    _sql_inputs(spark, sf)
-    sqlfiles.run_layer(spark, "bronze", ["players"])
-    return sqlfiles.run_layer(spark, "silver", ["players"])["players"].select(*_PLAYER_COLS)
+    views = _sql_views(spark, sf)
+    sqlfiles.run_layer(spark, "bronze", ["players"], views)
+    return sqlfiles.run_layer(spark, "silver", ["players"], views)["players"].select(*_PLAYER_COLS)
 
 
 def q_sql_available_players(spark, sf):
-    _sql_inputs(spark, sf)
-    out = sqlfiles.run_all(spark, league_id=LEAGUE)
+    out = sqlfiles.run_all(spark, _sql_views(spark, sf), store=scratch_path(spark, "silver"), league_id=LEAGUE)
     return out["gold_available_players"].select(*_OBJ_COLS)
 
 
@@ -178,7 +245,7 @@ def q_catalog_bronze(spark, sf):
     configure(spark)
     rows = None
     for name in ("lineitem", "orders", "events"):
-        r = bronze.records_from_dataframe(roles.raw_table(spark, sf, name), "tpch", name)
+        r = bronze.records_from_dataframe(roles.table(spark, sf, name), "tpch", name)
         rows = r if rows is None else rows.unionByName(r)
     return bronze.catalog(rows)
 
@@ -194,12 +261,67 @@ def q_sample_table(spark, sf):
 
 
 def q_latest_runs(spark, sf):
-    """L3: newest 50 runs; the events table plays the run log."""
+    """L3: newest 50 runs; the events table plays the run log. Equal times are ordered by event."""
     configure(spark)
     runs = roles.table(spark, sf, "events").select(
-        F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("league_id"), "ts"
+        F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("league_id"), "ts", "event_id"
     )
-    return newest_n(runs, "ts", RUN_HISTORY)
+    return newest_n(runs, "ts", RUN_HISTORY, ["event_id"]).drop("event_id")
+
+
+def q_run_log(spark, sf):
+    """G8 + L3: runs of all nations in one call, then of all regions in another, and the newest 50."""
+    root = scratch_path(configure(spark), "runs")
+    for kind, name, column in (("league", "nation", "n_nationkey"), ("broad", "region", "r_regionkey")):
+        ids = [str(r[0]) for r in roles.table(spark, sf, name).select(column).orderBy(column).collect()]  # 25 and 5
+        cat.record_runs(spark, root, kind, ids)
+    return cat.latest_runs(spark, root).select("kind", "league_id", "seq")
+
+
+def q_catalog_full(spark, sf):
+    """Bronze (a table without rows included), silver and gold in one table."""
+    root, s = _store(spark, sf), _silver_json(spark, sf)
+    return cat.catalog_all(bronze.scan(spark, root), s["players"], s["league"], s["rosters"], bronze.listing(spark, root))
+
+
+def q_sample_bronze(spark, sf):
+    """The first rows of a bronze table, by source and table."""
+    rows = cat.sample_table({}, "bronze", _SRC, "players", bronze.scan(spark, _store(spark, sf)))
+    f = json_fields()
+    return bronze.parsed(rows).select(f("player_id").text().alias("player_id"), f("name").text().alias("name"), f("number").as_int().alias("number"))
+
+
+def q_sample_named(spark, sf):
+    """The first keys of each of the six named silver and gold datasets."""
+    s, out = _silver_json(spark, sf), None
+    data = cat.silver_gold_datasets(s["players"], s["league"], s["rosters"])
+    for (layer, name), df in data.items():
+        key = F.concat_ws("/", *[c for c in ("league_id", "roster_id", "player_id") if c in df.columns])
+        part = cat.sample_table(data, layer, name).select(F.lit(layer).alias("layer"), F.lit(name).alias("name"), key.alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_injury_json(spark, sf):
+    """the injury report as JSON texts, a null field left out."""
+    report = gold.injury_report(_p(spark, sf), LEAGUE)
+    # every second player's time is unknown
+    unknown = F.col("player_id").cast("long") % 2 == 0
+    return gold.to_json_lines(report.withColumn("updated_at", F.when(~unknown, F.col("updated_at"))))
+
+
+def q_available_players_default(spark, sf):
+    """A request without a league uses the configured one."""
+    configure(spark).conf.set(gold.DEFAULT_LEAGUE_CONF, LEAGUE)
+    try:
+        return gold.available_players(_p(spark, sf), _r(spark, sf)).select(*_PLAYER_COLS)
+    finally:
+        spark.conf.unset(gold.DEFAULT_LEAGUE_CONF)
+
+
+def q_all_players(spark, sf):
+    """Every player, whatever league is configured."""
+    return gold.available_players(_p(spark, sf), _r(spark, sf), gold.ALL_PLAYERS).select(*_PLAYER_COLS)
 
 
 def q_parse_id_list(spark, sf):
@@ -216,7 +338,7 @@ def q_parse_id_list(spark, sf):
 def q_src_fixture_events(spark, sf):
     """A DataFrame source poured into bronze rows, parsed back into its schema."""
     configure(spark)
-    ev = roles.raw_table(spark, sf, "events")
+    ev = roles.table(spark, sf, "events")
     rows = ing.ingest_dataframe(ev, "fixture", "events")
     return bronze.typed(rows, ev.schema).drop("_seq")
 
@@ -225,29 +347,131 @@ def q_src_generic(spark, sf):
     """A reader format + options poured into bronze rows, parsed back."""
     configure(spark)
     rows = ing.ingest_format(spark, "parquet", "generic", "orders", path=f"{sf}/orders.parquet")
-    schema = roles.raw_table(spark, sf, "orders").schema
+    schema = roles.table(spark, sf, "orders").schema
     return bronze.typed(rows, schema).drop("_seq")
 
 
 def q_src_map_snapshot(spark, sf):
-    """A map snapshot of every part, landed as JSON shards, ingested into bronze
+    """A map snapshot of every part, landed as lines, ingested into bronze
     with the key injected as player_id, and read back."""
     configure(spark)
     root = scratch_path(spark, "landing")
-    part = roles.raw_table(spark, sf, "part").select(
-        "p_partkey", F.col("p_name").alias("display_name"), F.col("p_type").alias("position"),
-        F.col("p_brand").alias("team"),
-    )
-    pattern = landed.land_map_snapshot(part, "p_partkey", root)
-    rows = landed.players_snapshot(spark, root, pattern=pattern)
+    part = roles.table(spark, sf, "part")
+    entry = F.struct(F.col("p_name").alias("display_name"), F.col("p_type").alias("position"), F.col("p_brand").alias("team"))
+    part.select(F.to_json(F.create_map(F.col("p_partkey").cast("string"), entry))).write.text(f"{root}/players/0.jsonl")
+    rows = landed.players_snapshot(spark, root, pattern="players/*.jsonl", whole=False)
     return bronze.typed(rows, "player_id string, display_name string, position string, team string").drop("_seq")
 
 
+def _land(spark, sf, kind: str) -> str:
+    """Payloads of all leagues, landed as lines; every tenth one is damaged.
+
+    A league's is its customer. Rosters and matchups are lists, one per order: of a damaged list either
+    the text is cut off or one element is no object.
+    """
+    root = scratch_path(configure(spark), "landing")
+    if kind == "league":
+        t = roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("n"), F.col("c_custkey").alias("league"), F.lit(1).alias("week"),
+                                                      F.to_json(F.struct(F.col("c_name").alias("name"))).alias("payload"))
+    else:
+        od = roles.table(spark, sf, "orders")
+        item = F.struct(F.col("o_orderkey").alias("roster_id" if kind == "rosters" else "matchup_id"), F.col("o_orderpriority").alias("note"))
+        payload = F.concat(F.lit("["), F.when(F.col("o_orderkey") % 20 == 0, F.lit("17,")).otherwise(""), F.to_json(item), F.lit("]"))
+        t = od.select(F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("league"), (F.col("o_orderkey") % 3).alias("week"), payload.alias("payload"))
+    cut = F.expr("substring(payload, 1, length(payload) - 3)")
+    t = t.withColumn("payload", F.when(F.col("n") % 10 == (3 if kind == "league" else 7), cut).otherwise(F.col("payload")))
+    line = F.to_json(F.struct(F.col("league").cast("string").alias("league_id"), F.col("week"), F.col("payload")))
+    t.select(line).write.text(f"{root}/{kind}/0.jsonl")
+    return root
+
+
+def _leagues(spark, sf) -> DataFrame:
+    return roles.table(spark, sf, "customer").select("c_custkey")
+
+
+def q_src_league(spark, sf):
+    """S6a + S8 + X5: league payloads; a damaged one keeps its text and is marked."""
+    rows = landed.league_records(spark, _land(spark, sf, "league"), _leagues(spark, sf), lines=True)
+    f = F.from_json("record", "league_id string, name string")
+    return rows.select(F.when(~F.col("is_malformed"), f["league_id"]).alias("league_id"), F.when(~F.col("is_malformed"), f["name"]).alias("name"),
+                       "is_malformed", F.when(F.col("is_malformed"), F.col("record")).alias("text"))
+
+
+def _list_query(rows: DataFrame, key: str) -> DataFrame:
+    f = F.from_json("record", f"league_id string, week bigint, {key} bigint, note string")
+    good = ~F.col("is_malformed")
+    return rows.select(*[F.when(good, f[c]).alias(c) for c in ("league_id", "week", key, "note")], "is_malformed",
+                       F.when(~good, F.col("record")).alias("text"))
+
+
+def q_src_rosters(spark, sf):
+    """S6b + X5: roster payloads; damaged payloads and elements keep their text."""
+    return _list_query(landed.roster_records(spark, _land(spark, sf, "rosters"), _leagues(spark, sf), lines=True), "roster_id")
+
+
+def q_src_matchups(spark, sf):
+    """S6c + X5: matchup payloads of week 1."""
+    return _list_query(landed.matchup_records(spark, _land(spark, sf, "matchups"), _leagues(spark, sf), 1, lines=True), "matchup_id")
+
+
+def q_quarantine_counts(spark, sf):
+    """Rows and damaged rows of each landed table, written to a store and counted there."""
+    root, ids = scratch_path(configure(spark), "store"), _leagues(spark, sf)
+    bronze.append(landed.league_records(spark, _land(spark, sf, "league"), ids, lines=True), root)
+    bronze.append(landed.roster_records(spark, _land(spark, sf, "rosters"), ids, lines=True), root)
+    bronze.append(landed.matchup_records(spark, _land(spark, sf, "matchups"), ids, 1, lines=True), root)
+    return bronze.quarantine_counts(bronze.scan(spark, root)).select(F.col("tbl").alias("name"), "row_count", "malformed_count")
+
+
+def _event_lines(spark, sf, path: str) -> DataFrame:
+    ev = roles.table(configure(spark), sf, "events")
+    ev.select(F.to_json(F.struct(*ev.columns), bronze.JSON_OPTIONS)).write.text(path)
+    return ev
+
+
+def q_jsonl_load(spark, sf):
+    """JSON Lines files into bronze rows."""
+    path = scratch_path(configure(spark), "lines")
+    ev = _event_lines(spark, sf, path)
+    return bronze.typed(bronze.read_jsonl(spark, path, "fixture", "events"), ev.schema).drop("_seq")
+
+
+def q_jsonl_tree(spark, sf):
+    """A tree of JSON Lines files, loaded in one scan; rows per table."""
+    root = scratch_path(configure(spark), "tree")
+    _event_lines(spark, sf, f"{root}/fixture/events.jsonl")
+    od = roles.table(spark, sf, "orders")
+    od.select(F.to_json(F.struct(*od.columns))).write.text(f"{root}/tpch/orders.jsonl")
+    return bronze.catalog(bronze.read_jsonl_tree(spark, root))
+
+
+def q_src_datasource(spark, sf):
+    """A source written in Python, registered and read by name."""
+    path = scratch_path(configure(spark), "lines")
+    ev = _event_lines(spark, sf, path)
+    name = ing.register_datasource(spark, JsonLineFiles)
+    rows = bronze.records_from_json_column(ing.get_source(name)(spark, path=path), "record", "python", "events")
+    return bronze.typed(rows, ev.schema).drop("_seq")
+
+
+def q_pipeline_run(spark, sf):
+    """Q5 + S7 + G9: land players, leagues and rosters; ingest, conform, and ask for a league's available players."""
+    root, store = scratch_path(configure(spark), "landing"), scratch_path(spark, "store")
+    recs = roles.player_records(spark, sf).withColumn("updated_at", F.col("updated_at").cast("string")).orderBy("_seq.s1", "_seq.s2", "_seq.s3", "_seq.s4")
+    fields = [c for c in roles.PLAYER_FIELDS if c != "player_id"]
+    recs.select(F.to_json(F.create_map(F.col("player_id").cast("string"), F.struct(*fields)))).write.text(f"{root}/players/0.jsonl")
+    ro = roles.roster_records(spark, sf).orderBy("_seq.s1", "roster_id")
+    payload = F.to_json(F.array(F.struct("roster_id", "players")))
+    ro.select(F.to_json(F.struct(F.col("league_id").cast("string").alias("league_id"), payload.alias("payload")))).write.text(f"{root}/rosters/0.jsonl")
+    out = pipeline.run(spark, root, store, ", ".join(REQUESTED), league_id=LEAGUE)
+    return out["available_players"].where("player_id <> '0'").select(*_OBJ_COLS)
+
+
 def q_bronze_roundtrip(spark, sf):
     """S9 + S10: append events to a bronze store in the checkpoint folder, scan them back."""
     configure(spark)
     root = scratch_path(spark, "bronze")
-    ev = roles.raw_table(spark, sf, "events")
+    ev = roles.table(spark, sf, "events")
     bronze.append(bronze.records_from_dataframe(ev, "fixture", "events"), root, [("fixture", "events")])
     return bronze.typed(bronze.scan(spark, root, "fixture", "events"), ev.schema).drop("_seq")
 
@@ -283,6 +507,25 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_generic": q_src_generic,
     "bronze_roundtrip": q_bronze_roundtrip,
     "src_map_snapshot": q_src_map_snapshot,
+    "silver_players_json": q_silver_players_json,
+    "silver_rosters_json": q_silver_rosters_json,
+    "silver_leagues_json": q_silver_leagues_json,
+    "player_trend_texts": q_player_trend_texts,
+    "run_log": q_run_log,
+    "catalog_full": q_catalog_full,
+    "sample_bronze": q_sample_bronze,
+    "sample_named": q_sample_named,
+    "injury_json": q_injury_json,
+    "available_players_default": q_available_players_default,
+    "all_players": q_all_players,
+    "src_league": q_src_league,
+    "src_rosters": q_src_rosters,
+    "src_matchups": q_src_matchups,
+    "quarantine_counts": q_quarantine_counts,
+    "jsonl_load": q_jsonl_load,
+    "jsonl_tree": q_jsonl_tree,
+    "src_datasource": q_src_datasource,
+    "pipeline_run": q_pipeline_run,
 }
 
 
@@ -357,6 +600,18 @@ _R = _with(_BZ_ROSTERS, _SV_ROSTERS)
 _PCOLS = ", ".join(_PLAYER_COLS)
 _OCOLS = "player_id as id, player_id, name, position, team, status, age, trending"
 
+
+def _list_oracle(key: str, where: str) -> str:
+    """Orders as landed lists: one object each, a stray number before it in some, and some cut off."""
+    week = "1::bigint" if key == "matchup_id" else "null::bigint"
+    return f"""with o as (select *, o_orderkey % 10 = 7 as cut, '{{"{key}":' || o_orderkey || ',"note":"' || o_orderpriority || '"}}' as item
+        from orders where {where})
+      select case when not cut then o_custkey::varchar end as league_id, case when not cut then {week} end as week,
+        case when not cut then o_orderkey end as {key}, case when not cut then o_orderpriority end as note, cut as is_malformed,
+        case when cut then left('[' || item || ']', length(item) - 1) end as text from o
+      union all select null, null, null, null, true, '17' from o where o_orderkey % 20 = 0"""
+
+
 _ORACLES: dict[str, str] = {
     "available_players": _PRA + f"select {_PCOLS} from gd_avail",
     "gold_available_players": _PRA + f"select {_OCOLS} from gd_avail",
@@ -366,7 +621,8 @@ _ORACLES: dict[str, str] = {
     "sql_silver_players": _P + f"select {_PCOLS} from sv_players",
     "sql_bronze_players": _with(_BZ_PLAYERS)
     + """select cast(player_id as varchar) as player_id, display_name, name, position, team, status, injury_status, age,
-        cast(trending as varchar) as trending, cast(updated_at as varchar) as updated_at from bz_players""",
+        regexp_replace(cast(trending as varchar), '\\.0$', '') as trending, cast(updated_at as varchar) as updated_at,
+        cast(s3 as varchar) as number, name as raw_name from bz_players""",
     "silver_rosters": _R + "select league_id, roster_id, unnest(players) as player_id from sv_rosters",
     "silver_leagues": _with(_SV_LEAGUES) + "select league_id, name from sv_leagues",
     "league_lookup": _with(_SV_LEAGUES) + f"select league_id, name from sv_leagues where league_id = '{LEAGUE}'",
@@ -403,7 +659,7 @@ _ORACLES: dict[str, str] = {
         union all select 'gold', 'injury', count(*) from gd_injury""",
     "sample_table": _P + f"select {_PCOLS} from sv_players order by first_k limit 100",
     "latest_runs": """select event_type as kind, cast(user_id as varchar) as league_id, ts from events
-        order by ts desc limit 50""",
+        order by ts desc, event_id desc limit 50""",
     "parse_id_list": """select o_orderkey, pos - 1 as pos, league_id from (
         select o_orderkey, unnest(ids) as league_id, generate_subscripts(ids, 1) as pos from (
           select o_orderkey, list_filter(list_transform(
@@ -412,6 +668,57 @@ _ORACLES: dict[str, str] = {
     "src_fixture_events": "select * from events",
     "src_generic": "select * from orders",
     "bronze_roundtrip": "select * from events",
+    "silver_players_json": _P + f"select {_PCOLS} from sv_players",
+    "silver_rosters_json": _R + "select league_id, roster_id, unnest(players) as player_id from sv_rosters",
+    "silver_leagues_json": _with(_SV_LEAGUES) + "select league_id, name from sv_leagues",
+    "player_trend_texts": """select l_orderkey, l_linenumber, l_suppkey, n as typed, n as from_json,
+        case when l_linenumber > 3 then cast(l_quantity as int)::bigint end as whole
+        from (select *, case when l_linenumber > 3 then cast(l_quantity as int)::double
+          when l_linenumber = 3 then 10.0 * cast(l_quantity as int) end as n from lineitem)""",
+    "run_log": """select 'league' as kind, cast(n_nationkey as varchar) as league_id, (row_number() over (order by n_nationkey) - 1)::int as seq from nation
+        union all select 'broad', cast(r_regionkey as varchar), (row_number() over (order by r_regionkey) - 1)::int from region""",
+    "catalog_full": _with(_BZ_PLAYERS, _SV_PLAYERS, _BZ_ROSTERS, _SV_ROSTERS, _GD_INJURY, _SV_LEAGUES)
+    + """select 'bronze' as layer, 'league_api' as source_id, 'players' as name, count(*) as row_count from lineitem
+        union all select 'bronze', 'league_api', 'rosters', count(*) from bz_rosters
+        union all select 'bronze', 'league_api', 'league', 2 * count(*) from customer
+        union all select 'bronze', 'league_api', 'matchups', 0
+        union all select 'silver', null, 'players', count(*) from sv_players
+        union all select 'silver', null, 'league', count(*) from sv_leagues
+        union all select 'silver', null, 'rosters', count(*) from sv_rosters
+        union all select 'silver', null, 'injuries', count(*) from gd_injury
+        union all select 'gold', null, 'available_players', count(*) from sv_players
+        union all select 'gold', null, 'injury', count(*) from gd_injury""",
+    "sample_bronze": _with(_BZ_PLAYERS)
+    + """select cast(player_id as varchar) as player_id, name, s3::bigint as number from bz_players order by s1, s2, s3, s4 limit 100""",
+    "sample_named": _with(_BZ_PLAYERS, _SV_PLAYERS, _BZ_ROSTERS, _SV_ROSTERS, _GD_INJURY, _SV_LEAGUES)
+    + """, f as (select player_id, first_k from sv_players), i as (select player_id, first_k from f where player_id in (select player_id from gd_injury)),
+        r as (select cast(league_id as varchar) || '/' || cast(roster_id as varchar) as key, min((seq, roster_id)) as k from bz_rosters group by all)
+        select * from (select 'silver' as layer, 'players' as name, player_id as key from f order by first_k limit 100)
+        union all select * from (select 'gold', 'available_players', player_id from f order by first_k limit 100)
+        union all select * from (select 'silver', 'injuries', player_id from i order by first_k limit 100)
+        union all select * from (select 'gold', 'injury', player_id from i order by first_k limit 100)
+        union all select * from (select 'silver', 'league', league_id from sv_leagues order by league_id::bigint limit 100)
+        union all select * from (select 'silver', 'rosters', key from r order by k limit 100)""",
+    "injury_json": _with(_BZ_PLAYERS, _SV_PLAYERS, _GD_INJURY)
+    + """select '{"player_id":"' || player_id || '","status":"' || status || '"' || case when player_id::bigint % 2 <> 0 and updated_at is not null
+        then ',"updated_at":"' || updated_at || '"' else '' end || '}' as value from gd_injury""",
+    "available_players_default": _PRA + f"select {_PCOLS} from gd_avail",
+    "all_players": _P + f"select {_PCOLS} from sv_players",
+    "src_league": """select case when not bad then c_custkey::varchar end as league_id, case when not bad then c_name end as name, bad as is_malformed,
+        case when bad then left(t, length(t) - 3) end as text
+        from (select *, c_custkey % 10 = 3 as bad, '{"name":"' || c_name || '"}' as t from customer)""",
+    "src_rosters": _list_oracle("roster_id", "true"),
+    "src_matchups": _list_oracle("matchup_id", "o_orderkey % 3 = 1"),
+    "quarantine_counts": """select 'league' as name, count(*) as row_count, count(*) filter (c_custkey % 10 = 3)::bigint as malformed_count from customer
+        union all select 'rosters', count(*) + count(*) filter (o_orderkey % 20 = 0),
+          (count(*) filter (o_orderkey % 10 = 7) + count(*) filter (o_orderkey % 20 = 0))::bigint from orders
+        union all select 'matchups', count(*) + count(*) filter (o_orderkey % 20 = 0),
+          (count(*) filter (o_orderkey % 10 = 7) + count(*) filter (o_orderkey % 20 = 0))::bigint from orders where o_orderkey % 3 = 1""",
+    "jsonl_load": "select * from events",
+    "jsonl_tree": """select 'bronze' as layer, 'fixture' as source_id, 'events' as name, count(*) as row_count from events
+        union all select 'bronze', 'tpch', 'orders', count(*) from orders""",
+    "src_datasource": "select * from events",
+    "pipeline_run": _PRA + f"select {_OCOLS} from gd_avail",
     "src_map_snapshot": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,
         p_brand as team from part""",
 }
