@@ -6,10 +6,10 @@ is counted over all documents; a line above the host's limit is boilerplate
 and is removed, and a document of which too little is left is rejected.
 
 * A host is the document's ``source``; a null source is a host of its own.
-* Copies of a document count once: a document is identified by the smallest
-  digest of its lines, which exact copies share, and near copies as well unless
+* Copies of a document count once: for a line, a document is identified by the smallest
+  digest of its other lines, which exact copies share, and near copies as well unless
   the edit hits that line. So a line is not boilerplate because one text
-  was copied a thousand times.
+  was copied a thousand times. Documents of that line alone count as one.
 * The limit of a host is ``max(min_docs, host_share * documents of the host)``.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ingot.llm.common import NON_SPACE, SPACE, keyed, let, text_of, words
+from ingot.llm.common import NON_SPACE, SPACE, keyed, let, materialise, prepare, text_of, words
 
 MIN_WORDS = 50  # fixed by the contract
 MAX_REPEAT_PERCENT = 50  # fixed by the contract
@@ -134,8 +134,11 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(_host, h) of the lines that stand in more distinct documents of a host than its limit."""
     lines = docs.select("_host", lines_of(F.col("_text"), digest=True).alias("_l"))
-    sig = F.xxhash64(F.array_min(F.transform("_l", lambda x: x["d"])))
-    lines = lines.select("_host", sig.alias("sig"), F.explode(F.transform("_l", lambda x: x["h"])).alias("h"))
+    least = F.slice(F.array_sort(F.array_distinct(F.transform("_l", lambda x: x["d"]))), 1, 2)
+    first, second = F.get("_m", F.lit(0)), F.coalesce(F.get("_m", F.lit(1)), F.get("_m", F.lit(0)))
+    lines = lines.withColumn("_m", least).select("_host", "_m", F.explode("_l").alias("_x"))
+    other = F.xxhash64(F.when(F.col("_x.d") == first, second).otherwise(first))
+    lines = lines.select("_host", F.col("_x.h").alias("h"), other.alias("sig"))
     counted = lines.groupBy("_host", "h").agg(F.count_distinct("sig").alias("docs"))
     hosts = docs.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     return (
@@ -165,9 +168,8 @@ def _judged(rows: DataFrame, docs: DataFrame, **limits) -> DataFrame:
     """``rows`` (with the keys) beside removed and kept."""
     verdicts = line_verdicts(docs, **limits).withColumnsRenamed({"_id": "_i", "_tx": "_t", "_host": "_o"})
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")) & (F.col("_host") == F.col("_o"))
-    return rows.join(verdicts, same, "left").withColumn(
-        "kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
-    )
+    out = rows.join(verdicts, same, "left").drop("_i", "_t", "_o")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
 
 
 def quality(docs: DataFrame, **limits) -> DataFrame:
@@ -186,12 +188,47 @@ def filter_quality(docs: DataFrame, **limits) -> DataFrame:
 
     n_chars, where the table has it, follows the text. A text that loses no line stays as it is.
     """
+    prepare(docs.sparkSession)
     columns = docs.columns
     key = keyed_docs(docs)
-    out = _judged(base_rules(key), key, **limits).filter("kept")
+    # written first: a filter on the figures would be pushed below them and repeat their work for every row
+    judged = materialise(_judged(base_rules(key).drop("_row", "_text"), key, **limits), "quality")
+    judged = judged.filter("kept").dropDuplicates(["_id", "_tx", "_host"])
+    judged = judged.select(F.col("_id").alias("_i"), F.col("_tx").alias("_t"), F.col("_host").alias("_o"), "removed")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")) & (F.col("_host") == F.col("_o"))
+    out = key.join(judged, same)
     line_hash = lambda x: F.xxhash64(normalised(x))
     left = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("removed", line_hash(x)))
     text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
     out = out.withColumn("_new", text)
     new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
     return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in columns])
+
+
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as text, source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as gram
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
+r as (select doc_id, gram from g group by doc_id, gram having count(*) > 1),
+c as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g join r using (doc_id, gram)) group by doc_id),
+l as (select doc_id, source, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) as flat
+  from (select doc_id, source, unnest(string_split(text, chr(10))) as line from d)
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+n as (select doc_id, source, line, regexp_replace(flat, '[0-9]', '0', 'g') as norm from l),
+u as (select doc_id, count(*) - count(distinct line) as dup, sum(length(norm)) as whole, list_sort(list_distinct(list(md5(norm)))) as m from n group by doc_id),
+e as (select doc_id, source, norm, case when md5(norm) = m[1] then coalesce(m[2], m[1]) else m[1] end as sig from n join u using (doc_id)),
+f as (select source, norm from e join (select source as s, count(*) as docs from d group by source) h on h.s is not distinct from source
+  group by source, norm, docs having count(distinct sig) > {MIN_DOCS} and count(distinct sig) > {HOST_SHARE} * docs),
+v as (select n.doc_id, count(distinct n.norm) as removed, sum(length(n.norm)) as gone
+  from n join f on n.norm = f.norm and n.source is not distinct from f.source group by n.doc_id),
+b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    coalesce(u.dup, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, whole
+  from d left join u using (doc_id) left join c using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+    and not coalesce(100 * (whole - gone) < {MIN_LEFT_PERCENT} * whole, false) as kept,
+  coalesce(removed, 0)::bigint as n_removed
+from b left join v using (doc_id)
+"""

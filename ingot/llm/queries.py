@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ingot.llm.chat import formatted
 from ingot.llm.common import read
 from ingot.llm.html import extract_pages
@@ -14,6 +15,7 @@ from ingot.llm.minhash import near_duplicates
 from ingot.llm.mtree import top_k
 from ingot.llm.pieces import encode_documents
 from ingot.llm.pii import find_pii
+from ingot.llm.quality import ORACLE as ORACLE_QUALITY
 from ingot.llm.quality import quality
 from ingot.llm.warc import archived
 
@@ -60,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -72,8 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.ORACLE, "op8_mixing": mixing.ORACLE}
+    found = {"op2_sharding": sharding.ORACLE, "op8_mixing": mixing.ORACLE, "op10_quality": ORACLE_QUALITY}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
