@@ -9,27 +9,24 @@ from ingot.llm.common import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Per node of ``edges`` (a, b): node, root (the smallest node it can reach).
+    """Per node of ``edges`` (a, b): node, root; nodes have one root if and only if they are connected.
 
-    Each round gives every node the smallest root among itself and its
-    neighbours, then lets it take over the root of its root; the rounds end when no
-    root changes. A hub costs no more than its edges: minima are taken before
-    the shuffle, and the labels' side of each join has one row per node.
+    Each round lets every node take the smallest of itself and its neighbours as its label, and goes on
+    with the edges between different labels. A hub costs no more than its edges: minima
+    are taken before the shuffle, and the labels' side of a join has one row per node.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    both = materialise(both)
-    roots = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    edges = materialise(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
+    labels = []
     while True:
-        seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b")
-        best = seen.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(best, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        step = materialise(step)
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = step.join(jump, "root", "left").select(
-            "node", F.coalesce("far", "root").alias("root"), "was"
-        )
-        new = materialise(new)
-        changed = new.filter(F.col("root") != F.col("was")).limit(1).count()
-        roots = new.select("node", "root")
-        if not changed:
-            return roots
+        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        step = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+        labels.append(step)
+        ends = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b")
+        edges = ends.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        edges = materialise(edges)
+        if not edges.limit(1).count():
+            break
+    roots = labels[0].withColumnRenamed("label", "root")
+    for later in labels[1:]:
+        roots = roots.join(later.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return materialise(roots)

@@ -3,17 +3,17 @@
 1. Every text becomes its set of word shingles; equal sets (128-bit digest of
    the whole set) are one node, so thousands of copies cost one row from here.
 2. Nodes that agree in all coordinates of a band share its bucket. Candidates come from buckets
-   of two or more, never as all pairs of a bucket: each node is held against a hub of
-   its buckets first (the node that shares most buckets with others: in a family of copies, its middle);
-   what verifies is linked, and only nodes of a bucket that are still
-   apart are compared further, by more hubs, and at last each one
-   outside the bucket's largest component against all of the bucket that it isn't linked with.
-   So components are those of all candidate pairs, though few of the pairs are made.
-3. A candidate must agree in MARGIN standard deviations of the threshold's expectation on its sketch,
-   and is then confirmed on the two full sets.
+   of two or more, but pairs of a bucket are never made as rows. Each node is held against that hub of its
+   buckets that its sketch is nearest to (a bucket's hub shares most buckets with others: in a family of copies,
+   its middle). What verifies is linked. The nodes outside a bucket's largest component then form a group
+   with that component. Groups are cut into blocks of bounded size, and every pair of an outside node and another
+   node of its group is compared within some task: on sketches first, which leaves few nodes, then on the full sets. What
+   comes out are nodes, and links. So components are those of all candidate pairs.
+3. A candidate's sketches must agree as often as those of a pair at the threshold, less MARGIN standard deviations;
+   a link is confirmed on the two full sets.
 
 A pair of similarity 0.8 is missed with probability 5e-8 by the bands, and
-3e-7 by the sketch; a link never comes without the confirmation on full sets.
+3e-5 by the sketch; a link never comes without the confirmation on full sets.
 
 Edge cases: a text without words (or null) has an empty set, is linked with nothing and stays its own
 component; fewer words than a shingle make one shingle of all of them; repeated rows are copies,
@@ -33,9 +33,9 @@ from ingot.llm.common import keyed, materialise, prepare
 from ingot.llm.components import components
 
 PERCENT = 80  # fixed by the contract
-MARGIN = 5.0
-HUB_ROUNDS = 4
-FEW = 4  # cross-component pairs per bucket row that are tested without another round of hubs
+MARGIN = 4.0
+PER_BLOCK = 4096  # nodes of a task's block, about
+BITS = 1 << 23  # places of the bitmap that goes to every task: 1 MB
 
 
 def _least_agreement(percent: int) -> int:
@@ -52,67 +52,84 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return materialise(rows.drop("size").join(score, "id").select("key", "id", "score"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that are links."""
-    side = lambda x: nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("brief").alias(f"s_{x}"))
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .select("a", "b", "s_a", "s_b")
-        .mapInArrow(sketch.near_batches(_least_agreement(percent)), "a binary, b binary")
-    )
-    full = lambda x: sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"f_{x}"))
-    return (
-        near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "f_a", "f_b")
-        .mapInArrow(sketch.link_batches(percent), "a binary, b binary")
-    )
-
-
-def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, score, root, main) of buckets that hold more than one component; main: the largest one's root."""
-    roots = components(links)
-    now = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, y) of a node and its group, with ``block``: some PER_BLOCK rows, of small groups together or of a part of a large one."""
+    size = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    total = pairs.count()
+    parts = F.ceil(F.col("n") / PER_BLOCK)
+    alone = F.xxhash64("y", F.pmod(F.xxhash64("a"), parts))
+    block = F.when(parts > 1, alone).otherwise(F.pmod(F.xxhash64("y"), F.lit(total // PER_BLOCK + 1)))
+    return pairs.join(size, "y").select("a", "y", "own", block.alias("block"))
+
+
+def _links(pairs: DataFrame, facts: DataFrame, percent: int, schema: str, work) -> DataFrame:
+    """Run ``work`` on each block of groups: a table of outside nodes and one of the nodes they are held against.
+
+    pairs: (a, y, own), own: a is one of those that others are held against. A group of more than PER_BLOCK
+    nodes is cut into parts; every part of its outside nodes meets every part of the others.
+    """
+    placed = materialise(_blocks(materialise(pairs)).join(facts.withColumnRenamed("set_id", "a"), "a"))
+    cells = placed.select("y", "block").distinct().toDF("_y", "_b")
+    across = placed.filter("not own").join(cells, F.col("y") == F.col("_y")).drop("block", "_y").withColumnRenamed("_b", "block")
+    across = across.select(*placed.columns)
+    across = across.toDF(*across.columns)  # columns of its own, as both sides come from one table
+    return across.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(work, schema)
+
+
+def near_roots(nodes: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the nodes with a link: the components of all candidate pairs (see the module's text)."""
+    least = _least_agreement(percent)
+    brief = nodes.select("set_id", "n", "brief")
+    # 1. each node and the hub of its buckets that its sketch is nearest to
+    hub = rows.groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("b"))
+    pairs = rows.join(hub, "key").filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
+    side = lambda x: brief.toDF(x, f"n_{x}", f"s_{x}")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    near = near.mapInArrow(sketch.near_batches(least, percent), "a binary, b binary, agree int")
+    near = materialise(near.groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b")))
+    full = lambda x: sets.toDF(x, f"f_{x}")
+    both = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "f_a", "f_b")
+    roots = components(both.mapInArrow(sketch.link_batches(percent), "a binary, b binary"))
+
+    # 2. nodes outside the largest component of a bucket form a group with that component
+    now = rows.select("key", "id").join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     now = materialise(now)
     per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("n"))
-    return materialise(now.join(mixed.filter("n > 1").drop("n"), "key"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_links(nodes: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that span the components of all candidate pairs."""
-    best = lambda df: df.groupBy("key").agg(F.max(F.struct("score", "id")).alias("hub"))
-    hubs = rows.join(best(rows), "key").filter(F.col("id") != F.col("hub.id"))
-    # first each node's best hub only: most of a family is linked by it
-    first = hubs.groupBy("id").agg(F.max("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-    tested = materialise(_ordered(first))
-    links = materialise(_confirmed(tested, nodes, sets, percent))
-    for turn in range(HUB_ROUNDS + 1):
-        apart = _apart(rows, links)
-        outside = apart.filter(F.col("root") != F.col("main"))
-        other = apart.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
-        if turn < HUB_ROUNDS:
-            sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("main")).alias("out"))
-            todo = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("out")).alias("pairs")).first()
-            if not todo.n:
-                return links
-            if todo.pairs > FEW * todo.n:
-                # another hub of the largest component, another one in every round
-                pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"))
-                hub = apart.filter(F.col("root") == F.col("main")).groupBy("key").agg(F.max(pick)["id"].alias("b"))
-                pairs = outside.join(hub, "key").select(F.col("id").alias("a"), "b")
-                turn_pairs = materialise(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
-                links = materialise(links.union(_confirmed(turn_pairs, nodes, sets, percent)))
-                tested = materialise(tested.union(turn_pairs))
-                continue
-        pairs = outside.join(other, "key").filter(F.col("root") != F.col("other")).select(F.col("id").alias("a"), "b")
-        rest = _ordered(pairs).join(tested, ["a", "b"], "left_anti")
-        return materialise(links.union(_confirmed(rest, nodes, sets, percent)))
-    return links
+    mixed = per.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("y"), F.count(F.lit(1)).alias("n"))
+    now = now.join(mixed.filter("n > 1").drop("n"), "key").select(F.col("id").alias("a"), "y", (F.col("root") == F.col("y")).alias("own"))
+    groups = materialise(now.distinct())
+    if not groups.limit(1).count():
+        return roots
+    # 3. those that agree with some other node of their group well enough for a link
+    close = _links(groups, brief, percent, "a binary, y binary, own boolean", sketch.close_nodes(least, percent))
+    close = materialise(close.distinct())
+    # 4. links between them, each confirmed on the full sets
+    links = _links(close, brief.select("set_id", "brief").join(sets, "set_id"), percent, "a binary, b binary", sketch.group_links(least, percent))
+    more = materialise(links)
+    if not more.limit(1).count():
+        return roots
+    at = lambda c: roots.toDF(c, f"r_{c}")
+    ends = more.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    later = components(ends.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")))
+    old = roots.join(later.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    alone = later.join(roots, "node", "left_anti")  # nodes that had no link before
+    return materialise(old.union(alone.select("node", "root")))
+
+
+def _bits(marks: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of BITS places, those of the values of ``tx``; its size does not depend on theirs."""
+    place = F.pmod("tx", F.lit(BITS)) + 1
+    rows = marks.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def _marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The documents whose place is in the bitmap, found without a shuffle."""
+    place = F.pmod("tx", F.lit(BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
+    return found.filter(byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(F.lit(7))).cast("int")) != 0).drop("bucket", "bits")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -132,13 +149,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     # the texts of nodes that share a bucket are read once more: their sets are made from them, whole
     wanted = nodes.select("set_id", "at.*").join(rows.select(F.col("id").alias("set_id")).distinct(), "set_id")
     wanted = materialise(wanted)
-    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["tx"].eqNullSafe(wanted["tx"])
-    texts = docs.join(wanted, same).select("set_id", "text")
+    ids = wanted.toDF("set_id", "_i", "_t")
+    texts = _marked(docs, _bits(wanted)).join(ids, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tx") == F.col("_t")))
+    texts = texts.select("set_id", "text")
     sets = materialise(texts.mapInArrow(sketch.set_batches(shingle), "set_id binary, shingles binary"), "sets")
     if sets.count() > wanted.count():  # rows that are there more than once
         sets = materialise(sets.dropDuplicates(["set_id"]), "sets")
-    links = near_links(nodes, sets, rows, percent)
-    roots = components(links)
+    roots = near_roots(nodes, sets, rows, percent)
     rooted = marks.select("doc_id", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set_id"))
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -146,3 +163,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One document of each component: the one with the smallest doc_id; the columns of ``docs``.
+
+    Of rows that repeat that doc_id one stays; documents without words or without an id all stay.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    gone = materialise(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    rows = keyed(docs, F.col("doc_id"))
+    left = rows.join(gone, F.col("_k1") == F.col("doc_id"), "left_anti")
+    again = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+    again = materialise(again.select("doc_id"))
+    if not again.limit(1).count():
+        return left.select("_row.*")
+    # ids of several rows: of those, the row with the smallest text digest
+    many = left.join(again, F.col("_k1") == F.col("doc_id"), "left_semi").dropDuplicates(["_k1"])
+    once = left.join(again, F.col("_k1") == F.col("doc_id"), "left_anti")
+    return once.union(many).select("_row.*")

@@ -125,16 +125,119 @@ def set_batches(size: int):
     return run
 
 
-def near_batches(least: int):
-    """For mapInArrow over (a, b, brief_a, brief_b): the pairs that agree in ``least`` coordinates or more."""
+def near_batches(least: int, percent: int):
+    """For mapInArrow over (a, b, n_a, n_b, brief_a, brief_b): a, b, agree where sizes and sketches allow a link."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, T) for k in (2, 3))
-            mask = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in (0, 1)], names=["a", "b"])
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, T) for k in (4, 5))
+            agree = (x == y).sum(axis=1)
+            n, m = np.asarray(b.column(2)), np.asarray(b.column(3))
+            good = (agree >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
+            yield out.filter(pa.array(good))
+
+    return run
+
+
+def _rows_by_group(table: pa.Table):
+    """group -> row numbers"""
+    out = {}
+    for i, y in enumerate(table.column("y").to_pylist()):
+        out.setdefault(y, []).append(i)
+    return out
+
+
+def _briefs(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, T)
+
+
+def _agreeing(outside: pa.Table, inside: pa.Table, least: int):
+    """Row numbers (i, j array, agreement array) of the pairs of each group whose sketches agree often enough."""
+    x, y = _briefs(outside), _briefs(inside)
+    mine = _rows_by_group(inside)
+    for group, rows in _rows_by_group(outside).items():
+        there = np.array(mine.get(group, []), int)
+        if not len(there):
+            continue
+        held = y[there]
+        for i in rows:
+            agree = (held == x[i]).sum(axis=1)
+            hit = agree >= least
+            if hit.any():
+                yield i, there[hit], agree[hit]
+
+
+def close_nodes(least: int, percent: int):
+    """For cogroup.applyInArrow of a block's outside and all nodes (a, y, own, n, brief): a, y, own of those with a near other."""
+    schema = pa.schema([("a", pa.binary()), ("y", pa.binary()), ("own", pa.bool_())])
+
+    def run(outside: pa.Table, inside: pa.Table) -> pa.Table:
+        if not outside.num_rows or not inside.num_rows:
+            return schema.empty_table()
+        n, m = np.asarray(outside.column("n")), np.asarray(inside.column("n"))
+        names, others = outside.column("a").to_pylist(), inside.column("a").to_pylist()
+        first, second = set(), set()
+        for i, js, _ in _agreeing(outside, inside, least):
+            js = js[100 * np.minimum(n[i], m[js]) >= percent * np.maximum(n[i], m[js])]
+            js = [j for j in js if others[j] != names[i]]
+            if js:
+                first.add(i)
+                second.update(js)
+        out = [t.take(pa.array(sorted(k), pa.int64())).select(["a", "y", "own"]) for t, k in ((outside, first), (inside, second))]
+        return pa.concat_tables([x.cast(schema) for x in out])
+
+    return run
+
+
+def group_links(least: int, percent: int):
+    """For cogroup.applyInArrow of a block's outside and all nodes (a, y, own, brief, shingles): links (a, b) that join its components.
+
+    The nearest pairs are tested first; a pair that earlier links have joined isn't tested.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(outside: pa.Table, inside: pa.Table) -> pa.Table:
+        if not outside.num_rows or not inside.num_rows:
+            return schema.empty_table()
+        pairs = [(-int(g), i, int(j)) for i, js, agree in _agreeing(outside, inside, least) for j, g in zip(js, agree, strict=True)]
+        pairs.sort()
+        names, others = outside.column("a").to_pylist(), inside.column("a").to_pylist()
+        groups, own = inside.column("y").to_pylist(), inside.column("own").to_pylist()
+        # the nodes of a group's component are connected already, by links found before
+        root = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for name, y, mine in zip(others, groups, own, strict=True):
+            if mine:
+                root[find(name)] = find(("component", y))
+        held, found = {}, []
+
+        def shingles_of(table, k, name):
+            if name not in held:
+                held[name] = np.frombuffer(table.column("shingles")[k].as_buffer(), np.uint64)
+            return held[name]
+
+        for _, i, j in pairs:
+            a, b = names[i], others[j]
+            if find(a) == find(b):
+                continue
+            x, y = shingles_of(outside, i, a), shingles_of(inside, j, b)
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            small, large = (x, y) if len(x) <= len(y) else (y, x)
+            at = np.searchsorted(large, small)
+            shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                root[find(a)] = find(b)
+                found.append((a, b))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=schema)
 
     return run
 
