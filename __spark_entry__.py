@@ -531,7 +531,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: players available in league 7 (scan, conform, dedup on one and
-    two keys, array explode, size-checked broadcast anti-join, projection)."""
+    two keys, array explode, anti-join, projection)."""
     return q_gold_available_players(spark, SMOKE_DIR)
 
 
