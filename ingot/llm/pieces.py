@@ -6,10 +6,10 @@
 2. Lattice: every segment is exploded into its substrings of bounded length,
    these are equi-joined with the piece table (bounded by the model, so it is broadcast), and the
    matches are grouped by segment as edges.
-3. Each segment's edges are folded with higher-order ``aggregate``: the best
-   path by summed scores (Viterbi), or, for a model whose type is BPE, the merges in order of score. A
-   BPE model's encoding is defined by its merges, and the best path by its scores is another one for many
-   words, so ``ids`` come from the model's own rule and the best path's length is returned beside it.
+3. Each segment's edges are folded with higher-order ``aggregate``: for a unigram model to the
+   best path by summed scores (Viterbi), for a model whose type is BPE to what its merges, in order of score, leave.
+   A BPE model's encoding is defined by its merges, and the best path by its scores is another one for many
+   words, so Viterbi would not give the right ids there.
 4. The most frequent segments, HEAD at most, go to the tasks as a dictionary;
    the other segments of a document are joined to it from the segment table.
 
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ ships(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-HEAD = 1 << 19  # segments in the tasks' dictionary, at most: some 100 MB
+HEAD = 1 << 22  # segments in the tasks' dictionary, at most: some 150 MB
 CACHE = 100_000  # words whose ids a task remembers, at most
 PER_TASK = 20_000  # segments of a lattice partition, about
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, as in SentencePiece
@@ -118,7 +119,7 @@ _EDGE = "struct<e:int,s:int,score:double,id:int>"
 
 
 def edges(segments: DataFrame, model: Model) -> DataFrame:
-    """Per segment (seg): edges, sorted by end and start; id -1 stands for a character without a piece."""
+    """Per segment (seg, n): edges, sorted by end and start; id -1 stands for a character without a piece."""
     spark = segments.sparkSession
     rows = spark.createDataFrame(model.pieces, "piece string, id int, score double")
     n = F.length("seg")
@@ -129,10 +130,10 @@ def edges(segments: DataFrame, model: Model) -> DataFrame:
             lambda k: F.struct((s + k).alias("e"), s.alias("s"), F.substr(F.col("seg"), s + 1, k).alias("piece")),
         ),
     ))
-    parts = segments.select("seg", F.inline(parts))
+    parts = segments.select("seg", "n", F.inline(parts))
     found = parts.join(F.broadcast(rows), "piece", "left").filter("id is not null or e - s = 1")
     edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return found.groupBy("seg").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy("seg", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def best_path(edges: Column) -> Column:
@@ -211,25 +212,33 @@ def ids_of(path: Column, seg: Column, model: Model) -> Column:
 
 
 def segment_table(segments: DataFrame, model: Model) -> DataFrame:
-    """Per segment (seg, and any other columns): ids by the model's rule, n_best (pieces of the best path)."""
+    """Per segment (seg, n): ids, by the model's rule."""
     spark = segments.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * PER_TASK))
     parts = segments.count() // PER_TASK + 1
-    lattice = edges(segments.select("seg").repartition(parts, "seg"), model)
-    lattice = lattice.withColumn("best", best_path(F.col("edges")))
-    lattice = lattice.withColumn("path", merged_path(F.col("edges")) if model.merges else F.col("best"))
-    out = lattice.select(
-        "seg", ids_of(F.col("path"), F.col("seg"), model).alias("ids"),
-        F.size(ids_of(F.col("best"), F.col("seg"), model)).alias("n_best"),
-    )
-    return segments.join(out, "seg")
+    lattice = edges(segments.repartition(parts, "seg"), model)
+    path = (merged_path if model.merges else best_path)(F.col("edges"))
+    return lattice.withColumn("path", path).select("seg", "n", ids_of(F.col("path"), F.col("seg"), model).alias("ids"))
 
 
 # --------------------------------------------------------------------------- documents
 
 
-def _head(table: DataFrame, most: int) -> tuple[dict[str, tuple[bytes, int]], int]:
-    """The segments above the count at which ``most`` at most are left: those, and that count."""
+def _digest(seg: str) -> bytes:
+    return xxhash.xxh3_128_digest(seg.encode("utf-8", "surrogatepass"))
+
+
+def pack_batches(batches):
+    """For mapInArrow over (seg, ids): key (a 128-bit digest), ids (4 bytes each)."""
+    for b in batches:
+        keys = [_digest(s) for s in b.column(0).to_pylist()]
+        flat, ends = np.asarray(b.column(1).flatten(), "<i4"), np.asarray(b.column(1).value_lengths()).cumsum()
+        packed = [flat[e - n : e].tobytes() for e, n in zip(ends, b.column(1).value_lengths().to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["key", "ids"])
+
+
+def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
+    """The segments above the count at which ``most`` at most are left: sorted keys, ends and ids; and that count's step."""
     step = F.floor(8 * F.log2(F.col("n")))
     by = sorted(table.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"])  # 500 rows at most
     total, least = 0, None
@@ -238,47 +247,64 @@ def _head(table: DataFrame, most: int) -> tuple[dict[str, tuple[bytes, int]], in
         if total > most:
             break
         least = r["b"]
+    empty = np.empty(0, "V16"), np.zeros(1, np.int64), b""
     if least is None:
-        return {}, 0
-    rows = table.filter(step >= least).select("seg", "ids", "n_best").toLocalIterator()
-    return {r["seg"]: (np.array(r["ids"], "<i4").tobytes(), r["n_best"]) for r in rows}, least
+        return empty, None
+    rows = table.filter(step >= least).select("seg", "ids").mapInArrow(pack_batches, "key binary, ids binary").toArrow()
+    if not rows.num_rows:
+        return empty, least
+    # plain buffers: millions of entries are some 30 bytes each
+    keys = np.frombuffer(rows.column(0).combine_chunks().buffers()[2], "V16", count=rows.num_rows)
+    order = np.argsort(keys.view(np.uint64).reshape(-1, 2)[:, 0], kind="stable")
+    ids = rows.column(1).combine_chunks().take(pa.array(order))
+    ends = np.frombuffer(ids.buffers()[1], np.int32, count=len(ids) + 1).astype(np.int64)
+    return (keys[order], ends, ids.buffers()[2].to_pybytes()), least
 
 
 class _Encoder:
     """A task's view of the dictionary: ids of words, from the head and the document's own rest."""
 
     def __init__(self, head):
-        self.head, self.words = head, {}
+        self.keys, self.ends, self.ids = head
+        self.first = self.keys.view(np.uint64).reshape(-1, 2)[:, 0]
+        self.words = {}
+
+    def _segment(self, seg: str) -> bytes | None:
+        key = _digest(seg)
+        want = np.frombuffer(key, np.uint64)[0]
+        at = int(self.first.searchsorted(want))
+        while at < len(self.first) and self.first[at] == want:
+            if self.keys[at].tobytes() == key:
+                return self.ids[self.ends[at] : self.ends[at + 1]]
+            at += 1
+        return None
+
+    def _known(self, w: str) -> bytes | None:
+        got = [self._segment(s) for s in SEGMENT.findall(MARK + w)]
+        if None in got:
+            return None
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        self.words[w] = out = b"".join(got)
+        return out
 
     def missing(self, text: str) -> set[str]:
         out = set()
         for w in set(words_of(text)):
-            if w not in self.words and not self._known(w):
-                out.update(s for s in SEGMENT.findall(MARK + w) if s not in self.head)
+            if w not in self.words and self._known(w) is None:
+                out.update(s for s in SEGMENT.findall(MARK + w) if self._segment(s) is None)
         return out
 
-    def _known(self, w: str) -> bool:
-        got = [self.head.get(s) for s in SEGMENT.findall(MARK + w)]
-        if None in got:
-            return False
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[w] = (b"".join(x[0] for x in got), sum(x[1] for x in got))
-        return True
-
-    def encode(self, text: str, rest: dict) -> tuple[bytes, int]:
-        out, best = [], 0
+    def encode(self, text: str, rest: dict[str, bytes]) -> bytes:
+        out = []
         for w in words_of(text):
             got = self.words.get(w)
             if got is None:
-                if self._known(w):
-                    got = self.words[w]
-                else:
-                    parts = [self.head.get(s) or rest[s] for s in SEGMENT.findall(MARK + w)]
-                    got = (b"".join(x[0] for x in parts), sum(x[1] for x in parts))
-            out.append(got[0])
-            best += got[1]
-        return b"".join(out), best
+                got = self._known(w)
+            if got is None:
+                got = b"".join(rest[s] if s in rest else self._segment(s) for s in SEGMENT.findall(MARK + w))
+            out.append(got)
+        return b"".join(out)
 
 
 def rest_batches(head):
@@ -297,23 +323,19 @@ def rest_batches(head):
 
 
 def encode_batches(head):
-    """For mapInArrow over (_id, text, rest): _id, text, ids, n_best."""
+    """For mapInArrow over (_id, text, rest): _id, text, ids."""
 
     def run(batches):
         encoder = _Encoder(head.value)
         for b in batches:
-            ids, best = [], []
+            ids = []
             for t, rest in zip(b.column(1), b.column(2), strict=True):
-                own = {r["seg"]: (np.array(r["ids"], "<i4").tobytes(), r["n_best"]) for r in rest.as_py() or []}
-                x, n = encoder.encode(t.as_py(), own)
-                ids.append(x)
-                best.append(n)
+                own = {r["seg"]: np.array(r["ids"], "<i4").tobytes() for r in rest.as_py() or []}
+                ids.append(encoder.encode(t.as_py(), own))
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype("<i4")
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(best, pa.int64())],
-                names=["_id", "text", "ids", "n_best"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["_id", "text", "ids"])
 
     return run
 
@@ -326,7 +348,7 @@ def decode(ids: Column, model: Model) -> Column:
 
 
 def encode_documents(docs: DataFrame, model: Model | None = None, head: int = HEAD) -> DataFrame:
-    """doc_id, n_pieces, n_best, ids, decoded (the ids give the text back): one row per document."""
+    """doc_id, n_pieces, ids, decoded (the ids give the text back): one row per document."""
     spark: SparkSession = prepare(docs.sparkSession)
     model = model or Model.load()
     docs = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_tx"), text_of().alias("text"))
@@ -335,17 +357,17 @@ def encode_documents(docs: DataFrame, model: Model | None = None, head: int = HE
     table = materialise(segment_table(materialise(counts, "segments"), model), "pieces")
     common, least = _head(table, head)
     shared = spark.sparkContext.broadcast(common)
-    rest = docs.mapInArrow(rest_batches(shared), f"_id {kind}, _tx long, seg string").distinct()
-    rare = table.filter(F.floor(8 * F.log2(F.col("n"))) < least) if common else table
-    rest = rest.join(rare.select("seg", "ids", "n_best"), "seg").groupBy("_id", "_tx")
-    rest = rest.agg(F.collect_list(F.struct("seg", "ids", "n_best")).alias("rest"))
-    rest = rest.withColumnsRenamed({"_id": "_i", "_tx": "_t"})
-    whole = docs.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
-    out = whole.select("_id", "text", "rest").mapInArrow(
-        encode_batches(shared), f"_id {kind}, text string, ids array<int>, n_best long"
-    )
+    rare = table if least is None else table.filter(F.floor(8 * F.log2(F.col("n"))) < least)
+    rows = docs.select("_id", "text", F.lit(None).cast("array<struct<seg:string,ids:array<int>>>").alias("rest"))
+    if rare.limit(1).count():  # segments beyond the dictionary: joined to the documents that hold them
+        rest = docs.mapInArrow(rest_batches(shared), f"_id {kind}, _tx long, seg string").distinct()
+        rest = rest.join(rare.select("seg", "ids"), "seg").groupBy("_id", "_tx")
+        rest = rest.agg(F.collect_list(F.struct("seg", "ids")).alias("rest")).toDF("_i", "_t", "rest")
+        whole = docs.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
+        rows = whole.select("_id", "text", "rest")
+    out = rows.mapInArrow(encode_batches(shared), f"_id {kind}, text string, ids array<int>")
     back = F.when(F.size("ids") > 0, decode(F.col("ids"), model)).otherwise("")
     return out.select(
-        F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "n_best", "ids",
+        F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids",
         (back == F.replace(F.col("text"), F.lit(MARK), F.lit(" "))).alias("decoded"),
     )
