@@ -6,10 +6,10 @@ is counted over all documents; a line above the host's limit is boilerplate
 and is removed, and a document of which too little is left is rejected.
 
 * A host is the document's ``source``; a null source is a host of its own.
-* Copies of a document count once: for a line, a document is identified by the smallest
-  digest of its other lines, which exact copies share, and near copies as well unless
-  the edit hits that line. So a line is not boilerplate because one text
-  was copied a thousand times. Documents of that line alone count as one.
+* Copies of a document count once: a document is identified by a digest of the set of all its
+  normalised lines, which copies share. So a line is not boilerplate because one text
+  was copied a thousand times. Documents of that line alone count as one. Near copies that
+  differ in a normalised line are distinct documents: nothing tells them from documents around a shared block.
 * The limit of a host is ``max(min_docs, host_share * documents of the host)``.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not
@@ -47,13 +47,10 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.lower(flat), "[0-9]", "0")
 
 
-def lines_of(text: Column, *, digest: bool) -> Column:
-    """Normalised lines that hold a word: hash, code points, and where asked for a digest."""
+def lines_of(text: Column) -> Column:
+    """Normalised lines that hold a word: hash, code points."""
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_SPACE))
-    return F.transform(
-        F.transform(full, normalised),
-        lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"), *([F.md5(x).alias("d")] if digest else [])),
-    )
+    return F.transform(F.transform(full, normalised), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
 
 
 def windows(w: Column) -> Column:
@@ -124,7 +121,7 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """One row per line: _id, _tx, _host, whole (code points of the document's lines), p, h, n."""
-    lines = docs.select("_id", "_tx", "_host", lines_of(F.col("_text"), digest=False).alias("_l"))
+    lines = docs.select("_id", "_tx", "_host", lines_of(F.col("_text")).alias("_l"))
     whole = F.aggregate("_l", F.lit(0), lambda a, x: a + x["n"])
     return lines.select("_id", "_tx", "_host", whole.alias("whole"), F.posexplode("_l").alias("p", "_x")).select(
         "_id", "_tx", "_host", "whole", "p", "_x.h", "_x.n"
@@ -133,13 +130,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(_host, h) of the lines that stand in more distinct documents of a host than its limit."""
-    lines = docs.select("_host", lines_of(F.col("_text"), digest=True).alias("_l"))
-    least = F.slice(F.array_sort(F.array_distinct(F.transform("_l", lambda x: x["d"]))), 1, 2)
-    first, second = F.get("_m", F.lit(0)), F.coalesce(F.get("_m", F.lit(1)), F.get("_m", F.lit(0)))
-    lines = lines.withColumn("_m", least).select("_host", "_m", F.explode("_l").alias("_x"))
-    other = F.xxhash64(F.when(F.col("_x.d") == first, second).otherwise(first))
-    lines = lines.select("_host", F.col("_x.h").alias("h"), other.alias("sig"))
-    counted = lines.groupBy("_host", "h").agg(F.count_distinct("sig").alias("docs"))
+    lines = docs.select("_host", lines_of(F.col("_text")).alias("_l"))
+    lines = lines.select("_host", F.array_sort(F.array_distinct(F.transform("_l", lambda x: x["h"]))).alias("_s"))
+    lines = lines.select("_host", F.xxhash64("_s").alias("doc"), F.explode("_s").alias("h"))
+    counted = lines.groupBy("_host", "h").agg(F.count_distinct("doc").alias("docs"))
     hosts = docs.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     return (
         counted.filter(F.col("docs") > min_docs)

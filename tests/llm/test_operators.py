@@ -71,6 +71,18 @@ def test_quality_removes_lines_of_many_documents(spark):
     assert set(texts) == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_removes_a_block_of_shared_lines(spark):
+    block = [f"menu {a}{b}" for a in "abcde" for b in "uvwxyz"]
+    rows = [(i, "\n".join([*block, prose(i, 60)]), "h1") for i in range(40)]  # one line of its own each
+    rows += [(100 + i, "\n".join([*block[:3], prose(500, 60)]), "h2") for i in range(40)]  # true copies
+    docs = docs_of(spark, rows)
+    limits = {"min_docs": 20, "host_share": 0.0}
+    got = {r["doc_id"]: r["n_removed"] for r in quality.quality(docs, **limits).collect()}
+    assert got == {i: 30 if i < 100 else 0 for i, _, _ in rows}
+    texts = {r["doc_id"]: r["text"] for r in quality.filter_quality(docs, **limits).collect()}
+    assert all(texts[i] == prose(i, 60) for i in range(40))
+
+
 def test_quality_empty(spark):
     empty = docs_of(spark, []).limit(0)
     assert quality.quality(empty).count() == 0 and quality.filter_quality(empty).count() == 0
