@@ -6,9 +6,9 @@
    of two or more, but pairs of a bucket are never made as rows. Each node is held against that hub of its
    buckets that its sketch is nearest to (a bucket's hub shares most buckets with others: in a family of copies,
    its middle). What verifies is linked. The nodes outside a bucket's largest component then form a group
-   with that component. Groups are cut into blocks of bounded size, and every pair of an outside node and another
-   node of its group is compared within some task: on sketches first, which leaves few nodes, then on the full sets. What
-   comes out are nodes, and links. So components are those of all candidate pairs.
+   with that component. Outside nodes and the others are cut into parts of bounded size, and every pair of an outside
+   node and another node of its group is compared in a cell of two parts: on sketches first, which leaves few nodes, then
+   on the full sets. What comes out are nodes, and links. So components are those of all candidate pairs.
 3. A candidate's sketches must agree as often as those of a pair at the threshold, less MARGIN standard deviations;
    a link is confirmed on the two full sets.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ingot.llm import sketch
@@ -34,7 +34,8 @@ from ingot.llm.components import components
 
 PERCENT = 80  # fixed by the contract
 MARGIN = 4.0
-PER_BLOCK = 4096  # nodes of a task's block, about
+PER_BLOCK = 4096  # nodes of a part at most, about
+PER_BYTES = 1 << 26  # the same for the bytes of its full sets
 BITS = 1 << 23  # places of the bitmap that goes to every task: 1 MB
 
 
@@ -52,28 +53,44 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return materialise(rows.drop("size").join(score, "id").select("key", "id", "score"))
 
 
-def _blocks(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, y) of a node and its group, with ``block``: some PER_BLOCK rows, of small groups together or of a part of a large one."""
-    size = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.count()
-    parts = F.ceil(F.col("n") / PER_BLOCK)
-    alone = F.xxhash64("y", F.pmod(F.xxhash64("a"), parts))
-    block = F.when(parts > 1, alone).otherwise(F.pmod(F.xxhash64("y"), F.lit(total // PER_BLOCK + 1)))
-    return pairs.join(size, "y").select("a", "y", "own", block.alias("block"))
+def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outside nodes and all nodes of each group, each with the ``cell`` of every comparison that it takes part in.
+
+    The outside nodes of a group are cut into parts, and so are the others. A cell is a part of outside nodes and one
+    that it is held against: a part of the others, the part itself or a later outside part. Small groups share a cell.
+    """
+    weight = F.lit(PER_BYTES // PER_BLOCK)
+    if "shingles" in rows.columns:
+        weight = weight + F.octet_length("shingles")
+    sums = [F.sum(F.when(F.col("own") == own, weight).otherwise(0)).alias(c) for own, c in ((False, "out"), (True, "in"))]
+    size = materialise(rows.groupBy("y").agg(*sums))
+    total = size.agg(F.sum(F.col("out") + F.col("in"))).first()[0] or 0
+    outs, ins = F.greatest(F.ceil(F.col("out") / PER_BYTES), F.lit(1)), F.ceil(F.col("in") / PER_BYTES)
+    size = size.select(
+        F.col("y").alias("_y"), outs.alias("_outs"), ins.alias("_ins"),
+        F.when(F.col("out") + F.col("in") <= PER_BYTES // 8, F.pmod(F.xxhash64("y"), F.lit(total // PER_BYTES + 1))).alias("_small"),
+    )
+    h = F.xxhash64("a")
+    part = F.when(F.col("own"), F.col("_outs") + F.pmod(h, F.greatest("_ins", F.lit(1)))).otherwise(F.pmod(h, "_outs"))
+    placed = rows.join(size, F.col("y") == F.col("_y")).withColumn("_part", part)
+    against = F.transform(F.sequence(F.col("_part"), F.col("_outs") + F.col("_ins") - 1), lambda t: F.xxhash64("y", "_part", t))
+    held = F.transform(F.sequence(F.lit(0).cast("long"), F.least("_part", F.col("_outs") - 1)), lambda q: F.xxhash64("y", q, "_part"))
+
+    def side(df: DataFrame, cells: Column) -> DataFrame:
+        cells = F.when(F.col("_small").isNotNull(), F.array("_small")).otherwise(cells)
+        out = df.select(*rows.columns, F.explode(cells).alias("cell"))
+        return out.toDF(*out.columns)  # columns of its own, as both sides come from one table
+
+    return side(placed.filter("not own"), against), side(placed, held)
 
 
 def _links(pairs: DataFrame, facts: DataFrame, percent: int, schema: str, work) -> DataFrame:
-    """Run ``work`` on each block of groups: a table of outside nodes and one of the nodes they are held against.
+    """Run ``work`` on each cell of groups: a table of outside nodes and one of the nodes they are held against.
 
-    pairs: (a, y, own), own: a is one of those that others are held against. A group of more than PER_BLOCK
-    nodes is cut into parts; every part of its outside nodes meets every part of the others.
+    pairs: (a, y, own), own: a is one of those that others are held against.
     """
-    placed = materialise(_blocks(materialise(pairs)).join(facts.withColumnRenamed("set_id", "a"), "a"))
-    cells = placed.select("y", "block").distinct().toDF("_y", "_b")
-    across = placed.filter("not own").join(cells, F.col("y") == F.col("_y")).drop("block", "_y").withColumnRenamed("_b", "block")
-    across = across.select(*placed.columns)
-    across = across.toDF(*across.columns)  # columns of its own, as both sides come from one table
-    return across.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(work, schema)
+    outside, inside = _cells(materialise(pairs.join(facts.withColumnRenamed("set_id", "a"), "a")))
+    return outside.groupBy("cell").cogroup(inside.groupBy("cell")).applyInArrow(work, schema)
 
 
 def near_roots(nodes: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

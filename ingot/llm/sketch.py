@@ -22,6 +22,7 @@ T = 128
 ROWS = 4  # coordinates in a band: 32 bands miss a pair of similarity 0.8 once in 2e7
 BANDS = T // ROWS
 EMPTY = np.uint64(2**64 - 1)
+PAIRS = 1 << 18  # pairs that are sorted at once, about
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -170,8 +171,27 @@ def _agreeing(outside: pa.Table, inside: pa.Table, least: int):
                 yield i, there[hit], agree[hit]
 
 
+def _nearest_first(outside: pa.Table, inside: pa.Table, least: int):
+    """Pairs (i, j) of ``_agreeing``, in batches of some PAIRS, of each batch the nearest first."""
+    held, n = [], 0
+
+    def ordered():
+        i, j, agree = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.argsort(-agree, kind="stable")
+        return zip(i[at].tolist(), j[at].tolist(), strict=True)
+
+    for i, js, agree in _agreeing(outside, inside, least):
+        held.append((np.full(len(js), i), js, agree))
+        n += len(js)
+        if n >= PAIRS:
+            yield from ordered()
+            held, n = [], 0
+    if held:
+        yield from ordered()
+
+
 def close_nodes(least: int, percent: int):
-    """For cogroup.applyInArrow of a block's outside and all nodes (a, y, own, n, brief): a, y, own of those with a near other."""
+    """For cogroup.applyInArrow of a cell's outside and all nodes (a, y, own, n, brief): a, y, own of those with a near other."""
     schema = pa.schema([("a", pa.binary()), ("y", pa.binary()), ("own", pa.bool_())])
 
     def run(outside: pa.Table, inside: pa.Table) -> pa.Table:
@@ -193,17 +213,15 @@ def close_nodes(least: int, percent: int):
 
 
 def group_links(least: int, percent: int):
-    """For cogroup.applyInArrow of a block's outside and all nodes (a, y, own, brief, shingles): links (a, b) that join its components.
+    """For cogroup.applyInArrow of a cell's outside and all nodes (a, y, own, brief, shingles): links (a, b) that join its components.
 
-    The nearest pairs are tested first; a pair that earlier links have joined isn't tested.
+    The nearest pairs of a batch are tested first; a pair that earlier links have joined isn't tested.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(outside: pa.Table, inside: pa.Table) -> pa.Table:
         if not outside.num_rows or not inside.num_rows:
             return schema.empty_table()
-        pairs = [(-int(g), i, int(j)) for i, js, agree in _agreeing(outside, inside, least) for j, g in zip(js, agree, strict=True)]
-        pairs.sort()
         names, others = outside.column("a").to_pylist(), inside.column("a").to_pylist()
         groups, own = inside.column("y").to_pylist(), inside.column("own").to_pylist()
         # the nodes of a group's component are connected already, by links found before
@@ -224,7 +242,7 @@ def group_links(least: int, percent: int):
                 held[name] = np.frombuffer(table.column("shingles")[k].as_buffer(), np.uint64)
             return held[name]
 
-        for _, i, j in pairs:
+        for i, j in _nearest_first(outside, inside, least):
             a, b = names[i], others[j]
             if find(a) == find(b):
                 continue

@@ -161,6 +161,46 @@ def test_near_duplicates_match_all_pairs(spark, shingle):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PER_BLOCK", 8)
+    monkeypatch.setattr(sketch, "PAIRS", 20, raising=False)
+    base = prose(1, 150, 3000)
+    rows = [(i, edited(base, i, 12)) for i in range(150)]
+    chain = base
+    for i in range(30):
+        chain = edited(chain, 900 + i, 6)
+        rows.append((400 + i, chain))
+    got = minhash.near_duplicates(docs_of(spark, [(i, t, "a") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.near(rows, 5)
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_near_duplicates_cells_are_bounded_on_both_sides(spark, monkeypatch, full):
+    size = 40_000 if full else 1
+    if full:  # cut by the bytes of the sets
+        monkeypatch.setattr(minhash, "PER_BYTES", 10 * size, raising=False)
+    else:
+        monkeypatch.setattr(minhash, "PER_BLOCK", 10)
+    groups = {b"y": (120, 40), b"z": (60, 0), b"s": (2, 1), b"o": (1, 90)}
+    rows = [(y + b"%d" % i, y, i >= n) for y, (n, m) in groups.items() for i in range(n + m)]
+    pairs = spark.createDataFrame(rows, "a binary, y binary, own boolean")
+    column = "shingles" if full else "brief"
+    facts = spark.createDataFrame([(a, b"x" * size) for a, _, _ in rows], f"set_id binary, {column} binary")
+
+    def met(outside, inside):
+        import pyarrow as pa
+
+        x, y = (list(zip(t["a"].to_pylist(), t["y"].to_pylist(), strict=True)) for t in (outside, inside))
+        both = [(a, b, len(x), len(y)) for a, g in x for b, h in y if g == h]
+        names = {"a": pa.binary(), "b": pa.binary(), "n": pa.int64(), "m": pa.int64()}
+        return pa.table({k: pa.array([r[i] for r in both], t) for i, (k, t) in enumerate(names.items())})
+
+    got = minhash._links(pairs, facts, 80, "a binary, b binary, n long, m long", met).collect()
+    assert max(r["n"] for r in got) <= 30 and max(r["m"] for r in got) <= 30
+    seen = {frozenset((r["a"], r["b"])) for r in got}
+    assert all(frozenset((a, b)) in seen for a, y, own in rows if not own for b, z, _ in rows if y == z)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(docs_of(spark, ODD), shingle=2).collect()
     assert len(got) == len(ODD)
