@@ -17,7 +17,8 @@ again after the parse.
 
 Nothing is lost: a payload that is not JSON is one row with its whole text and
 ``is_malformed``; so is each element (and each league payload) that is JSON but no
-object, because no key can be injected into it.
+object, because no key can be injected into it. So is a line that cannot be read as {league_id, week, payload}: as
+its league or week is unknown, every ingest that would take one of its file takes it, with the whole line as text.
 
 Key injection follows ``{"league_id": L, **payload}``: the payload wins when
 it carries the key itself, even with a null value.
@@ -35,6 +36,7 @@ from ingot.sources import bronze, files
 SOURCE_ID = "league_api"
 PAYLOAD_MAP = "map<string,variant>"
 PAYLOAD_LIST = "array<variant>"
+LINE = "league_id string, week string, payload string, cut string"
 
 Leagues = list[str] | DataFrame
 
@@ -122,18 +124,25 @@ def _of_leagues(
     if t is None:
         return None
     if lines:
-        line = F.from_json("value", "league_id string, week bigint, payload string")
-        t = t.withColumn("_l", line).where(F.lit(True) if week is None else F.col("_l.week") == week)
-        t = t.select(
-            F.col("_l.payload").alias("value"), F.try_parse_json("_l.payload").alias("doc"), "_file", "_block",
-            F.col("_l.league_id").alias("_league"),
-        )
+        line = F.from_json("value", LINE, {"columnNameOfCorruptRecord": "cut"})
+        at = F.col("_l.week").try_cast("bigint")
+        # no league can be told from a line that is not one JSON object, whatever the parser made of its beginning;
+        # within brackets, because the parsers stop after a first value
+        alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", PAYLOAD_LIST))
+        unread = ~alone.eqNullSafe(F.lit(1)) | F.col("_l.cut").isNotNull() | F.col("_l.league_id").isNull()
+        bad = unread | F.col("_l.payload").isNull() | (F.lit(False) if week is None else at.isNull())
+        t = t.withColumn("_l", line).withColumns({"_bad": bad, "_league": F.when(~unread, F.col("_l.league_id"))})
+        if week is not None:
+            t = t.where(F.col("_bad") | (at == week))
+        text = F.when(F.col("_bad"), F.col("value")).otherwise(F.col("_l.payload"))
+        t = t.select(text.alias("value"), F.when(~F.col("_bad"), F.try_parse_json("_l.payload")).alias("doc"), "_file", "_block", "_league")
     else:
         t = t.withColumn("_league", F.regexp_extract("_file", path, 1))
     if isinstance(league_ids, DataFrame):
         ids = league_ids.select(F.col(league_ids.columns[0]).cast("string").alias("_league"))
-        return t.join(ids, "_league", "left_semi")
-    return t.where(F.col("_league").isin([str(i) for i in league_ids]))
+        known = t.join(ids, "_league", "left_semi")
+        return known.unionByName(t.where(F.col("_league").isNull())) if lines else known
+    return t.where(F.col("_league").isNull() | F.col("_league").isin([str(i) for i in league_ids]))
 
 
 def league_records(spark: SparkSession, landing: str, league_ids: Leagues, batch_id: int = 0, lines: bool = False) -> DataFrame:

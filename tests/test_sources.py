@@ -86,6 +86,24 @@ def test_ingest_of_leagues_as_files_and_lines(spark, tmp_path):
     assert {r.record for r in bronze.quarantine(rows).collect()} == {"5", "[{"}
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_damaged_outer_lines_are_kept_whole(spark, tmp_path, as_table):
+    line = lambda i, week, payload: json.dumps({"league_id": i, "week": week, "payload": json.dumps(payload)})
+    lost = [line("1", 1, [{"n": 3}])[:k] for k in (8, 20, 35, -3, -1)] + ["not JSON", "17", '["1"]', '{"week": 1, "payload": "[]"}',
+            '{"league_id": null, "week": 1, "payload": "[]"}', '{"league_id": "1", "week": 1}', '{"league_id": "1", "week": 1, "payload": null}',
+            line("1", 1, []) * 2, line("1", 1, []) + "x"]
+    for kind, payload in (("league", {"n": 1}), ("rosters", [{"n": 1}]), ("matchups", [{"n": 1}])):
+        good = [line("1", 1, payload), line("2", 1, payload), line("1", 2, payload)]
+        land(tmp_path, f"{kind}/0.jsonl", "\n".join([*good, *lost, '{"league_id": "1", "week": "x", "payload": "[]"}', '{"league_id": "2"}']))
+    ids = spark.createDataFrame([("1",)], "id string") if as_table else ["1"]
+    ends = {"league": ["[]"], "rosters": [], "matchups": ['{"league_id": "1", "week": "x", "payload": "[]"}']}
+    reads = {"league": landed.league_records, "rosters": landed.roster_records, "matchups": landed.matchup_records}
+    for kind, read in reads.items():
+        got = rows_of(read(spark, str(tmp_path), ids, lines=True))
+        assert sorted(r for bad, r in got if bad) == sorted([*lost, *ends[kind]]), kind
+        assert sum(not bad for bad, _ in got) == (1 if kind == "matchups" else 2)
+
+
 def test_a_wrong_path_is_an_error_and_an_empty_one_is_not(spark, tmp_path):
     assert landed.players_snapshot(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="nosuch"):
