@@ -10,7 +10,7 @@ import corpus_pipeline
 from ingot.llm.chat import formatted
 from ingot.llm.common import read
 from ingot.llm.html import extract_pages
-from ingot.llm import merkle, mixing, sharding
+from ingot.llm import bytepairs, merkle, mixing, sharding
 from ingot.llm.minhash import near_duplicates
 from ingot.llm.mtree import top_k
 from ingot.llm.pieces import encode_documents
@@ -62,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.encoded(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
+        "op11_bytepairs": op11_bytepairs,
         "op13_merkle": op13_merkle,
         "pipeline": pipeline,
     }
