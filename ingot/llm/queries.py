@@ -10,7 +10,7 @@ import corpus_pipeline
 from ingot.llm.chat import formatted
 from ingot.llm.common import read
 from ingot.llm.html import extract_pages
-from ingot.llm import bytepairs, merkle, mixing, sharding
+from ingot.llm import bytepairs, merkle, mixing, negatives, sharding
 from ingot.llm.minhash import near_duplicates
 from ingot.llm.mtree import top_k
 from ingot.llm.pieces import encode_documents
@@ -66,6 +66,10 @@ def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.encoded(read(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": op9_chat,
         "op10_quality": op10_quality,
         "op11_bytepairs": op11_bytepairs,
+        "op12_negatives": op12_negatives,
         "op13_merkle": op13_merkle,
         "pipeline": pipeline,
     }
