@@ -29,6 +29,7 @@ from ingot.operators.dedup import latest_wins  # noqa: E402
 from ingot.operators.limit import RUN_HISTORY, SAMPLE_ROWS, first_n, newest_n  # noqa: E402
 from ingot.plans import catalog as cat  # noqa: E402
 from ingot.plans import gold, roles  # noqa: E402
+from ingot.plans import leagues as multi  # noqa: E402
 from ingot.plans import silver as sv  # noqa: E402
 from ingot.plans import pipeline, sqlfiles  # noqa: E402
 from ingot.session import configure, scratch_path  # noqa: E402
@@ -144,7 +145,33 @@ def q_gold_waiver_by_score(spark, sf):
     )
 
 
-# --------------------------------------------------------------------------- SQL files
+# --------------------------------------------------------------------------- all leagues
+def _league_ids(spark, sf) -> DataFrame:
+    return roles.silver_leagues(configure(spark), sf).select("league_id")
+
+
+def q_waiver_all_leagues(spark, sf):
+    """The first five available players of every league, in arrival order."""
+    return multi.waiver_all(_p(spark, sf), _r(spark, sf), _league_ids(spark, sf), 5)
+
+
+def q_waiver_all_leagues_by_score(spark, sf):
+    """X4 by score."""
+    return multi.waiver_all(_p(spark, sf), _r(spark, sf), _league_ids(spark, sf), 5, "score")
+
+
+def q_available_all_leagues(spark, sf):
+    """How many players each league has available, and a digest of the bitmaps that say which."""
+    players = multi.ranked_players(_p(spark, sf))
+    return multi.available_all(players, multi.excluded_bitmaps(players, _r(spark, sf)), _league_ids(spark, sf))
+
+
+def q_available_expanded(spark, sf):
+    """One league's available players, expanded from its bitmaps."""
+    players = multi.ranked_players(_p(spark, sf))
+    return multi.expand(players, multi.excluded_bitmaps(players, _r(spark, sf)), LEAGUE).select(*_PLAYER_COLS)
+
+
 # --------------------------------------------------------------------------- the store of JSON records
 _STORES: dict[tuple[str, str], str] = {}
 _SRC = landed.SOURCE_ID
@@ -498,6 +525,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leagues_missing": q_leagues_missing,
     "gold_waiver": q_gold_waiver,
     "gold_waiver_by_score": q_gold_waiver_by_score,
+    "waiver_all_leagues": q_waiver_all_leagues,
+    "waiver_all_leagues_by_score": q_waiver_all_leagues_by_score,
+    "available_all_leagues": q_available_all_leagues,
+    "available_expanded": q_available_expanded,
     "catalog_bronze": q_catalog_bronze,
     "catalog_all": q_catalog_all,
     "sample_table": q_sample_table,
@@ -612,7 +643,30 @@ def _list_oracle(key: str, where: str) -> str:
       union all select null, null, null, null, true, '17' from o where o_orderkey % 20 = 0"""
 
 
+# Every league's excluded players by their place in ``sv_players``; the free places are what is left of the first n of all.
+def _waiver_oracle(order: str) -> str:
+    ctes = f"""rk AS (select *, coalesce(trending, 0.0) as score, row_number() over (order by {order}) - 1 as rank from sv_players),
+ex AS (select distinct league_id, rank from (select league_id, unnest(players) as player_id from sv_rosters) join rk using (player_id)),
+top AS (select l.league_id, k.* from sv_leagues l, rk k where k.rank < 5 + (select coalesce(max(n), 0) from (select count(*) as n from ex group by league_id))),
+fr AS (select * from top anti join ex using (league_id, rank) qualify row_number() over (partition by league_id order by rank) <= 5)"""
+    return _with(_BZ_PLAYERS, _SV_PLAYERS, _BZ_ROSTERS, _SV_ROSTERS, _SV_LEAGUES, ctes) + """select league_id,
+        (row_number() over (partition by league_id order by rank) - 1)::int as place, player_id, name, position, team, score from fr"""
+
+
+_AVAILABLE_ALL = """rk AS (select *, row_number() over (order by first_k) - 1 as rank from sv_players),
+ex AS (select distinct league_id, rank from (select league_id, unnest(players) as player_id from sv_rosters) join rk using (player_id)),
+bm AS (select league_id, 1 + rank // 32768 as bucket, count(*) as n,
+  sha256(bitstring_agg((rank % 32768 // 8 * 8 + 7 - rank % 8)::int, 0, 32767)::blob) as bits from ex group by all),
+lg AS (select league_id, sum(n) as n, string_agg(bucket || ':' || bits, ',' order by bucket) as lines from bm group by all)"""
+
+
 _ORACLES: dict[str, str] = {
+    "waiver_all_leagues": _waiver_oracle("first_k"),
+    "waiver_all_leagues_by_score": _waiver_oracle("coalesce(trending, 0.0) desc, first_k"),
+    "available_all_leagues": _with(_BZ_PLAYERS, _SV_PLAYERS, _BZ_ROSTERS, _SV_ROSTERS, _SV_LEAGUES, _AVAILABLE_ALL)
+    + """select l.league_id, ((select count(*) from sv_players) - coalesce(n, 0))::bigint as n_available, coalesce(n, 0)::bigint as n_excluded,
+        sha256(coalesce(lines, '')) as digest from sv_leagues l left join lg using (league_id)""",
+    "available_expanded": _PRA + f"select {_PCOLS} from gd_avail",
     "available_players": _PRA + f"select {_PCOLS} from gd_avail",
     "gold_available_players": _PRA + f"select {_OCOLS} from gd_avail",
     "sql_available_players": _PRA + f"select {_OCOLS} from gd_avail",

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the semantics depend on (fixed values).
 REQUIRED_CONF = {
@@ -80,3 +80,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique directory name under the checkpoint root (not created)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/ingot-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows, written once to the shared checkpoint folder and read back: later steps neither repeat
+    the work nor depend on shuffle files of lost executors, and the planner knows their size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
