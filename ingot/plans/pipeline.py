@@ -38,21 +38,10 @@ def listed_ids(spark: SparkSession, league_ids: str | list | tuple) -> list[str]
     return [r.league_id for r in requested_ids(spark, league_ids).collect()]
 
 
-def _bronze_table(spark: SparkSession, root: str, tbl: str) -> DataFrame | None:
-    """The table's parsed rows; None before the store's first append."""
-    if not files.matches(spark, f"{root.rstrip('/')}/{bronze.BRONZE_DIR}"):
-        return None
-    return bronze.parsed(bronze.scan(spark, root, SOURCE_ID, tbl))
-
-
 def ingested_league_ids(spark: SparkSession, root: str) -> DataFrame:
-    """League ids with league or roster data in bronze."""
-    out = spark.createDataFrame([], "league_id string")
-    for tbl in ("league", "rosters"):
-        t = _bronze_table(spark, root, tbl)
-        if t is not None:
-            out = out.unionByName(t.select(json_fields()("league_id").text().alias("league_id")).where("league_id IS NOT NULL"))
-    return out
+    """League ids with league or roster data in bronze, from the store's key files."""
+    held = [bronze.keys(spark, root, SOURCE_ID, tbl) for tbl in ("league", "rosters")]
+    return held[0].unionByName(held[1]).select(F.col("key").alias("league_id"))
 
 
 def ingest_leagues(
@@ -81,11 +70,10 @@ def ingest_broad(spark: SparkSession, landing: str, root: str) -> None:
 def silver_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Silver built lazily from bronze (players, league, rosters)."""
     f = json_fields()
-    empty = spark.createDataFrame([], "record_v variant, _seq struct<_batch_id:bigint,_file:string,_block:bigint,_pos:bigint>")
 
     def get(tbl: str) -> DataFrame:
-        t = _bronze_table(spark, root, tbl)
-        return empty if t is None else t.select("record_v", "_seq")
+        return bronze.parsed(bronze.scan(spark, root, SOURCE_ID, tbl)).select("record_v", "_seq")
+
     return {
         "players": sv.players(get("players"), f),
         "league": sv.leagues(get("league"), f),

@@ -1,7 +1,7 @@
 """Bronze, silver and gold schemas.
 
 Bronze is schema-free: one JSON record per row plus the columns that pin down
-arrival order. Silver and gold have fixed shapes.
+arrival order. Silver has fixed shapes.
 """
 
 from pyspark.sql.types import (
@@ -16,10 +16,11 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-# Bronze rows at rest (Parquet, partitioned by source_id and tbl).
+# Bronze rows at rest (Parquet, a folder for each commit, source_id and tbl).
 BRONZE = StructType(
     [
         StructField("_batch_id", LongType(), False),  # monotone per ingest call
+        StructField("_writer", StringType(), False),  # of the append: parts two that came by one number
         StructField("_file", StringType(), False),  # landed file, '' for payload ingest
         StructField("_block", LongType(), False),  # split start inside _file
         StructField("_pos", LongType(), False),  # position inside the split / payload
@@ -31,7 +32,7 @@ BRONZE = StructType(
 )
 
 # The arrival sequence: the order of bronze rows. Unique per row.
-SEQ_FIELDS = ("_batch_id", "_file", "_block", "_pos")
+SEQ_FIELDS = ("_batch_id", "_writer", "_file", "_block", "_pos")
 
 SILVER_PLAYERS = StructType(
     [
@@ -71,39 +72,6 @@ SILVER_INJURIES = StructType(
 )
 SILVER_INJURY_KEYS = tuple(f.name for f in SILVER_INJURIES.fields)
 
-GOLD_AVAILABLE_PLAYERS = StructType(
-    [
-        StructField("id", StringType(), False),
-        StructField("player_id", StringType(), False),
-        StructField("name", StringType(), False),
-        StructField("position", StringType(), False),
-        StructField("team", StringType(), False),
-        StructField("status", StringType(), False),
-        StructField("age", LongType(), True),
-        StructField("trending", DoubleType(), True),
-    ]
-)
-
-GOLD_INJURY_REPORT = SILVER_INJURIES
-
-GOLD_LEAGUE_VALIDATION = StructType(
-    [
-        StructField("league_id", StringType(), False),
-        StructField("valid", BooleanType(), False),
-        StructField("league_name", StringType(), False),
-    ]
-)
-
-GOLD_WAIVER = StructType(
-    [
-        StructField("player_id", StringType(), False),
-        StructField("name", StringType(), False),
-        StructField("position", StringType(), False),
-        StructField("team", StringType(), False),
-        StructField("score", DoubleType(), False),
-    ]
-)
-
 RUNS = StructType(
     [
         StructField("kind", StringType(), False),

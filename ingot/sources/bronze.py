@@ -1,12 +1,12 @@
 """Bronze store: append-only raw records with an explicit arrival sequence.
 
-At rest bronze is Parquet under ``{root}/bronze``, partitioned by
-``source_id``, ``tbl`` and ``_batch_id``, so that reading one table prunes every other
-partition and a repeated write of a batch replaces it. A row holds one JSON record as text plus the
-sequence columns ``(_batch_id, _file, _block, _pos)``: ``_batch_id`` is allocated by the store per append,
-``_file``/``_block`` name the landed file and split, and ``_pos`` is a
+At rest bronze is Parquet under ``{root}/bronze``, a folder for each commit, source and table. The commit log
+(:mod:`ingot.sources.commits`) says which folders are live: reading one table opens no other's, writers never touch each
+other's folders, and a reader keeps its snapshot while others append or compact. A row holds one JSON record as text plus the
+sequence columns ``(_batch_id, _writer, _file, _block, _pos)``: ``_batch_id`` is allocated by the store per append,
+``_writer`` parts two appends that came by one number, ``_file``/``_block`` name the landed file and split, and ``_pos`` is a
 ``monotonically_increasing_id()`` assigned directly above the scan and then
-*persisted* - it is never recomputed by a query. Comparing the four fields in
+*persisted* - it is never recomputed by a query. Comparing the fields in
 order reproduces arrival order, which is what "latest wins" means.
 
 Bad input is kept, not dropped: a malformed line is stored with
@@ -15,20 +15,28 @@ Bad input is kept, not dropped: a malformed line is stored with
 
 from __future__ import annotations
 
+import time
+import uuid
+from math import ceil
 from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ingot.functions.expr import json_fields
 from ingot.operators.dedup import SEQ
 from ingot.schema import BRONZE as BRONZE_SCHEMA
 from ingot.schema import SEQ_FIELDS
-from ingot.sources import files
+from ingot.sources import commits, files
 
 BRONZE_DIR = "bronze"
 TABLES_DIR = "_tables"
 BATCHES_DIR = "_batches"
+KEYS_DIR = "keys"
+TARGET_BYTES = 128 << 20  # of a compacted file, about
+RETENTION = 7 * 24 * 3600  # seconds that vacuum leaves what is no longer live
 
 # Lines made of whitespace only are skipped, as the reference strips lines (fixed pattern).
 _BLANK = r"^\s*$"
@@ -74,6 +82,7 @@ def _with_file_metadata(df: DataFrame) -> DataFrame:
 def _bronze_row(record: Column, is_malformed: Column, source_id: str | Column, tbl: str | Column, batch_id: int) -> list[Column]:
     return [
         F.lit(batch_id).cast("long").alias("_batch_id"),
+        F.lit("").alias("_writer"),
         F.col("_file"),
         F.col("_block").cast("long").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"),
@@ -126,18 +135,56 @@ def read_jsonl_tree(spark: SparkSession, root: str, batch_id: int = 0) -> DataFr
 
 
 # --------------------------------------------------------------------------- sink
-def append(rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None, key: str | None = None) -> int:
+def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The rows of some commits' folders."""
+    base = f"{root}/{BRONZE_DIR}"
+    schema = StructType([*BRONZE_SCHEMA.fields, StructField("commit", StringType())])
+    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths]).drop("commit")
+
+
+def _write(rows: DataFrame, root: str, index: dict[str, str]) -> list[commits.Folder]:
+    """Write rows to a new folder; its tables, with their counts. ``index``: the field whose values are kept as a table's keys."""
+    spark, commit = rows.sparkSession, f"commit={uuid.uuid4().hex}"
+    path = f"{root}/{BRONZE_DIR}/{commit}"
+    rows.write.partitionBy("source_id", "tbl").parquet(path)
+    found = [f"{commit}/{s}/{t}" for s in files.names(spark, path) if "=" in s for t in files.names(spark, f"{path}/{s}") if "=" in t]
+    if not found:
+        return []
+    written = _read(spark, root, found)
+    count = {(r["source_id"], r["tbl"]): r for r in written.groupBy("source_id", "tbl").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_malformed").alias("malformed"), F.min("_batch_id").alias("first")
+    ).collect()}  # a row for each table of the commit
+    if index:
+        field = F.coalesce(*[F.when(F.col("tbl") == t, json_fields()(f).text()) for t, f in index.items()])
+        keyed = written.where(F.col("tbl").isin(*index) & ~F.col("is_malformed")).withColumn("record_v", F.try_parse_json("record"))
+        keys = keyed.select("source_id", "tbl", field.alias("key")).where("key IS NOT NULL").distinct()
+        keys.repartition("source_id", "tbl").sortWithinPartitions("key").write.partitionBy("source_id", "tbl").parquet(f"{root}/{KEYS_DIR}/{commit}")
+    out = []
+    for p in found:
+        source_id, tbl = (unquote(x.partition("=")[2]) for x in p.split("/")[1:])
+        held, (size, n) = count[source_id, tbl], files.size(spark, f"{root}/{BRONZE_DIR}/{p}")
+        out.append(commits.Folder(p, source_id, tbl, held["rows"], held["malformed"], size, n, held["first"], tbl in index))
+    return out
+
+
+def append(
+    rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None, key: str | None = None, index: dict[str, str] | None = None
+) -> int:
     """Append bronze rows as one batch; returns its id.
 
-    The batch is written to partitions of its own. With a ``key``, a repeated append replaces
-    those of the first one. Spark's commit protocol makes the write safe against task retries.
-    ``tables`` names those that may get no rows: they are listed with count 0.
+    The rows go to a folder of their own, which the commit log then names: any number of writers may append
+    at once, and a reader sees all of a batch or nothing. An append whose ``key`` is in the log already changes nothing, so a
+    replayed micro-batch counts once. Spark's commit protocol makes the write safe against task retries.
+    ``tables`` names those that may get no rows: they are listed with count 0. ``index`` maps tables to the
+    field whose values are kept beside them, see :func:`keys`.
     """
     spark, root = rows.sparkSession, root.rstrip("/")
+    before = commits.snapshot(spark, root)
+    if key is not None and key in before.keys:
+        return before.keys[key][1]
     number = allocate_batch(spark, root, key)
-    rows = rows.withColumn("_batch_id", F.lit(number).cast("long"))
-    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("source_id", "tbl", "_batch_id").parquet(f"{root}/{BRONZE_DIR}")
+    rows = rows.withColumns({"_batch_id": F.lit(number).cast("long"), "_writer": F.lit(key or uuid.uuid4().hex)})
+    commits.commit(spark, root, "append", before, _write(rows, root, index or {}), number=number, key=key)
     for source_id, tbl in tables or []:
         register_table(spark, root, source_id, tbl)
     return number
@@ -148,6 +195,60 @@ def register_table(spark: SparkSession, root: str, source_id: str, tbl: str) ->
     files.create(spark, f"{root.rstrip('/')}/{TABLES_DIR}/{_escaped(source_id)}={_escaped(tbl)}")
 
 
+# --------------------------------------------------------------------------- upkeep
+def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
+    """Rewrite the folders that are below ``target`` bytes, of tables with two or more of them; returns how many were replaced.
+
+    Rows keep their sequence. The old folders stay readable until :func:`vacuum`; appends may run meanwhile, and of two
+    compactions of the same folders one counts.
+    """
+    root = root.rstrip("/")
+    now = commits.snapshot(spark, root)
+    small: dict[tuple[str, str], list[commits.Folder]] = {}
+    for f in now.of():
+        if f.bytes < target:
+            small.setdefault((f.source_id, f.tbl), []).append(f)
+    old = [f for group in small.values() if len(group) > 1 for f in group]
+    if not old:
+        return 0
+    parts = ceil(sum(f.bytes for f in old) / target)
+    order = ["source_id", "tbl", *SEQ_FIELDS]
+    rows = _read(spark, root, [f.path for f in old])
+    rows = (rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
+    index = {t: _KEY_FIELDS[t] for t in {f.tbl for f in old} if t in _KEY_FIELDS and all(f.index for f in old if f.tbl == t)}
+    new = _write(rows, root, index)
+    commits.commit(spark, root, "compact", now, new, [f.path for f in old])
+    return len(old)
+
+
+def vacuum(spark: SparkSession, root: str, older_than: float = RETENTION) -> int:
+    """Delete what is no longer live and was last changed ``older_than`` seconds ago or more; returns the number of folders and files.
+
+    That are folders that no commit names any longer (or never did: of failed writes and repeated attempts), log entries that a summary
+    covers, batch numbers below the last, and temporary files. A read that began before, or a stream that lags more than that, may lose its files.
+    """
+    root, cut, gone = root.rstrip("/"), time.time() - older_than, 0
+    commits.summarise(spark, root)
+    now = commits.snapshot(spark, root)
+    live = {f.path.partition("/")[0] for f in now.live.values()}
+    for place in (BRONZE_DIR, KEYS_DIR):
+        for name, changed in files.aged(spark, f"{root}/{place}"):
+            if name not in live and changed <= cut:
+                files.remove(spark, f"{root}/{place}/{name}")
+                gone += 1
+    for name, changed in files.aged(spark, f"{root}/{commits.LOG_DIR}"):
+        if name in now.covered and changed <= cut:
+            files.remove(spark, f"{root}/{commits.LOG_DIR}/{name}")
+            gone += 1
+    numbers = files.aged(spark, f"{root}/{BATCHES_DIR}")
+    last = max((n.rpartition("=")[2] for n, _ in numbers), default="")
+    for name, changed in numbers:
+        if name.rpartition("=")[2] < last and changed <= cut:
+            files.remove(spark, f"{root}/{BATCHES_DIR}/{name}")
+            gone += 1
+    return gone
+
+
 def _escaped(name: str) -> str:
     return quote(name, safe="")
 
@@ -166,14 +267,48 @@ def export_jsonl(rows: DataFrame, path: str) -> None:
 
 
 # --------------------------------------------------------------------------- scan
-def scan(spark: SparkSession, root: str, source_id: str | None = None, tbl: str | None = None) -> DataFrame:
-    """Bronze rows, optionally of one source/table (partition-pruned at the scan)."""
-    df = spark.read.schema(BRONZE_SCHEMA).parquet(f"{root.rstrip('/')}/{BRONZE_DIR}")
-    if source_id is not None:
-        df = df.where(F.col("source_id") == F.lit(source_id))
-    if tbl is not None:
-        df = df.where(F.col("tbl") == F.lit(tbl))
-    return df
+def scan(spark: SparkSession, root: str, source_id: str | None = None, tbl: str | None = None, as_of: int | None = None) -> DataFrame:
+    """Bronze rows, optionally of one source/table (no other folder is opened) or up to a batch id."""
+    root = root.rstrip("/")
+    live = commits.snapshot(spark, root).of(source_id, tbl)
+    if as_of is not None:
+        live = [f for f in live if f.first <= as_of]
+    if not live:
+        return spark.createDataFrame([], BRONZE_SCHEMA)
+    rows = _read(spark, root, [f.path for f in live])
+    return rows if as_of is None else rows.where(F.col("_batch_id") <= as_of)
+
+
+def read_commits(spark: SparkSession, root: str, paths: list[str], source_id: str, tbl: str) -> DataFrame | None:
+    """The table's rows in the folders that some commits added; None if one of them is gone by now."""
+    root = root.rstrip("/")
+    if not all(files.matches(spark, f"{root}/{BRONZE_DIR}/{p}") for p in paths):
+        return None
+    return _read(spark, root, paths).where((F.col("source_id") == source_id) & (F.col("tbl") == tbl))
+
+
+# The field whose values identify what a table's records are about (fixed values: the reference's lazy ingest asks by league).
+_KEY_FIELDS = {"league": "league_id", "rosters": "league_id"}
+
+
+def keys(spark: SparkSession, root: str, source_id: str, tbl: str) -> DataFrame:
+    """(key) the distinct values of a table's key field, from the sorted key files written at each append: no record is read.
+
+    Folders that were appended without an index are read whole.
+    """
+    root = root.rstrip("/")
+    live = commits.snapshot(spark, root).of(source_id, tbl)
+    out = spark.createDataFrame([], "key string")
+    held = [f"{root}/{KEYS_DIR}/{f.path}" for f in live if f.index]
+    held = [p for p in held if files.matches(spark, p)]  # a table without any key has no folder
+    if held:
+        out = spark.read.schema("key string").parquet(*held)
+    bare = [f.path for f in live if not f.index]
+    if bare:
+        field = json_fields()(_KEY_FIELDS.get(tbl, "id")).text()
+        rows = _read(spark, root, bare).where(~F.col("is_malformed")).withColumn("record_v", F.try_parse_json("record"))
+        out = out.unionByName(rows.select(field.alias("key")).where("key IS NOT NULL"))
+    return out.distinct()
 
 
 def seq_col() -> Column:
@@ -230,4 +365,20 @@ def catalog(rows: DataFrame, listing: DataFrame | None = None) -> DataFrame:
 
 
 def catalog_at(spark: SparkSession, root: str) -> DataFrame:
-    return catalog(scan(spark, root), listing(spark, root))
+    """A5/S13 of a store, from the counts that each commit carries: no row is read, however many there are."""
+    now = commits.snapshot(spark, root.rstrip("/"))
+    counts = {(f.source_id, f.tbl): 0 for f in now.of()}
+    for f in now.of():
+        counts[f.source_id, f.tbl] += f.rows
+    rows = spark.createDataFrame([("bronze", s, t, n) for (s, t), n in counts.items()], "layer string, source_id string, name string, row_count long")
+    named = listing(spark, root).select(F.lit("bronze").alias("layer"), "source_id", F.col("tbl").alias("name"), F.lit(0).cast("long").alias("row_count"))
+    return rows.unionByName(named).groupBy("layer", "source_id", "name").agg(F.sum("row_count").alias("row_count"))
+
+
+def quarantine_at(spark: SparkSession, root: str) -> DataFrame:
+    """X5's counts of a store, from the commits."""
+    held: dict[tuple[str, str], list[int]] = {}
+    for f in commits.snapshot(spark, root.rstrip("/")).of():
+        n = held.setdefault((f.source_id, f.tbl), [0, 0])
+        n[0], n[1] = n[0] + f.rows, n[1] + f.malformed
+    return spark.createDataFrame([(s, t, *n) for (s, t), n in held.items()], "source_id string, tbl string, row_count long, malformed_count long")

@@ -48,11 +48,6 @@ def ingest_format(
     return bronze.records_from_dataframe(read_format(spark, fmt, path, schema, **options), source_id, tbl, batch_id)
 
 
-def ingest_to_bronze(spark: SparkSession, root: str, rows: DataFrame, tables: list[tuple[str, str]] | None = None) -> None:
-    """Write bronze rows built by any of the functions above."""
-    bronze.append(rows, root, tables)
-
-
 # --------------------------------------------------------------------------- registry
 def register_source(source_id: str, reader: Reader) -> None:
     """Register a reader ``(spark, **kwargs) -> DataFrame`` under a source id."""

@@ -57,6 +57,7 @@ def _read_payloads(spark: SparkSession, pattern: str, whole: bool = True) -> Dat
 def _rows(df: DataFrame, record: Column, pos: Column, bad: Column, tbl: str, batch_id: int) -> DataFrame:
     return df.select(
         F.lit(batch_id).cast("long").alias("_batch_id"),
+        F.lit("").alias("_writer"),
         "_file",
         F.col("_block").cast("long").alias("_block"),
         pos.cast("long").alias("_pos"),
@@ -213,7 +214,8 @@ def ingest(spark: SparkSession, landing: str, root: str, league_id: str | League
     if isinstance(league_id, DataFrame) or league_id:
         ids = [league_id] if isinstance(league_id, str) else league_id
         rows = league_scoped(spark, landing, ids, week)
-        bronze.append(rows, root, [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")])
+        tables = [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")]
+        bronze.append(rows, root, tables, index={"league": "league_id", "rosters": "league_id"})
     else:
         rows = players_snapshot(spark, landing)
         rows = rows.unionByName(players_snapshot(spark, landing, pattern="players/*.jsonl", whole=False))

@@ -4,19 +4,25 @@ X1 ``stream_to_bronze``: JSON Lines files landing in a directory are picked
 up by a file stream and appended to bronze by ``foreachBatch``; positions are
 taken directly above the micro-batch scan, as for batch ingest. The checkpoint
 lies in the store by default, so a restarted query resumes where it stopped. A
-micro-batch has one batch id in the store, and a replay replaces what the first attempt wrote.
-
-X2 ``incremental_silver``: silver is kept in buckets by key hash. A micro-batch of
-new bronze rows is conformed, unioned with the buckets its keys fall into, and deduplicated
-once more (latest wins is associative: the winner over old and new equals the winner over all
-rows). The new buckets go to a folder of their own, and a new manifest (a line for each
-bucket) is published afterwards; nothing that a reader may hold is overwritten, and a crash
-at any point leaves the last manifest. A replay merges the same rows again, which changes nothing.
+micro-batch has one key in the store's commit log, so a replay changes nothing.
+
+X2 ``incremental_silver``: the stream reads the commit log itself. Entries appear whole, have names of their own
+and are never replaced, so Spark's file stream keeps the offsets, and what a micro-batch merges are the folders that
+its entries add; folders of failed or repeated attempts are in no entry that counts, and compactions add no rows.
+
+Silver is kept as sorted runs in buckets by key hash. A micro-batch is conformed, deduplicated and written as one run
+of the buckets it touches; a bucket with more than MAX_RUNS runs has them merged into one. So what is written follows the
+batch, each row being rewritten once for some MAX_RUNS batches, and never the table. Readers deduplicate over the runs
+(latest wins is associative: the winner over runs equals the winner over all rows). Runs go to folders of their own, and a
+new manifest (a line for each run) is published afterwards; nothing that a reader may hold is overwritten, and a crash
+at any point leaves the last manifest. A replay adds the same rows again, which changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +34,11 @@ from ingot.operators.dedup import FIRST_SEQ, SEQ
 from ingot.plans import silver as sv
 from ingot.schema import SILVER_PLAYER_KEYS
 from ingot.session import configure
-from ingot.sources import bronze, files
+from ingot.sources import bronze, commits, files
 
 _BLANK = r"^\s*$"
 BUCKETS = 64
+MAX_RUNS = 4  # of a bucket, before they are merged
 
 
 def stream_to_bronze(
@@ -59,6 +66,7 @@ def stream_to_bronze(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where(~F.col("value").rlike(_BLANK)).select(
             F.lit(0).cast("long").alias("_batch_id"),
+            F.lit("").alias("_writer"),
             "_file",
             F.col("_block").cast("long").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"),
@@ -75,62 +83,97 @@ def stream_to_bronze(
 
 
 # --------------------------------------------------------------------------- X2
-def _manifest(spark: SparkSession, path: str) -> dict[int, str]:
-    """bucket -> folder of its current rows."""
-    lines = files.current(spark, f"{path.rstrip('/')}/_versions")
-    return {int(b): folder for b, folder in (line.split("\t") for line in lines)}
+def _manifest(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """bucket -> the folders of its runs."""
+    out: dict[int, list[str]] = {}
+    for line in files.current(spark, f"{path.rstrip('/')}/_versions"):
+        bucket, folder = line.split("\t")
+        out.setdefault(int(bucket), []).append(folder)
+    return out
 
 
-def _read_buckets(spark: SparkSession, folders: list[str]) -> DataFrame:
+def _latest(rows: DataFrame) -> DataFrame:
+    """One row per player: the latest winner, with the first of all first-seen sequences."""
+    values = [c for c in SILVER_PLAYER_KEYS if c != "player_id"]
+    return rows.groupBy("player_id").agg(
+        F.max_by(F.struct(*values, SEQ), F.col(SEQ)).alias("_w"), F.min(FIRST_SEQ).alias(FIRST_SEQ)
+    ).select("player_id", "_w.*", FIRST_SEQ)
+
+
+def _read_runs(spark: SparkSession, folders: list[str]) -> DataFrame:
     return spark.read.parquet(*folders).select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     """Silver as last published, or None before the first version."""
     held = _manifest(spark, path)
-    return _read_buckets(spark, sorted(held.values())) if held else None
+    return _latest(_read_runs(spark, sorted(f for runs in held.values() for f in runs))) if held else None
+
+
+def _write_run(spark: SparkSession, path: str, rows: DataFrame) -> dict[int, str]:
+    """Write silver rows as one run for each bucket that has any; bucket -> folder."""
+    bucket = F.pmod(F.xxhash64("player_id"), F.lit(BUCKETS)).cast("int")
+    version = f"{path}/v={uuid.uuid4().hex}"
+    rows = rows.withColumn("_bucket", bucket).sortWithinPartitions("_bucket", "player_id")
+    rows.write.partitionBy("_bucket").parquet(version)
+    return {int(n.partition("=")[2]): f"{version}/{n}" for n in files.names(spark, version) if n.startswith("_bucket=")}
 
 
 def merge_players(spark: SparkSession, path: str, new_records: DataFrame) -> DataFrame | None:
-    """One X2 step: the touched buckets of current silver and the conformed new records -> latest wins -> published."""
+    """One X2 step: the conformed new records become a run, buckets with too many runs are merged, and both are published."""
     path = path.rstrip("/")
-    bucket = F.pmod(F.xxhash64("player_id"), F.lit(BUCKETS)).cast("int")
     new = sv.conform_players(new_records, json_fields()).withColumn(FIRST_SEQ, F.col(SEQ))
-    new = new.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
-    touched = {r[0] for r in new.select(bucket).distinct().collect()}  # BUCKETS at most
     held = _manifest(spark, path)
-    if touched:
-        old = [held[b] for b in sorted(touched) if b in held]
-        # previous winners carry their own first-seen sequence
-        both = _read_buckets(spark, old).unionByName(new) if old else new
-        values = [c for c in SILVER_PLAYER_KEYS if c != "player_id"]
-        merged = both.groupBy("player_id").agg(
-            F.max_by(F.struct(*values, SEQ), F.col(SEQ)).alias("_w"), F.min(FIRST_SEQ).alias(FIRST_SEQ)
-        ).select("player_id", "_w.*", FIRST_SEQ)
-        version = f"{path}/v={uuid.uuid4().hex}"
-        merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(version)
-        held |= {b: f"{version}/_bucket={b}" for b in touched}
-        files.publish(spark, f"{path}/_versions", "\n".join(f"{b}\t{f}" for b, f in sorted(held.items())))
+    added = _write_run(spark, path, _latest(new.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)))
+    for b, folder in added.items():
+        held.setdefault(b, []).append(folder)
+    full = {b: runs for b, runs in held.items() if len(runs) > MAX_RUNS}
+    if full:
+        held |= {b: [f] for b, f in _write_run(spark, path, _latest(_read_runs(spark, [f for runs in full.values() for f in runs]))).items()}
+    if added:
+        files.publish(spark, f"{path}/_versions", "\n".join(f"{b}\t{f}" for b, runs in sorted(held.items()) for f in runs))
     return read_current(spark, path)
 
 
+def vacuum_silver(spark: SparkSession, path: str, older_than: float = bronze.RETENTION) -> int:
+    """Delete runs that the current manifest doesn't name, and older manifests, changed ``older_than`` seconds ago or more."""
+    path, cut, gone = path.rstrip("/"), time.time() - older_than, 0
+    live = {f.removeprefix(f"{path}/").partition("/")[0] for runs in _manifest(spark, path).values() for f in runs}
+    for name, changed in files.aged(spark, path):
+        if name.startswith("v=") and name not in live and changed <= cut:
+            files.remove(spark, f"{path}/{name}")
+            gone += 1
+    for name, changed in sorted(files.aged(spark, f"{path}/_versions"))[:-1]:
+        if changed <= cut:
+            files.remove(spark, f"{path}/_versions/{name}")
+            gone += 1
+    return gone
+
+
 def incremental_silver(
     spark: SparkSession, root: str, silver_path: str, source_id: str = "league_api", tbl: str = "players",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Keep ``silver_path`` up to date with new bronze player rows."""
     configure(spark)
-    src = (
-        spark.readStream.schema(bronze.BRONZE_SCHEMA)
-        .parquet(f"{root.rstrip('/')}/{bronze.BRONZE_DIR}")
-        .where((F.col("source_id") == source_id) & (F.col("tbl") == tbl))
-    )
+    log = f"{root.rstrip('/')}/{commits.LOG_DIR}"
+    entries = spark.readStream.format("text").option("wholetext", True).load(log)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        merge_players(spark, silver_path, bronze.parsed(batch))
+        found = [json.loads(r["value"]) for r in batch.collect()]  # a line for each commit
+        now = commits.snapshot(spark, root)
+        counts = lambda e: e.get("key") is None or now.keys.get(e["key"], [e["writer"]])[0] == e["writer"]
+        adds = [a for e in found if e.get("kind") == "append" and counts(e) for a in e["adds"]]
+        paths = [a["path"] for a in adds if (a["source_id"], a["tbl"]) == (source_id, tbl)]
+        if not paths:
+            return
+        rows = bronze.read_commits(spark, root, paths, source_id, tbl)
+        if rows is None:  # compacted and vacuumed by now: their rows are among those of the table
+            rows = bronze.scan(spark, root, source_id, tbl)
+        merge_players(spark, silver_path, bronze.parsed(rows))
 
     return (
-        src.writeStream.foreachBatch(step)
+        entries.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint or f"{silver_path.rstrip('/')}/_stream")
         .trigger(availableNow=True)
         .start()
