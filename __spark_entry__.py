@@ -14,9 +14,11 @@ Oracle notes
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +35,11 @@ from ingot.plans import leagues as multi  # noqa: E402
 from ingot.plans import silver as sv  # noqa: E402
 from ingot.plans import pipeline, sqlfiles  # noqa: E402
 from ingot.session import configure, scratch_path  # noqa: E402
-from ingot.sources import bronze  # noqa: E402
+from ingot.sources import bronze, files  # noqa: E402
 from ingot.sources import ingest as ing  # noqa: E402
 from ingot.sources import landed  # noqa: E402
 from ingot.sources.datasources import JsonLineFiles  # noqa: E402
+from ingot.streaming import bronze_stream as bs  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 LEAGUE = "7"  # the league the single-league queries ask about
@@ -195,8 +198,9 @@ def _store(spark, sf) -> str:
         root = scratch_path(spark, "store")
         seq = ["_seq.s1", "_seq.s2", "_seq.s3", "_seq.s4"]
         bronze.append(_json_rows(roles.player_records(spark, sf), roles.PLAYER_FIELDS, seq, "players"), root)
-        bronze.append(_json_rows(roles.roster_records(spark, sf), roles.ROSTER_FIELDS, ["_seq.s1", "roster_id"], "rosters"), root)
-        bronze.append(_json_rows(roles.league_records(spark, sf), roles.LEAGUE_FIELDS, ["_seq.s1", "league_id"], "league"), root)
+        keys = {"rosters": "league_id", "league": "league_id"}
+        bronze.append(_json_rows(roles.roster_records(spark, sf), roles.ROSTER_FIELDS, ["_seq.s1", "roster_id"], "rosters"), root, index=keys)
+        bronze.append(_json_rows(roles.league_records(spark, sf), roles.LEAGUE_FIELDS, ["_seq.s1", "league_id"], "league"), root, index=keys)
         bronze.register_table(spark, root, _SRC, "matchups")  # a table without rows yet
         _STORES[key] = root
     return _STORES[key]
@@ -297,18 +301,27 @@ def q_latest_runs(spark, sf):
 
 
 def q_run_log(spark, sf):
-    """G8 + L3: runs of all nations in one call, then of all regions in another, and the newest 50."""
+    """G8 + L3 + F13: runs of all leagues in one call, then a broad one; the newest 50, and whether their time lies within the calls."""
     root = scratch_path(configure(spark), "runs")
-    for kind, name, column in (("league", "nation", "n_nationkey"), ("broad", "region", "r_regionkey")):
-        ids = [str(r[0]) for r in roles.table(spark, sf, name).select(column).orderBy(column).collect()]  # 25 and 5
-        cat.record_runs(spark, root, kind, ids)
-    return cat.latest_runs(spark, root).select("kind", "league_id", "seq")
+    now = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    start = now()
+    cat.record_runs(spark, root, "league", roles.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("league_id"), "c_custkey"))
+    cat.record_run(spark, root, "broad")
+    timed = F.col("ts").between(F.lit(start), F.lit(now()))
+    return cat.latest_runs(spark, root).select("kind", "league_id", "seq", timed.alias("timed"))
 
 
 def q_catalog_full(spark, sf):
-    """Bronze (a table without rows included), silver and gold in one table."""
-    root, s = _store(spark, sf), _silver_json(spark, sf)
-    return cat.catalog_all(bronze.scan(spark, root), s["players"], s["league"], s["rosters"], bronze.listing(spark, root))
+    """Bronze (from the commit log's counts; a table without rows included), silver and gold in one table."""
+    s = _silver_json(spark, sf)
+    return cat.catalog_store(spark, _store(spark, sf), s["players"], s["league"], s["rosters"])
+
+
+def q_leagues_missing_store(spark, sf):
+    """J4 over a store: of as many league ids as there are parts, those without a roster in bronze, told from the key files."""
+    root = _store(spark, sf)
+    asked = roles.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("league_id"))
+    return gold.leagues_missing(spark, bronze.keys(spark, root, _SRC, "rosters").select(F.col("key").alias("league_id")), asked)
 
 
 def q_sample_bronze(spark, sf):
@@ -391,7 +404,7 @@ def q_src_map_snapshot(spark, sf):
 
 
 def _land(spark, sf, kind: str) -> str:
-    """Payloads of all leagues, landed as lines; every tenth one is damaged.
+    """Payloads of all leagues, landed as lines; every tenth one is damaged, and every fiftieth line itself is cut off.
 
     A league's is its customer. Rosters and matchups are lists, one per order: of a damaged list either
     the text is cut off or one element is no object.
@@ -408,7 +421,8 @@ def _land(spark, sf, kind: str) -> str:
     cut = F.expr("substring(payload, 1, length(payload) - 3)")
     t = t.withColumn("payload", F.when(F.col("n") % 10 == (3 if kind == "league" else 7), cut).otherwise(F.col("payload")))
     line = F.to_json(F.struct(F.col("league").cast("string").alias("league_id"), F.col("week"), F.col("payload")))
-    t.select(line).write.text(f"{root}/{kind}/0.jsonl")
+    t = t.select("n", line.alias("line"))
+    t.select(F.when(F.col("n") % 50 == 11, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line"))).write.text(f"{root}/{kind}/0.jsonl")
     return root
 
 
@@ -491,7 +505,7 @@ def q_pipeline_run(spark, sf):
     payload = F.to_json(F.array(F.struct("roster_id", "players")))
     ro.select(F.to_json(F.struct(F.col("league_id").cast("string").alias("league_id"), payload.alias("payload")))).write.text(f"{root}/rosters/0.jsonl")
     out = pipeline.run(spark, root, store, ", ".join(REQUESTED), league_id=LEAGUE)
-    return out["available_players"].where("player_id <> '0'").select(*_OBJ_COLS)
+    return out["available_players"].select(*_OBJ_COLS)
 
 
 def q_bronze_roundtrip(spark, sf):
@@ -503,6 +517,54 @@ def q_bronze_roundtrip(spark, sf):
     return bronze.typed(bronze.scan(spark, root, "fixture", "events"), ev.schema).drop("_seq")
 
 
+def q_bronze_compacted(spark, sf):
+    """S9 + S10: eight writers append their share of the events at once; compacted; every row read back."""
+    root = scratch_path(configure(spark), "bronze")
+    ev = roles.table(spark, sf, "events")
+    share = lambda i: ev.where(F.pmod(F.xxhash64("event_id"), F.lit(8)) == i)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: bronze.append(bronze.records_from_dataframe(share(i), "fixture", "events"), root), range(8)))
+    bronze.compact(spark, root)
+    return bronze.typed(bronze.scan(spark, root, "fixture", "events"), ev.schema).drop("_seq")
+
+
+def _replay_last_batch(spark, checkpoint: str) -> None:
+    """As after a crash between a micro-batch's work and its entry in the checkpoint: the next start runs it again."""
+    done = f"{checkpoint}/commits"
+    files.remove(spark, f"{done}/{max((n for n in files.names(spark, done) if n.isdigit()), key=int)}")
+
+
+def q_stream_bronze(spark, sf):
+    """Events land in two parts; the stream is started for each, and once more with its last micro-batch repeated."""
+    configure(spark)
+    land, root, ck = (scratch_path(spark, n) for n in ("landing", "store", "checkpoint"))
+    ev = roles.table(spark, sf, "events")
+    for part in (0, 1):
+        ev.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).select(F.to_json(F.struct(*ev.columns), bronze.JSON_OPTIONS)).write.mode("append").text(land)
+        bs.stream_to_bronze(spark, land, root, "fixture", "events", checkpoint=ck).awaitTermination()
+    _replay_last_batch(spark, ck)
+    bs.stream_to_bronze(spark, land, root, "fixture", "events", checkpoint=ck).awaitTermination()
+    return bronze.typed(bronze.scan(spark, root, "fixture", "events"), ev.schema).drop("_seq")
+
+
+def q_stream_silver(spark, sf):
+    """X1 + X2: player records land in three parts by date; silver follows each of them, with both streams' last micro-batch repeated."""
+    configure(spark)
+    land, root, silver, ck = (scratch_path(spark, n) for n in ("landing", "store", "silver", "checkpoint"))
+    recs = roles.player_records(spark, sf)
+    day = F.col("_seq.s1")
+    for part in (day < "1994-01-01", (day >= "1994-01-01") & (day < "1996-07-01"), (day >= "1996-07-01") | day.isNull()):
+        rows = recs.where(part).withColumn("updated_at", F.col("updated_at").cast("string")).orderBy("_seq.s1", "_seq.s2", "_seq.s3", "_seq.s4")
+        rows.select(F.to_json(F.struct(*roles.PLAYER_FIELDS))).write.mode("append").text(land)
+        bs.stream_to_bronze(spark, land, root, _SRC, "players", checkpoint=f"{ck}/bronze").awaitTermination()
+        bs.incremental_silver(spark, root, silver, checkpoint=f"{ck}/silver").awaitTermination()
+        _replay_last_batch(spark, f"{ck}/bronze")
+        _replay_last_batch(spark, f"{ck}/silver")
+    bs.stream_to_bronze(spark, land, root, _SRC, "players", checkpoint=f"{ck}/bronze").awaitTermination()
+    bs.incremental_silver(spark, root, silver, checkpoint=f"{ck}/silver").awaitTermination()
+    return bs.read_current(spark, silver).select(*_PLAYER_COLS)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "available_players": q_available_players,
     "gold_available_players": q_gold_available_players,
@@ -557,6 +619,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonl_tree": q_jsonl_tree,
     "src_datasource": q_src_datasource,
     "pipeline_run": q_pipeline_run,
+    "leagues_missing_store": q_leagues_missing_store,
+    "bronze_compacted": q_bronze_compacted,
+    "stream_bronze": q_stream_bronze,
+    "stream_silver": q_stream_silver,
 }
 
 
@@ -568,7 +634,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 try:  # the training-data operators are a part that can be left out
     from ingot.llm import queries as _llm
-except ImportError:
+except ModuleNotFoundError as e:
+    if e.name not in ("ingot.llm", "corpus_pipeline"):  # whatever else is missing is a fault
+        raise
     _llm = None
 
 
@@ -632,15 +700,24 @@ _PCOLS = ", ".join(_PLAYER_COLS)
 _OCOLS = "player_id as id, player_id, name, position, team, status, age, trending"
 
 
+def _line(league: str, week: str, payload: str) -> str:
+    """A landed line."""
+    quoted = f"""replace({payload}, '"', chr(92) || '"')"""
+    return f"""'{{"league_id":"' || {league} || '","week":' || {week} || ',"payload":"' || {quoted} || '"}}'"""
+
+
 def _list_oracle(key: str, where: str) -> str:
-    """Orders as landed lists: one object each, a stray number before it in some, and some cut off."""
+    """Orders as landed lists: one object each, a stray number before it in some; some lists and some lines are cut off."""
     week = "1::bigint" if key == "matchup_id" else "null::bigint"
-    return f"""with o as (select *, o_orderkey % 10 = 7 as cut, '{{"{key}":' || o_orderkey || ',"note":"' || o_orderpriority || '"}}' as item
-        from orders where {where})
-      select case when not cut then o_custkey::varchar end as league_id, case when not cut then {week} end as week,
-        case when not cut then o_orderkey end as {key}, case when not cut then o_orderpriority end as note, cut as is_malformed,
-        case when cut then left('[' || item || ']', length(item) - 1) end as text from o
-      union all select null, null, null, null, true, '17' from o where o_orderkey % 20 = 0"""
+    line = _line("o_custkey", "o_orderkey % 3", "case when cut then left(list, length(list) - 3) else list end")
+    return f"""with o as (select *, o_orderkey % 10 = 7 as cut, o_orderkey % 50 = 11 as torn,
+          '{{"{key}":' || o_orderkey || ',"note":"' || o_orderpriority || '"}}' as item,
+          '[' || case when o_orderkey % 20 = 0 then '17,' else '' end || item || ']' as list
+        from orders), p as (select *, {line} as line, cut or torn as bad from o where ({where}) or torn)
+      select case when not bad then o_custkey::varchar end as league_id, case when not bad then {week} end as week,
+        case when not bad then o_orderkey end as {key}, case when not bad then o_orderpriority end as note, bad as is_malformed,
+        case when torn then left(line, length(line) - 3) when cut then left(list, length(list) - 3) end as text from p
+      union all select null, null, null, null, true, '17' from p where o_orderkey % 20 = 0 and not bad"""
 
 
 # Every league's excluded players by their place in ``sv_players``; the free places are what is left of the first n of all.
@@ -729,8 +806,12 @@ _ORACLES: dict[str, str] = {
         case when l_linenumber > 3 then cast(l_quantity as int)::bigint end as whole
         from (select *, case when l_linenumber > 3 then cast(l_quantity as int)::double
           when l_linenumber = 3 then 10.0 * cast(l_quantity as int) end as n from lineitem)""",
-    "run_log": """select 'league' as kind, cast(n_nationkey as varchar) as league_id, (row_number() over (order by n_nationkey) - 1)::int as seq from nation
-        union all select 'broad', cast(r_regionkey as varchar), (row_number() over (order by r_regionkey) - 1)::int from region""",
+    "run_log": """select 'broad' as kind, null::varchar as league_id, 0::bigint as seq, true as timed
+        union all (select 'league', c_custkey::varchar, row_number() over (order by c_custkey) - 1 as seq, true from customer order by seq desc limit 49)""",
+    "leagues_missing_store": _with(_BZ_ROSTERS) + "select p_partkey::varchar as league_id from part anti join bz_rosters on p_partkey = league_id",
+    "bronze_compacted": "select * from events",
+    "stream_bronze": "select * from events",
+    "stream_silver": _P + f"select {_PCOLS} from sv_players",
     "catalog_full": _with(_BZ_PLAYERS, _SV_PLAYERS, _BZ_ROSTERS, _SV_ROSTERS, _GD_INJURY, _SV_LEAGUES)
     + """select 'bronze' as layer, 'league_api' as source_id, 'players' as name, count(*) as row_count from lineitem
         union all select 'bronze', 'league_api', 'rosters', count(*) from bz_rosters
@@ -758,21 +839,23 @@ _ORACLES: dict[str, str] = {
         then ',"updated_at":"' || updated_at || '"' else '' end || '}' as value from gd_injury""",
     "available_players_default": _PRA + f"select {_PCOLS} from gd_avail",
     "all_players": _P + f"select {_PCOLS} from sv_players",
-    "src_league": """select case when not bad then c_custkey::varchar end as league_id, case when not bad then c_name end as name, bad as is_malformed,
-        case when bad then left(t, length(t) - 3) end as text
-        from (select *, c_custkey % 10 = 3 as bad, '{"name":"' || c_name || '"}' as t from customer)""",
+    "src_league": f"""select case when not bad then c_custkey::varchar end as league_id, case when not bad then c_name end as name, bad as is_malformed,
+        case when torn then left(line, length(line) - 3) when bad then left(t, length(t) - 3) end as text
+        from (select *, c_custkey % 50 = 11 as torn, torn or c_custkey % 10 = 3 as bad, '{{"name":"' || c_name || '"}}' as t,
+          {_line("c_custkey", "1", "case when c_custkey % 10 = 3 then left(t, length(t) - 3) else t end")} as line from customer)""",
     "src_rosters": _list_oracle("roster_id", "true"),
     "src_matchups": _list_oracle("matchup_id", "o_orderkey % 3 = 1"),
-    "quarantine_counts": """select 'league' as name, count(*) as row_count, count(*) filter (c_custkey % 10 = 3)::bigint as malformed_count from customer
-        union all select 'rosters', count(*) + count(*) filter (o_orderkey % 20 = 0),
-          (count(*) filter (o_orderkey % 10 = 7) + count(*) filter (o_orderkey % 20 = 0))::bigint from orders
-        union all select 'matchups', count(*) + count(*) filter (o_orderkey % 20 = 0),
-          (count(*) filter (o_orderkey % 10 = 7) + count(*) filter (o_orderkey % 20 = 0))::bigint from orders where o_orderkey % 3 = 1""",
+    "quarantine_counts": """with o as (select *, o_orderkey % 50 = 11 as torn, o_orderkey % 10 = 7 as cut, o_orderkey % 20 = 0 as stray from orders)
+        select 'league' as name, count(*) as row_count, count(*) filter (c_custkey % 10 = 3 or c_custkey % 50 = 11)::bigint as malformed_count from customer
+        union all select 'rosters', count(*) + count(*) filter (stray), (count(*) filter (cut or torn) + count(*) filter (stray))::bigint from o
+        union all select 'matchups', count(*) + count(*) filter (stray),
+          (count(*) filter (cut or torn) + count(*) filter (stray))::bigint from o where o_orderkey % 3 = 1 or torn""",
     "jsonl_load": "select * from events",
     "jsonl_tree": """select 'bronze' as layer, 'fixture' as source_id, 'events' as name, count(*) as row_count from events
         union all select 'bronze', 'tpch', 'orders', count(*) from orders""",
     "src_datasource": "select * from events",
-    "pipeline_run": _PRA + f"select {_OCOLS} from gd_avail",
+    # the landed key is text, so player '0' is truthy and stays
+    "pipeline_run": _with(_BZ_PLAYERS, _SV_PLAYERS.replace(" and player_id <> 0", ""), _BZ_ROSTERS, _SV_ROSTERS, _GD_AVAIL) + f"select {_OCOLS} from gd_avail",
     "src_map_snapshot": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,
         p_brand as team from part""",
 }

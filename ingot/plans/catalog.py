@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ingot.operators.dedup import FIRST_SEQ
 from ingot.operators.limit import RUN_HISTORY, SAMPLE_ROWS, first_n, newest_n
+from ingot.operators.ranking import ranked
 from ingot.plans import gold
 from ingot.plans import silver as sv
 from ingot.schema import RUNS
@@ -63,6 +64,12 @@ def catalog_all(bronze_rows: DataFrame, players: DataFrame, leagues: DataFrame,
     return b.unionByName(sg)
 
 
+def catalog_store(spark: SparkSession, root: str, players: DataFrame, leagues: DataFrame, rosters: DataFrame) -> DataFrame:
+    """G5 of a store: its bronze counts come from the commit log, so no bronze row is read for them."""
+    sg = catalog_silver_gold(players, leagues, rosters).select("layer", F.lit(None).cast("string").alias("source_id"), "name", "row_count")
+    return bronze.catalog_at(spark, root).unionByName(sg)
+
+
 # --------------------------------------------------------------------------- samples
 def sample(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """L2 for silver/gold: the first ``n`` rows in first-seen order."""
@@ -101,11 +108,22 @@ def record_run(spark: SparkSession, root: str, kind: str, league_id: str | None
     record_runs(spark, root, kind, [league_id], ts)
 
 
-def record_runs(spark: SparkSession, root: str, kind: str, league_ids: list[str], ts: _dt.datetime | None = None) -> None:
-    """Append runs in order: the time is taken on the driver once, ``seq`` keeps the order within the call."""
+def record_runs(
+    spark: SparkSession, root: str, kind: str, league_ids: list[str | None] | DataFrame, ts: _dt.datetime | None = None
+) -> None:
+    """Append runs in order: the time (F13) is taken on the driver once, ``seq`` keeps the order within the call.
+
+    A DataFrame (league_id, then the columns of its order) of any size is numbered and written by Spark.
+    """
     when = ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(kind, lid, when, i) for i, lid in enumerate(league_ids)]
-    spark.createDataFrame(rows, RUNS).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+    if isinstance(league_ids, DataFrame):
+        first, *order = league_ids.columns
+        rows = ranked(league_ids, order or [first], name="_seq").select(
+            F.lit(kind).alias("kind"), F.col(first).cast("string").alias("league_id"), F.lit(when).alias("ts"), F.col("_seq").alias("seq")
+        )
+    else:
+        rows = spark.createDataFrame([(kind, lid, when, i) for i, lid in enumerate(league_ids)], RUNS)
+    rows.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
 
 
 def latest_runs(spark: SparkSession, root: str, n: int = RUN_HISTORY) -> DataFrame:

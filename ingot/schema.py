@@ -8,7 +8,6 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -77,6 +76,6 @@ RUNS = StructType(
         StructField("kind", StringType(), False),
         StructField("league_id", StringType(), True),
         StructField("ts", TimestampType(), False),
-        StructField("seq", IntegerType(), False),
+        StructField("seq", LongType(), False),
     ]
 )

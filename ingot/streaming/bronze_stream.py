@@ -114,8 +114,8 @@ def _write_run(spark: SparkSession, path: str, rows: DataFrame) -> dict[int, str
     """Write silver rows as one run for each bucket that has any; bucket -> folder."""
     bucket = F.pmod(F.xxhash64("player_id"), F.lit(BUCKETS)).cast("int")
     version = f"{path}/v={uuid.uuid4().hex}"
-    rows = rows.withColumn("_bucket", bucket).sortWithinPartitions("_bucket", "player_id")
-    rows.write.partitionBy("_bucket").parquet(version)
+    rows = rows.withColumn("_bucket", bucket).hint("rebalance", "_bucket")  # few files for a small run, several for a large bucket
+    rows.sortWithinPartitions("_bucket", "player_id").write.partitionBy("_bucket").parquet(version)
     return {int(n.partition("=")[2]): f"{version}/{n}" for n in files.names(spark, version) if n.startswith("_bucket=")}
 
 
