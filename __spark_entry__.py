@@ -28,6 +28,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from ingot.functions.expr import column_fields, json_fields, parse_id_list  # noqa: E402
 from ingot.operators.dedup import latest_wins  # noqa: E402
+from ingot.operators.ranking import ranked  # noqa: E402
 from ingot.operators.limit import RUN_HISTORY, SAMPLE_ROWS, first_n, newest_n  # noqa: E402
 from ingot.plans import catalog as cat  # noqa: E402
 from ingot.plans import gold, roles  # noqa: E402
@@ -403,6 +404,20 @@ def q_src_map_snapshot(spark, sf):
     return bronze.typed(rows, "player_id string, display_name string, position string, team string").drop("_seq")
 
 
+def q_src_map_document(spark, sf):
+    """The snapshot of every part as one JSON document in one file, read in byte ranges."""
+    configure(spark)
+    root = scratch_path(spark, "landing")
+    part = roles.table(spark, sf, "part")
+    entry = F.to_json(F.struct(F.col("p_name").alias("display_name"), F.col("p_type").alias("position"), F.col("p_brand").alias("team")))
+    rows = ranked(part.select("p_partkey", F.concat(F.lit('"'), "p_partkey", F.lit('": '), entry).alias("entry")), ["p_partkey"])
+    last = rows.count() - 1
+    line = F.concat(F.when(F.col("rank") == 0, "{").otherwise(""), "entry", F.when(F.col("rank") == last, "}").otherwise(","))
+    rows.select("rank", line.alias("line")).coalesce(1).sortWithinPartitions("rank").select("line").write.text(f"{root}/players/all.json")
+    found = landed.players_document(spark, root, pattern="players/all.json/part-*")
+    return bronze.typed(found, "player_id string, display_name string, position string, team string").drop("_seq")
+
+
 def _land(spark, sf, kind: str) -> str:
     """Payloads of all leagues, landed as lines; every tenth one is damaged, and every fiftieth line itself is cut off.
 
@@ -600,6 +615,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_generic": q_src_generic,
     "bronze_roundtrip": q_bronze_roundtrip,
     "src_map_snapshot": q_src_map_snapshot,
+    "src_map_document": q_src_map_document,
     "silver_players_json": q_silver_players_json,
     "silver_rosters_json": q_silver_rosters_json,
     "silver_leagues_json": q_silver_leagues_json,
@@ -856,6 +872,8 @@ _ORACLES: dict[str, str] = {
     "src_datasource": "select * from events",
     # the landed key is text, so player '0' is truthy and stays
     "pipeline_run": _with(_BZ_PLAYERS, _SV_PLAYERS.replace(" and player_id <> 0", ""), _BZ_ROSTERS, _SV_ROSTERS, _GD_AVAIL) + f"select {_OCOLS} from gd_avail",
+    "src_map_document": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,
+        p_brand as team from part""",
     "src_map_snapshot": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,
         p_brand as team from part""",
 }

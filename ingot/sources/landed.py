@@ -11,9 +11,8 @@ files, and one distributed scan turns any number of them into bronze rows:
     {landing}/{league,rosters,matchups}/*.jsonl  the same for many leagues: a line {league_id, week, payload: text} each
 
 League id and week come from the file path, so ingesting many leagues is one
-job, not a loop. A ``.json`` payload is parsed by one task; a large snapshot
-should be landed as many files or as lines, and its entries are dealt out
-again after the parse.
+job, not a loop. A player snapshot that is one ``.json`` document is read in byte ranges by many tasks
+(:mod:`ingot.sources.ranges`); the payload of a league is parsed by one.
 
 Nothing is lost: a payload that is not JSON is one row with its whole text and
 ``is_malformed``; so is each element (and each league payload) that is JSON but no
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 from ingot.functions.expr import inject_keys
 from ingot.session import configure
 from ingot.sources import bronze, files
+from ingot.sources.ranges import entries, parsed_entries
 
 SOURCE_ID = "league_api"
 PAYLOAD_MAP = "map<string,variant>"
@@ -45,7 +45,7 @@ def _read_payloads(spark: SparkSession, pattern: str, whole: bool = True) -> Dat
     """Documents as rows ``(value, doc VARIANT, _file, _block)``; None when no file matches."""
     if not files.matches(spark, pattern):
         return None
-    df = spark.read.option("wholetext", whole).text(pattern)
+    df = spark.read.text(pattern, wholetext=whole)
     if not whole:
         df = df.where(~F.col("value").rlike(r"^\s*$"))
     return df.select(
@@ -104,6 +104,24 @@ def players_snapshot(
     else:
         # lines keep the order of the scan; positions are taken above it and written with the rows
         ex = t.select("_file", "_block", F.explode(items).alias("item")).withColumn("_p", F.monotonically_increasing_id())
+    return _player_rows(ex, batch_id)
+
+
+def players_document(spark: SparkSession, landing: str, batch_id: int = 0, pattern: str = "players/*.json") -> DataFrame:
+    """S5 on documents of any size: the rows of :func:`players_snapshot`, each document read in byte ranges by many tasks.
+
+    Of a document that is not JSON the readable entries are rows, and each other text between them is a malformed one.
+    """
+    configure(spark)
+    path = f"{landing.rstrip('/')}/{pattern}"
+    if not files.matches(spark, path):
+        return _empty(spark)
+    found = parsed_entries(entries(spark, path)).withColumnRenamed("text", "value")
+    items = _items(F.try_variant_get("doc", "$", PAYLOAD_MAP))
+    return _player_rows(found.select("_file", "_block", "_p", F.explode(items).alias("item")), batch_id)
+
+
+def _player_rows(ex: DataFrame, batch_id: int) -> DataFrame:
     k, v, bad = F.col("item.k"), F.col("item.v"), F.col("item.bad")
     obj = F.try_variant_get(v, "$", PAYLOAD_MAP)
     rec = (
@@ -217,6 +235,6 @@ def ingest(spark: SparkSession, landing: str, root: str, league_id: str | League
         tables = [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")]
         bronze.append(rows, root, tables, index={"league": "league_id", "rosters": "league_id"})
     else:
-        rows = players_snapshot(spark, landing)
+        rows = players_document(spark, landing)
         rows = rows.unionByName(players_snapshot(spark, landing, pattern="players/*.jsonl", whole=False))
         bronze.append(rows, root, [(SOURCE_ID, "players")])
