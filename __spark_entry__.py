@@ -510,6 +510,16 @@ def q_src_datasource(spark, sf):
     return bronze.typed(rows, ev.schema).drop("_seq")
 
 
+def q_src_datasource_write(spark, sf):
+    """Events written by the Python source's writer, read back in ranges of a quarter megabyte."""
+    path = scratch_path(configure(spark), "lines")
+    ev = roles.table(spark, sf, "events")
+    name = ing.register_datasource(spark, JsonLineFiles)
+    ev.select(F.to_json(F.struct(*ev.columns), bronze.JSON_OPTIONS).alias("record")).write.format(name).mode("append").save(path)
+    rows = bronze.records_from_json_column(ing.get_source(name)(spark, path=path, splitBytes=1 << 18), "record", "python", "events")
+    return bronze.typed(rows, ev.schema).drop("_seq")
+
+
 def q_pipeline_run(spark, sf):
     """Q5 + S7 + G9: land players, leagues and rosters; ingest, conform, and ask for a league's available players."""
     root, store = scratch_path(configure(spark), "landing"), scratch_path(spark, "store")
@@ -634,6 +644,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonl_load": q_jsonl_load,
     "jsonl_tree": q_jsonl_tree,
     "src_datasource": q_src_datasource,
+    "src_datasource_write": q_src_datasource_write,
     "pipeline_run": q_pipeline_run,
     "leagues_missing_store": q_leagues_missing_store,
     "bronze_compacted": q_bronze_compacted,
@@ -870,6 +881,7 @@ _ORACLES: dict[str, str] = {
     "jsonl_tree": """select 'bronze' as layer, 'fixture' as source_id, 'events' as name, count(*) as row_count from events
         union all select 'bronze', 'tpch', 'orders', count(*) from orders""",
     "src_datasource": "select * from events",
+    "src_datasource_write": "select * from events",
     # the landed key is text, so player '0' is truthy and stays
     "pipeline_run": _with(_BZ_PLAYERS, _SV_PLAYERS.replace(" and player_id <> 0", ""), _BZ_ROSTERS, _SV_ROSTERS, _GD_AVAIL) + f"select {_OCOLS} from gd_avail",
     "src_map_document": """select cast(p_partkey as varchar) as player_id, p_name as display_name, p_type as position,

@@ -55,7 +55,8 @@ def register_source(source_id: str, reader: Reader) -> None:
 
 
 def register_datasource(spark: SparkSession, cls) -> str:
-    """Register a ``pyspark.sql.datasource.DataSource`` subclass; its name becomes a format."""
+    """Register a ``pyspark.sql.datasource.DataSource`` subclass; its name becomes a format. Its reader may take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(cls)
     name = cls.name()
 
