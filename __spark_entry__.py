@@ -198,17 +198,17 @@ def _store(spark, sf) -> str:
     if key not in _STORES:
         root = scratch_path(spark, "store")
         seq = ["_seq.s1", "_seq.s2", "_seq.s3", "_seq.s4"]
-        bronze.append(_json_rows(roles.player_records(spark, sf), roles.PLAYER_FIELDS, seq, "players"), root)
+        bronze.append(_json_rows(roles.player_records(spark, sf), roles.PLAYER_FIELDS, seq, "players"), root, variant=True)
         keys = {"rosters": "league_id", "league": "league_id"}
-        bronze.append(_json_rows(roles.roster_records(spark, sf), roles.ROSTER_FIELDS, ["_seq.s1", "roster_id"], "rosters"), root, index=keys)
-        bronze.append(_json_rows(roles.league_records(spark, sf), roles.LEAGUE_FIELDS, ["_seq.s1", "league_id"], "league"), root, index=keys)
+        bronze.append(_json_rows(roles.roster_records(spark, sf), roles.ROSTER_FIELDS, ["_seq.s1", "roster_id"], "rosters"), root, index=keys, variant=True)
+        bronze.append(_json_rows(roles.league_records(spark, sf), roles.LEAGUE_FIELDS, ["_seq.s1", "league_id"], "league"), root, index=keys, variant=True)
         bronze.register_table(spark, root, _SRC, "matchups")  # a table without rows yet
         _STORES[key] = root
     return _STORES[key]
 
 
 def _records(spark, sf, tbl) -> DataFrame:
-    return bronze.parsed(bronze.scan(spark, _store(spark, sf), _SRC, tbl)).select("record_v", "_seq")
+    return bronze.parsed_at(spark, _store(spark, sf), _SRC, tbl).select("record_v", "_seq")
 
 
 def _silver_json(spark, sf) -> dict[str, DataFrame]:

@@ -72,7 +72,7 @@ def silver_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     f = json_fields()
 
     def get(tbl: str) -> DataFrame:
-        return bronze.parsed(bronze.scan(spark, root, SOURCE_ID, tbl)).select("record_v", "_seq")
+        return bronze.parsed_at(spark, root, SOURCE_ID, tbl).select("record_v", "_seq")
 
     return {
         "players": sv.players(get("players"), f),

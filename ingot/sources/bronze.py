@@ -23,7 +23,7 @@ from urllib.parse import quote, unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 from ingot.functions.expr import json_fields
 from ingot.operators.dedup import SEQ
@@ -135,17 +135,22 @@ def read_jsonl_tree(spark: SparkSession, root: str, batch_id: int = 0) -> DataFr
 
 
 # --------------------------------------------------------------------------- sink
-def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """The rows of some commits' folders."""
+def _read(spark: SparkSession, root: str, paths: list[str], variant: bool = False) -> DataFrame:
+    """The rows of some commits' folders; with ``variant`` also ``record_v``."""
     base = f"{root}/{BRONZE_DIR}"
-    schema = StructType([*BRONZE_SCHEMA.fields, StructField("commit", StringType())])
+    schema = StructType([*BRONZE_SCHEMA.fields, StructField("commit", StringType()), *([StructField("record_v", VariantType())] if variant else [])])
     return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{p}" for p in paths]).drop("commit")
 
 
-def _write(rows: DataFrame, root: str, index: dict[str, str]) -> list[commits.Folder]:
-    """Write rows to a new folder; its tables, with their counts. ``index``: the field whose values are kept as a table's keys."""
+def _write(rows: DataFrame, root: str, index: dict[str, str], variant: bool = False) -> list[commits.Folder]:
+    """Write rows to a new folder; its tables, with their counts. ``index``: the field whose values are kept as a table's keys.
+
+    ``variant``: keep each parsed record beside its text. Spark shreds the column: fields that the records share become Parquet columns.
+    """
     spark, commit = rows.sparkSession, f"commit={uuid.uuid4().hex}"
     path = f"{root}/{BRONZE_DIR}/{commit}"
+    if variant:
+        rows = rows.withColumn("record_v", F.try_parse_json("record"))
     rows.write.partitionBy("source_id", "tbl").parquet(path)
     found = [f"{commit}/{s}/{t}" for s in files.names(spark, path) if "=" in s for t in files.names(spark, f"{path}/{s}") if "=" in t]
     if not found:
@@ -163,12 +168,13 @@ def _write(rows: DataFrame, root: str, index: dict[str, str]) -> list[commits.Fo
     for p in found:
         source_id, tbl = (unquote(x.partition("=")[2]) for x in p.split("/")[1:])
         held, (size, n) = count[source_id, tbl], files.size(spark, f"{root}/{BRONZE_DIR}/{p}")
-        out.append(commits.Folder(p, source_id, tbl, held["rows"], held["malformed"], size, n, held["first"], tbl in index))
+        out.append(commits.Folder(p, source_id, tbl, held["rows"], held["malformed"], size, n, held["first"], tbl in index, variant))
     return out
 
 
 def append(
-    rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None, key: str | None = None, index: dict[str, str] | None = None
+    rows: DataFrame, root: str, tables: list[tuple[str, str]] | None = None, key: str | None = None,
+    index: dict[str, str] | None = None, variant: bool = False,
 ) -> int:
     """Append bronze rows as one batch; returns its id.
 
@@ -176,7 +182,7 @@ def append(
     at once, and a reader sees all of a batch or nothing. An append whose ``key`` is in the log already changes nothing, so a
     replayed micro-batch counts once. Spark's commit protocol makes the write safe against task retries.
     ``tables`` names those that may get no rows: they are listed with count 0. ``index`` maps tables to the
-    field whose values are kept beside them, see :func:`keys`.
+    field whose values are kept beside them, see :func:`keys`; with ``variant`` the parsed records are, see :func:`parsed_at`.
     """
     spark, root = rows.sparkSession, root.rstrip("/")
     before = commits.snapshot(spark, root)
@@ -184,7 +190,7 @@ def append(
         return before.keys[key][1]
     number = allocate_batch(spark, root, key)
     rows = rows.withColumns({"_batch_id": F.lit(number).cast("long"), "_writer": F.lit(key or uuid.uuid4().hex)})
-    commits.commit(spark, root, "append", before, _write(rows, root, index or {}), number=number, key=key)
+    commits.commit(spark, root, "append", before, _write(rows, root, index or {}, variant), number=number, key=key)
     for source_id, tbl in tables or []:
         register_table(spark, root, source_id, tbl)
     return number
@@ -216,7 +222,7 @@ def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
     rows = _read(spark, root, [f.path for f in old])
     rows = (rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
     index = {t: _KEY_FIELDS[t] for t in {f.tbl for f in old} if t in _KEY_FIELDS and all(f.index for f in old if f.tbl == t)}
-    new = _write(rows, root, index)
+    new = _write(rows, root, index, any(f.variant for f in old))
     commits.commit(spark, root, "compact", now, new, [f.path for f in old])
     return len(old)
 
@@ -322,6 +328,26 @@ def parsed(rows: DataFrame) -> DataFrame:
     )
 
 
+def parsed_at(spark: SparkSession, root: str, source_id: str, tbl: str) -> DataFrame:
+    """A table's well-formed rows as :func:`parsed` gives them.
+
+    Of folders with parsed records the scan reads only the fields that are asked for, as columns, and no text; the others' texts are parsed.
+    """
+    root = root.rstrip("/")
+    live = commits.snapshot(spark, root).of(source_id, tbl)
+    out = None
+    for variant in (True, False):
+        paths = [f.path for f in live if f.variant == variant]
+        if paths:
+            rows = _read(spark, root, paths, variant)
+            if variant:
+                rows = rows.where(~F.col("is_malformed")).select("source_id", "tbl", "record_v", seq_col().alias(SEQ))
+            else:
+                rows = parsed(rows)
+            out = rows if out is None else out.unionByName(rows)
+    return parsed(spark.createDataFrame([], BRONZE_SCHEMA)) if out is None else out
+
+
 def typed(rows: DataFrame, schema) -> DataFrame:
     """Well-formed bronze rows parsed into a fixed schema (e.g. for round trips)."""
     s = schema if isinstance(schema, str) else schema.simpleString()

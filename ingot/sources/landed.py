@@ -233,8 +233,8 @@ def ingest(spark: SparkSession, landing: str, root: str, league_id: str | League
         ids = [league_id] if isinstance(league_id, str) else league_id
         rows = league_scoped(spark, landing, ids, week)
         tables = [(SOURCE_ID, "league"), (SOURCE_ID, "rosters"), (SOURCE_ID, "matchups")]
-        bronze.append(rows, root, tables, index={"league": "league_id", "rosters": "league_id"})
+        bronze.append(rows, root, tables, index={"league": "league_id", "rosters": "league_id"}, variant=True)
     else:
         rows = players_document(spark, landing)
         rows = rows.unionByName(players_snapshot(spark, landing, pattern="players/*.jsonl", whole=False))
-        bronze.append(rows, root, [(SOURCE_ID, "players")])
+        bronze.append(rows, root, [(SOURCE_ID, "players")], variant=True)

@@ -109,8 +109,8 @@ def test_an_append_during_a_compaction_stays(spark, root, monkeypatch):
         bronze.append(rows_of(spark, [{"n": i}]), root)
     write = bronze._write
 
-    def late(rows, place, index):
-        out = write(rows, place, index)
+    def late(*args):
+        out = write(*args)
         monkeypatch.setattr(bronze, "_write", write)
         bronze.append(rows_of(spark, [{"n": 50}]), root)  # between the rewrite and its commit
         bronze.compact(spark, root)  # and another compaction of the same folders
@@ -227,3 +227,26 @@ def test_what_is_written_follows_the_batch(spark, tmp_path):
     assert cur.count() == 3000
     assert bs.vacuum_silver(spark, silver, older_than=-60) > 0
     assert bs.read_current(spark, silver).count() == 3000
+
+
+def test_silver_reads_only_the_fields_it_needs(spark, root):
+    big = "x" * 500
+    people = [{"player_id": f"p{i}", "display_name": f"N{i}", "bio": big, "age": 20 + i, "number": i} for i in range(50)]
+    bronze.append(rows_of(spark, [*people, "{bad"], "players"), root, variant=True)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        df = sv.players(bronze.parsed_at(spark, root, "s", "players"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "ReadSchema" in line).partition("ReadSchema")[2]
+    assert "record_v:struct<" in scan and "player_id" in scan  # fields, as columns of their own
+    assert "bio" not in scan and "record:string" not in scan
+    assert {r["player_id"]: (r["name"], r["age"]) for r in df.collect()} == {p["player_id"]: (p["display_name"], p["age"]) for p in people}
+    # folders without parsed records are parsed, and compaction keeps what there is
+    bronze.append(rows_of(spark, [{"player_id": "p1", "display_name": "later"}, {"player_id": "q"}], "players"), root)
+    for _ in range(2):
+        got = {r["player_id"]: r["name"] for r in sv.players(bronze.parsed_at(spark, root, "s", "players")).collect()}
+        assert len(got) == 51 and got["p1"] == "later" and got["p2"] == "N2"
+        bronze.compact(spark, root)
+    assert [f.variant for f in commits.snapshot(spark, root).of()] == [True]
