@@ -149,8 +149,8 @@ def _marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
     return found.filter(byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(F.lit(7))).cast("int")) != 0).drop("bucket", "bits")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, tx (the text's digest), n, root, component_id, kept: one row per document."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tx"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -173,29 +173,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     if sets.count() > wanted.count():  # rows that are there more than once
         sets = materialise(sets.dropDuplicates(["set_id"]), "sets")
     roots = near_roots(nodes, sets, rows, percent)
-    rooted = marks.select("doc_id", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rooted = marks.select("doc_id", "tx", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set_id"))
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    return out.select("doc_id", "tx", "n", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    return _verdicts(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the smallest doc_id; the columns of ``docs``.
 
-    Of rows that repeat that doc_id one stays; documents without words or without an id all stay.
+    Rows are told apart by doc_id and text: of several texts with that id in one component the one with the smallest digest stays, of rows that
+    repeat it one, and texts that merely share an id with others are judged by themselves. Documents without words or without an id all stay.
     """
-    found = near_duplicates(docs, shingle, percent)
-    gone = materialise(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    rows = keyed(docs, F.col("doc_id"))
-    left = rows.join(gone, F.col("_k1") == F.col("doc_id"), "left_anti")
-    again = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    again = materialise(again.select("doc_id"))
+    found = _verdicts(docs, shingle, percent).filter("n > 0 and doc_id is not null").select("doc_id", "tx", "root", "kept")
+    found = materialise(found, "verdicts")
+    best = found.filter("kept").groupBy("root").agg(F.min("tx").alias("best"))
+    judged = found.join(best, "root", "left").withColumn("stays", F.coalesce(F.col("kept") & (F.col("tx") == F.col("best")), F.lit(False)))
+    gone = judged.filter(~F.col("stays")).select("doc_id", "tx").distinct()
+    rows = keyed(docs, F.col("doc_id"), F.xxhash64("text"))
+    same = (F.col("_k1") == F.col("doc_id")) & (F.col("_k2") == F.col("tx"))
+    left = rows.join(materialise(gone), same, "left_anti")
+    again = judged.filter("stays").groupBy("doc_id", "tx").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    again = materialise(again.select("doc_id", "tx"))
     if not again.limit(1).count():
         return left.select("_row.*")
-    # ids of several rows: of those, the row with the smallest text digest
-    many = left.join(again, F.col("_k1") == F.col("doc_id"), "left_semi").dropDuplicates(["_k1"])
-    once = left.join(again, F.col("_k1") == F.col("doc_id"), "left_anti")
+    # rows that repeat the one that stays
+    many = left.join(again, same, "left_semi").dropDuplicates(["_k1", "_k2"])
+    once = left.join(again, same, "left_anti")
     return once.union(many).select("_row.*")

@@ -18,7 +18,7 @@ says so, without computing d(q, leaf); within a page, a vector when
 Queries go to pages in blocks, and a page returns k rows for each query at most.
 
 Edge cases: a vector that is null or holds a null or a value that is not finite takes no part, nor does a row without id;
-vectors of other lengths than the query's are no candidates; rows that are equal in id and vector count once,
+vectors of other lengths than the query's are no candidates; scores beyond 64 bits are held at their ends; rows that are equal in id and vector count once,
 and no row with the query's own id is a candidate; fewer candidates than k give fewer rows; an
 empty table gives an empty result. Only vec_id and embedding are read.
 """
@@ -46,6 +46,7 @@ LEAVES = 256
 PAGE = 2048  # vectors of a page, about
 BLOCK = 1024  # queries of a block, about
 SLACK = 1e-6  # of M: more than rounding can move a bound
+TOP = 2**63 - 1  # scores beyond 64 bits are held at their ends
 
 
 def scaled(rows: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def scaled(rows: DataFrame) -> DataFrame:
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     out = out.filter(F.col("vec_id").isNotNull() & fine).select("vec_id", v.alias("v")).dropDuplicates(["vec_id", "v"])
     return out.withColumns({
-        "dim": F.size("v"), "norm": F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c),
+        "dim": F.size("v"), "norm": F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")),
     })
 
 
@@ -203,7 +204,7 @@ def search_page(k: int, slack: dict[int, float]):
             mine = ids[low:high]
             score, mine = score[mine != own], mine[mine != own]
             best = np.lexsort((mine, -score))[:k] if exact else sorted(range(len(mine)), key=lambda j: (-score[j], mine[j]))[:k]
-            out += [(own, leaf, int(mine[j]), int(score[j])) for j in best]
+            out += [(own, leaf, int(mine[j]), min(TOP, max(-TOP - 1, int(score[j])))) for j in best]
         return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
     return run

@@ -210,7 +210,7 @@ l as (select doc_id, source, line, lower(trim(regexp_replace(line, '[\\x20\\x09-
   where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 n as (select doc_id, source, line, regexp_replace(flat, '[0-9]', '0', 'g') as norm from l),
 u as (select doc_id, count(*) - count(distinct line) as dup, sum(length(norm)) as whole, list_sort(list_distinct(list(md5(norm)))) as m from n group by doc_id),
-e as (select doc_id, source, norm, case when md5(norm) = m[1] then coalesce(m[2], m[1]) else m[1] end as sig from n join u using (doc_id)),
+e as (select doc_id, source, norm, md5(array_to_string(m, ',')) as sig from n join u using (doc_id)),
 f as (select source, norm from e join (select source as s, count(*) as docs from d group by source) h on h.s is not distinct from source
   group by source, norm, docs having count(distinct sig) > {MIN_DOCS} and count(distinct sig) > {HOST_SHARE} * docs),
 v as (select n.doc_id, count(distinct n.norm) as removed, sum(length(n.norm)) as gone

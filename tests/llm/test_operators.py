@@ -210,10 +210,20 @@ def test_near_duplicates_odd_rows(spark):
     out = minhash.drop_near_duplicates(docs, shingle=2)
     same_columns(out, docs)
     ids = [r["doc_id"] for r in out.collect()]
-    assert sorted(x for x in ids if x) == [1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 13] and None in ids
+    assert sorted(x for x in ids if x) == [1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 13, 13] and None in ids
     assert minhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_by_themselves(spark):
+    near = prose(20, 80)
+    rows = [(1, prose(10, 60), "a"), (2, prose(11, 60), "a"), (2, prose(12, 60), "a"), (3, prose(13, 60), "a"), (3, prose(14, 60), "a")]
+    rows += [(5, near, "a"), (3, near + " more", "a"), (6, near, "a"), (3, near + " more", "b"), (7, "", "a"), (7, "", "a")]
+    out = minhash.drop_near_duplicates(docs_of(spark, rows)).collect()
+    got = sorted((r["doc_id"], r["text"]) for r in out)
+    want = [(i, t) for i, t, _ in rows[:5]] + [(3, near + " more"), (7, ""), (7, "")]
+    assert got == sorted(want)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -351,6 +361,19 @@ def test_html_pages(spark):
 # --------------------------------------------------------------------------- 5
 
 
+def test_mtree_takes_large_components(spark):
+    x = [[1e10 * (i % 3 - 1), 4e9 + i] for i in range(60)]
+    rows = [(i, v) for i, v in enumerate(x)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=3)
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in (0, 50):
+        score = [(-sum(int(a * 256) * int(b * 256) for a, b in zip(x[q], v, strict=True)), i) for i, v in rows if i != q]
+        best = sorted((-hold(-s), i) for s, i in score)[:3]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert {(r[0], r[1], r[3]) for r in got.collect()} == {(q, r, s) for q, r, _, s in want}
+
+
 def test_mtree_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 12))
