@@ -75,6 +75,12 @@ def q_silver_leagues(spark, sf):
     return roles.silver_leagues(configure(spark), sf).select("league_id", "name")
 
 
+def q_silver_matchups(spark, sf):
+    """The latest score of each roster and week."""
+    recs = roles.matchup_records(configure(spark), sf)
+    return sv.matchups(recs, column_fields(recs)).select("league_id", "week", "matchup_id", "roster_id", "points")
+
+
 def q_league_lookup(spark, sf):
     return sv.league_lookup(roles.silver_leagues(configure(spark), sf), LEAGUE).select("league_id", "name")
 
@@ -600,6 +606,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_bronze_players": q_sql_bronze_players,
     "silver_rosters": q_silver_rosters,
     "silver_leagues": q_silver_leagues,
+    "silver_matchups": q_silver_matchups,
     "league_lookup": q_league_lookup,
     "silver_injuries": q_silver_injuries,
     "gold_injury_report": q_gold_injury_report,
@@ -783,6 +790,10 @@ _ORACLES: dict[str, str] = {
         cast(s3 as varchar) as number, name as raw_name from bz_players""",
     "silver_rosters": _R + "select league_id, roster_id, unnest(players) as player_id from sv_rosters",
     "silver_leagues": _with(_SV_LEAGUES) + "select league_id, name from sv_leagues",
+    "silver_matchups": """select o_custkey::varchar as league_id, l_linenumber::bigint as week,
+        case when l_linenumber <> 7 then (l_orderkey % 6)::varchar end as matchup_id, l_orderkey::varchar as roster_id,
+        case when l_linenumber <> 5 then l_quantity::double end as points from lineitem join orders on l_orderkey = o_orderkey
+        qualify row_number() over (partition by o_custkey, l_linenumber, l_orderkey order by l_shipdate desc, l_partkey desc, l_suppkey desc) = 1""",
     "league_lookup": _with(_SV_LEAGUES) + f"select league_id, name from sv_leagues where league_id = '{LEAGUE}'",
     "silver_injuries": _with(_BZ_PLAYERS, _SV_PLAYERS, _GD_INJURY) + "select player_id, status, updated_at from gd_injury",
     "gold_injury_report": _with(_BZ_PLAYERS, _SV_PLAYERS, _GD_INJURY) + "select player_id, status, updated_at from gd_injury",

@@ -68,7 +68,7 @@ def ingest_broad(spark: SparkSession, landing: str, root: str) -> None:
 
 
 def silver_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Silver built lazily from bronze (players, league, rosters)."""
+    """Silver built lazily from bronze (players, league, rosters, matchups)."""
     f = json_fields()
 
     def get(tbl: str) -> DataFrame:
@@ -78,6 +78,7 @@ def silver_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "players": sv.players(get("players"), f),
         "league": sv.leagues(get("league"), f),
         "rosters": sv.rosters(get("rosters"), f),
+        "matchups": sv.matchups(get("matchups"), f),
     }
 
 
@@ -130,6 +131,7 @@ def run(
         "silver_players": s["players"],
         "silver_league": s["league"],
         "silver_rosters": s["rosters"],
+        "silver_matchups": s["matchups"],
         "available_players": gold.gold_available_players(s["players"], s["rosters"], lid),
         "injury_report": gold.injury_report(s["players"], lid),
         "waiver": gold.waiver_recommendations(s["players"], s["rosters"], lid),

@@ -110,6 +110,18 @@ def league_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale.unionByName(fresh)
 
 
+def matchup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matchup records: one per line item; its order is the roster, its line number the week, and the latest ship date is the last score."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("league_id"), F.col("l_linenumber").alias("week"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_orderkey") % 6).alias("matchup_id"), F.col("l_orderkey").alias("roster_id"),
+        F.when(F.col("l_linenumber") != 5, F.col("l_quantity")).alias("points"),
+        F.struct(F.col("l_shipdate").alias("s1"), F.col("l_partkey").alias("s2"), F.col("l_suppkey").alias("s3")).alias(SEQ),
+    )
+
+
 # --------------------------------------------------------------------------- silver over the roles
 def silver_players(spark: SparkSession, sf_dir: str, method: str = "max_by") -> DataFrame:
     recs = player_records(spark, sf_dir)

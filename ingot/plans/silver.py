@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ingot.functions.expr import FieldAccessor, json_fields, player_id_text, s_or, stage_fields, text_or
 from ingot.operators.dedup import FIRST_SEQ, SEQ, latest_wins
-from ingot.schema import SILVER_INJURY_KEYS, SILVER_LEAGUE_KEYS, SILVER_PLAYER_KEYS, SILVER_ROSTER_KEYS
+from ingot.schema import SILVER_INJURY_KEYS, SILVER_LEAGUE_KEYS, SILVER_MATCHUP_KEYS, SILVER_PLAYER_KEYS, SILVER_ROSTER_KEYS
 
 
 def public(df: DataFrame) -> DataFrame:
@@ -113,6 +113,22 @@ def rosters(
     return latest_wins(conformed, ["league_id", "roster_id"]).select(*SILVER_ROSTER_KEYS, SEQ, FIRST_SEQ)
 
 
+# --------------------------------------------------------------------------- matchups
+def conform_matchups(records: DataFrame, fields: FieldAccessor | None = None, seq: str = SEQ) -> DataFrame:
+    """Raw matchup record -> silver columns; records without league, week or roster are dropped, a bye has no matchup_id."""
+    f = fields or json_fields()
+    conformed = records.select(
+        f("league_id").text().alias("league_id"), f("week").as_int().alias("week"), f("matchup_id").text().alias("matchup_id"),
+        f("roster_id").text().alias("roster_id"), f("points").as_float().alias("points"), F.col(seq).alias(SEQ),
+    )
+    return conformed.where(F.col("league_id").isNotNull() & F.col("week").isNotNull() & F.col("roster_id").isNotNull())
+
+
+def matchups(records: DataFrame, fields: FieldAccessor | None = None, seq: str = SEQ) -> DataFrame:
+    """Silver matchups, latest record per (league_id, week, roster_id) wins: a roster plays one matchup a week."""
+    return latest_wins(conform_matchups(records, fields, seq), ["league_id", "week", "roster_id"]).select(*SILVER_MATCHUP_KEYS, SEQ, FIRST_SEQ)
+
+
 def rostered_player_ids(silver_rosters: DataFrame, league_id: str | None = None) -> DataFrame:
     """A4: distinct (league_id, player_id) over the rosters, optionally of one league."""
     r = silver_rosters

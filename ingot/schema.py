@@ -62,6 +62,17 @@ SILVER_ROSTERS = StructType(
 )
 SILVER_ROSTER_KEYS = tuple(f.name for f in SILVER_ROSTERS.fields)
 
+SILVER_MATCHUPS = StructType(
+    [
+        StructField("league_id", StringType(), False),
+        StructField("week", LongType(), False),
+        StructField("matchup_id", StringType(), True),
+        StructField("roster_id", StringType(), False),
+        StructField("points", DoubleType(), True),
+    ]
+)
+SILVER_MATCHUP_KEYS = tuple(f.name for f in SILVER_MATCHUPS.fields)
+
 SILVER_INJURIES = StructType(
     [
         StructField("player_id", StringType(), False),
