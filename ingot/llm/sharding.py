@@ -90,8 +90,8 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Write the documents as Parquet with one folder per shard; returns the directory."""
     prepare(docs.sparkSession)
-    rows = hashed(docs)
-    shards = directory(materialise(rows.select("bytes", "bits"), "sizes"), limit)
+    rows = materialise(hashed(docs), "hashed")  # the places of equal rows are dealt once, and both uses read the same
+    shards = directory(rows.select("bytes", "bits"), limit)
     out = assign(rows, shards).select("_row.*", F.concat(F.lit("s"), F.col("shard")).alias("_shard"))
     out.repartition("_shard").write.partitionBy("_shard").parquet(path)
     return shards
