@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -350,6 +351,62 @@ def test_html_main_text():
     assert html.main_text("<article><p>cut of") == "cut of"
 
 
+LONG = "words that are long enough to count as content in this page, "
+
+
+@pytest.mark.parametrize("page, wanted", [
+    # two articles side by side, each with some of the text
+    (f"<body><nav><a>m</a></nav><article><p>{LONG * 6}</p></article><article><p>{LONG * 4}</p></article></body>", [LONG * 6, LONG * 4]),
+    # names that only look like those of boilerplate
+    (f'<article><h2 id="related-work">Related work</h2><p>{LONG * 5}</p></article>', ["Related work", LONG * 5]),
+    (f'<article><div class="article-header">Part one</div><p>{LONG * 5}</p></article>', ["Part one", LONG * 5]),
+    (f'<article><p>{LONG * 5}</p><div class="share-price">12.50</div><div class="share-buttons">Tell</div></article>', [LONG * 5, "12.50"]),
+    (f'<div class="layout-with-sidebar"><article><p>{LONG}</p></article><div class="right-sidebar">More</div></div>', [LONG]),
+    # without an article: a headline and a last section beside the body
+    (f"<body><div><h1>Headline</h1></div><div><p>{LONG * 9}</p><p>{LONG * 9}</p></div><div><p>{LONG}</p></div></body>",
+     ["Headline", LONG * 9, LONG * 9, LONG]),
+    # reader comments
+    (f'<article><p>{LONG * 5}</p><ol class="commentlist"><li>{LONG * 2}</li></ol></article>', [LONG * 5]),
+    (f'<body><article><p>{LONG * 5}</p></article><ol class="commentlist"><li>{LONG * 3}</li></ol></body>', [LONG * 5]),
+    (f'<article><p>{LONG * 5}</p><article class="comment"><p>{LONG}</p></article></article>', [LONG * 5]),
+])
+def test_html_regions_and_names(page, wanted):
+    assert html.main_text(page) == "\n".join(x.strip() for x in wanted)
+
+
+def test_html_planted_texts():
+    """Pages put together at random from an article's blocks and boilerplate give just the blocks."""
+    rng = random.Random(3)
+    junk = [
+        "<nav><ul><li><a href=x>home</a></li></ul></nav>", '<div class="ad">buy this</div>', "<aside>see also</aside>",
+        "<form>name <input></form>", '<div id="cookie-notice">we use cookies</div>', "<script>var a = '<p>no</p>';</script>",
+        '<section class="comments"><p>first comment of a reader</p></section>', "<!-- hidden -->", '<div role="navigation">menu</div>',
+    ]
+    for _ in range(200):
+        blocks, body = [], []
+        for i in range(rng.randint(1, 12)):
+            text = " ".join(rng.choice(["alpha", "beta &amp;", "g&eacute;", "<b>bold</b>", "a<br>b", "&lt;i&gt;"]) for _ in range(rng.randint(1, 60)))
+            tag = rng.choice(["p", "h2", "li", "blockquote", "div", "section"])
+            plain = text.replace("&amp;", "&").replace("&eacute;", "é").replace("<b>", "").replace("</b>", "").replace("<br>", " ")
+            blocks.append(plain.replace("&lt;", "<").replace("&gt;", ">"))
+            body.append(f"<{tag}>  {text}\n</{tag}>")
+            if rng.random() < 0.4:
+                body.append(rng.choice(junk))
+        around = lambda: "".join(rng.sample(junk, rng.randint(0, 4)))
+        page = f"<html><body><header>Site</header>{around()}<article>{''.join(body)}</article>{around()}<footer>end</footer></body></html>"
+        assert html.main_text(page) == "\n".join(blocks)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>some text " * 20_000, "<a " * 100_000, "<!--" * 100_000, "<article>" * 20_000 + "x",
+    "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<p>" + "<span hidden>" * 20_000 + "</b>" * 20_000,
+])
+def test_html_time_is_linear(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_html_pages(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, ""), (None, "v", "<p>" + "a b " * 50_000, "")]
