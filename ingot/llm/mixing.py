@@ -5,7 +5,7 @@ pass: the documents whose hash lies below a threshold. The threshold comes from
 words by (source, hash bucket): a running sum finds the bucket in which the
 budget ends, and only that bucket is split by the next BITS bits, until the whole hash is
 used. Nothing is sorted by document, a bigger budget takes all that a smaller one took, and
-the hash depends on doc_id alone, so reruns agree.
+the hash depends on doc_id and text alone, so reruns agree.
 
 The partial pass ends at the document that brings the source nearer to its target,
 so a source misses its target by half its boundary document at most. Documents are taken whole.
@@ -14,8 +14,8 @@ Targets: TOTAL times all words, dealt by weight; what a source cannot take (CAP
 the others by weight until none is above. This is one level L with target = min(CAP * size, L * weight), found from
 one row per source in the order in which sources reach their caps.
 
-Edge cases: a null text has size 0; null is a source of its own, the last; rows of one doc_id (null too) share
-a hash and are taken or left together; sources without words have target 0; an empty table gives an
+Edge cases: a null text has size 0; null is a source of its own, the last; rows that share a doc_id (or have none) are dealt each by its
+text, and only rows equal in doc_id and text are taken or left together; sources without words have target 0; an empty table gives an
 empty result. Only doc_id, source and text are read.
 """
 
@@ -34,8 +34,8 @@ BITS = 12  # of each level: a source has 4096 buckets at most
 
 
 def hash_of(doc_id):
-    """The upper 60 bits of the id's MD5, from 0."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+    """The upper 60 bits of the MD5 of the id and the text's MD5, from 0."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text_of())))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -104,24 +104,24 @@ def plan(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_plan(rows: DataFrame, source: str, doc_id: str, per_source: DataFrame) -> DataFrame:
+def _with_plan(rows: DataFrame, source: str, hashed: str, per_source: DataFrame) -> DataFrame:
     """``rows`` beside source_size, target and times: how often the mix takes the row."""
     per = per_source.withColumnRenamed("source", "_s")
     out = rows.join(per, F.col(source).eqNullSafe(F.col("_s")))
-    return out.withColumn("times", F.col("passes") + (hash_of(F.col(doc_id)) <= F.col("threshold")).cast("long"))
+    return out.withColumn("times", F.col("passes") + (F.col(hashed) <= F.col("threshold")).cast("long"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per document."""
     docs = docs.select("doc_id", "source", "text")
-    rows = docs.select("doc_id", "source", F.size(words(text_of())).cast("long").alias("size"))
-    out = _with_plan(rows, "source", "doc_id", plan(docs))
+    rows = docs.select("doc_id", "source", F.size(words(text_of())).cast("long").alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    out = _with_plan(rows, "source", "hash", plan(docs))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix: each document as many times as it is taken; the columns of ``docs``."""
-    rows = keyed(docs, F.col("source"), F.col("doc_id"))
+    rows = keyed(docs, F.col("source"), hash_of(F.col("doc_id")))
     out = _with_plan(rows, "_k1", "_k2", plan(docs)).filter("times > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")
 
@@ -129,7 +129,7 @@ def mix(docs: DataFrame) -> DataFrame:
 ORACLE = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
-    ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint as h
+    ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as h
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] as w from s),

@@ -273,6 +273,18 @@ def test_mixing_handles_repeated_rows_and_one_source(spark):
     assert len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
 
 
+def test_mixing_meets_targets_where_rows_share_an_id(spark):
+    rows = [(None if i % 5 < 3 else i, prose(1000 + i, 25), f"s{i % 4}") for i in range(400)]
+    rows += [(7, prose(5000 + i, 25), "s0") for i in range(100)]
+    got = mixing.mixture(docs_of(spark, rows).select("doc_id", "text", "source")).collect()
+    assert key(tuple(r) for r in got) == key(oracle(mixing.ORACLE, rows))
+    taken = {}
+    for r in got:
+        taken[r["source_size"], r["target"]] = taken.get((r["source_size"], r["target"]), 0) + r["taken"]
+    assert all(abs(n - target) <= 25 for (_, target), n in taken.items())
+    assert sum(taken.values()) == pytest.approx(1.5 * 500 * 25, rel=0.02)
+
+
 @pytest.mark.parametrize("limit", [600, 5000, 10**9])
 def test_shards_match_sql(spark, limit):
     got = sharding.shard_documents(docs_of(spark, MIXED), limit).select("doc_id", "bytes", "shard", "shard_bytes", "shard_docs", "oversized").collect()
