@@ -324,6 +324,17 @@ def q_catalog_full(spark, sf):
     return cat.catalog_store(spark, _store(spark, sf), s["players"], s["league"], s["rosters"])
 
 
+def q_catalog_incremental(spark, sf):
+    """A6 + G5 from deltas: the store's records come to silver in three overlapping batches that are not in order of arrival."""
+    root, silver, counts = _store(spark, sf), scratch_path(configure(spark), "silver"), {}
+    for tbl in bs.KINDS:
+        rows = bronze.parsed_at(spark, root, _SRC, tbl)
+        for without in (0, 2, 1):
+            bs.merge(spark, f"{silver}/{tbl}", rows.where(F.pmod(F.xxhash64("_seq"), F.lit(3)) != without), tbl)
+        counts |= bs.counts(spark, f"{silver}/{tbl}", tbl)
+    return cat.catalog_incremental(spark, root, counts)
+
+
 def q_leagues_missing_store(spark, sf):
     """J4 over a store: of as many league ids as there are parts, those without a roster in bronze, told from the key files."""
     root = _store(spark, sf)
@@ -639,6 +650,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "player_trend_texts": q_player_trend_texts,
     "run_log": q_run_log,
     "catalog_full": q_catalog_full,
+    "catalog_incremental": q_catalog_incremental,
     "sample_bronze": q_sample_bronze,
     "sample_named": q_sample_named,
     "injury_json": q_injury_json,
@@ -901,6 +913,8 @@ _ORACLES: dict[str, str] = {
         p_brand as team from part""",
 }
 
+_ORACLES["catalog_incremental"] = _ORACLES["catalog_full"]
+
 
 def oracle_sql() -> dict[str, str]:
     own = {k: v for k, v in _ORACLES.items() if k in _QUERIES}

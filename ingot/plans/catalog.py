@@ -70,6 +70,15 @@ def catalog_store(spark: SparkSession, root: str, players: DataFrame, leagues: D
     return bronze.catalog_at(spark, root).unionByName(sg)
 
 
+def catalog_incremental(spark: SparkSession, root: str, counts: dict[str, int]) -> DataFrame:
+    """G5 from what the commit log and the silver tables' manifests carry (``counts``, by silver name): no row of any layer is read."""
+    rows = [("silver", n, counts[n]) for n in SILVER_NAMES]
+    # as in the reference, available players are counted without a league
+    rows += [("gold", "available_players", counts["players"]), ("gold", "injury", counts["injuries"])]
+    sg = spark.createDataFrame(rows, "layer string, name string, row_count long")
+    return bronze.catalog_at(spark, root).unionByName(sg.select("layer", F.lit(None).cast("string").alias("source_id"), "name", "row_count"))
+
+
 # --------------------------------------------------------------------------- samples
 def sample(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """L2 for silver/gold: the first ``n`` rows in first-seen order."""

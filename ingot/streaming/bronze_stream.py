@@ -16,6 +16,10 @@ batch, each row being rewritten once for some MAX_RUNS batches, and never the ta
 (latest wins is associative: the winner over runs equals the winner over all rows). Runs go to folders of their own, and a
 new manifest (a line for each run) is published afterwards; nothing that a reader may hold is overwritten, and a crash
 at any point leaves the last manifest. A replay adds the same rows again, which changes nothing.
+
+The manifest also holds the table's counts (A6, G5). A batch changes them by what its keys were before and are now: a key that
+was not there adds one, a record that replaces another takes back what that one counted for. Only the buckets the batch touches are
+read for it, and of those only the columns that decide; merging runs changes no count.
 """
 
 from __future__ import annotations
@@ -24,15 +28,17 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ingot.functions.expr import json_fields
-from ingot.operators.dedup import FIRST_SEQ, SEQ
+from ingot.operators.dedup import FIRST_SEQ, SEQ, latest_wins
 from ingot.plans import silver as sv
-from ingot.schema import SILVER_PLAYER_KEYS
+from ingot.schema import SILVER_LEAGUE_KEYS, SILVER_PLAYER_KEYS, SILVER_ROSTER_KEYS
 from ingot.session import configure
 from ingot.sources import bronze, commits, files
 
@@ -83,56 +89,118 @@ def stream_to_bronze(
 
 
 # --------------------------------------------------------------------------- X2
+@dataclass(frozen=True)
+class Kind:
+    """A silver table that X2 can keep: how records conform, what a key is, and which rows each of its counts is of."""
+
+    conform: Callable[..., DataFrame]
+    keys: tuple[str, ...]
+    columns: tuple[str, ...]
+    counted: dict[str, Callable[[], Column]]
+
+
+def _every() -> Column:
+    return F.lit(True)
+
+
+KINDS = {
+    "players": Kind(sv.conform_players, ("player_id",), SILVER_PLAYER_KEYS, {"players": _every, "injuries": sv.is_injured}),
+    "league": Kind(sv.conform_leagues, ("league_id",), SILVER_LEAGUE_KEYS, {"league": _every}),
+    "rosters": Kind(sv.conform_rosters, ("league_id", "roster_id"), SILVER_ROSTER_KEYS, {"rosters": _every}),
+}
+_COUNTS = "counts"  # the manifest's line that is no run
+
+
 def _manifest(spark: SparkSession, path: str) -> dict[int, list[str]]:
     """bucket -> the folders of its runs."""
     out: dict[int, list[str]] = {}
     for line in files.current(spark, f"{path.rstrip('/')}/_versions"):
         bucket, folder = line.split("\t")
-        out.setdefault(int(bucket), []).append(folder)
+        if bucket != _COUNTS:
+            out.setdefault(int(bucket), []).append(folder)
     return out
 
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """One row per player: the latest winner, with the first of all first-seen sequences."""
-    values = [c for c in SILVER_PLAYER_KEYS if c != "player_id"]
-    return rows.groupBy("player_id").agg(
+def _latest(rows: DataFrame, kind: Kind) -> DataFrame:
+    """One row per key: the latest winner, with the first of all first-seen sequences."""
+    values = [c for c in kind.columns if c not in kind.keys]
+    return rows.groupBy(*kind.keys).agg(
         F.max_by(F.struct(*values, SEQ), F.col(SEQ)).alias("_w"), F.min(FIRST_SEQ).alias(FIRST_SEQ)
-    ).select("player_id", "_w.*", FIRST_SEQ)
+    ).select(*kind.keys, "_w.*", FIRST_SEQ).select(*kind.columns, SEQ, FIRST_SEQ)
 
 
-def _read_runs(spark: SparkSession, folders: list[str]) -> DataFrame:
-    return spark.read.parquet(*folders).select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)
+def _read_runs(spark: SparkSession, folders: list[str], kind: Kind) -> DataFrame:
+    return spark.read.parquet(*folders).select(*kind.columns, SEQ, FIRST_SEQ)
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+def read_current(spark: SparkSession, path: str, table: str = "players") -> DataFrame | None:
     """Silver as last published, or None before the first version."""
     held = _manifest(spark, path)
-    return _latest(_read_runs(spark, sorted(f for runs in held.values() for f in runs))) if held else None
+    return _latest(_read_runs(spark, sorted(f for runs in held.values() for f in runs), KINDS[table]), KINDS[table]) if held else None
+
+
+def recount(spark: SparkSession, path: str, table: str = "players") -> dict[str, int]:
+    """A silver table's counts, from its rows."""
+    kind, rows = KINDS[table], read_current(spark, path, table)
+    if rows is None:
+        return dict.fromkeys(kind.counted, 0)
+    return rows.agg(*[F.count_if(c()).alias(n) for n, c in kind.counted.items()]).first().asDict()
+
+
+def counts(spark: SparkSession, path: str, table: str = "players") -> dict[str, int]:
+    """A silver table's counts as its manifest has them: no row is read, but for one that was published without them."""
+    lines = files.current(spark, f"{path.rstrip('/')}/_versions")
+    held = [line.partition("\t")[2] for line in lines if line.startswith(_COUNTS)]
+    return json.loads(held[0]) if held else recount(spark, path, table)
+
+
+def _changes(spark: SparkSession, kind: Kind, added: list[str], before: list[str]) -> dict[str, int]:
+    """What a run's rows change in the counts, given the earlier runs of its buckets."""
+    marks = [c().alias(n) for n, c in kind.counted.items()]
+    new = _read_runs(spark, added, kind).select(*kind.keys, SEQ, F.struct(*marks).alias("_c"), F.lit(None).cast("boolean").alias("_old"))
+    rows = new
+    if before:
+        old = _read_runs(spark, before, kind).select(*kind.keys, SEQ, F.struct(*marks).alias("_c"), F.lit(True).alias("_old"))
+        rows = new.unionByName(old.join(new.select(*kind.keys), list(kind.keys), "left_semi"))
+    keyed = rows.groupBy(*kind.keys).agg(
+        F.max_by("_c", SEQ).alias("now"), F.max_by("_c", F.when(F.col("_old"), F.col(SEQ))).alias("was")  # a null order never wins
+    )
+    change = [(F.count_if(F.col("now")[n]) - F.count_if(F.coalesce(F.col("was")[n], F.lit(False)))).alias(n) for n in kind.counted]
+    return keyed.agg(*change).first().asDict()
 
 
-def _write_run(spark: SparkSession, path: str, rows: DataFrame) -> dict[int, str]:
+def _write_run(spark: SparkSession, path: str, rows: DataFrame, kind: Kind) -> dict[int, str]:
     """Write silver rows as one run for each bucket that has any; bucket -> folder."""
-    bucket = F.pmod(F.xxhash64("player_id"), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64(*kind.keys), F.lit(BUCKETS)).cast("int")
     version = f"{path}/v={uuid.uuid4().hex}"
     rows = rows.withColumn("_bucket", bucket).hint("rebalance", "_bucket")  # few files for a small run, several for a large bucket
-    rows.sortWithinPartitions("_bucket", "player_id").write.partitionBy("_bucket").parquet(version)
+    rows.sortWithinPartitions("_bucket", *kind.keys).write.partitionBy("_bucket").parquet(version)
     return {int(n.partition("=")[2]): f"{version}/{n}" for n in files.names(spark, version) if n.startswith("_bucket=")}
 
 
-def merge_players(spark: SparkSession, path: str, new_records: DataFrame) -> DataFrame | None:
-    """One X2 step: the conformed new records become a run, buckets with too many runs are merged, and both are published."""
-    path = path.rstrip("/")
-    new = sv.conform_players(new_records, json_fields()).withColumn(FIRST_SEQ, F.col(SEQ))
+def merge(spark: SparkSession, path: str, new_records: DataFrame, table: str = "players") -> DataFrame | None:
+    """One X2 step: the conformed new records become a run, buckets with too many runs are merged, and both are published with the counts."""
+    path, kind = path.rstrip("/"), KINDS[table]
+    new = latest_wins(kind.conform(new_records, json_fields()), kind.keys).select(*kind.columns, SEQ, FIRST_SEQ)
     held = _manifest(spark, path)
-    added = _write_run(spark, path, _latest(new.select(*SILVER_PLAYER_KEYS, SEQ, FIRST_SEQ)))
+    added = _write_run(spark, path, new, kind)
+    if not added:
+        return read_current(spark, path, table)
+    change = _changes(spark, kind, list(added.values()), [f for b in added for f in held.get(b, [])])
+    now = {n: c + change[n] for n, c in counts(spark, path, table).items()}
     for b, folder in added.items():
         held.setdefault(b, []).append(folder)
     full = {b: runs for b, runs in held.items() if len(runs) > MAX_RUNS}
     if full:
-        held |= {b: [f] for b, f in _write_run(spark, path, _latest(_read_runs(spark, [f for runs in full.values() for f in runs]))).items()}
-    if added:
-        files.publish(spark, f"{path}/_versions", "\n".join(f"{b}\t{f}" for b, runs in sorted(held.items()) for f in runs))
-    return read_current(spark, path)
+        rows = _latest(_read_runs(spark, [f for runs in full.values() for f in runs], kind), kind)
+        held |= {b: [f] for b, f in _write_run(spark, path, rows, kind).items()}
+    lines = [f"{b}\t{f}" for b, runs in sorted(held.items()) for f in runs]
+    files.publish(spark, f"{path}/_versions", "\n".join([*lines, f"{_COUNTS}\t{json.dumps(now)}"]))
+    return read_current(spark, path, table)
+
+
+def merge_players(spark: SparkSession, path: str, new_records: DataFrame) -> DataFrame | None:
+    return merge(spark, path, new_records, "players")
 
 
 def vacuum_silver(spark: SparkSession, path: str, older_than: float = bronze.RETENTION) -> int:
@@ -154,7 +222,7 @@ def incremental_silver(
     spark: SparkSession, root: str, silver_path: str, source_id: str = "league_api", tbl: str = "players",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Keep ``silver_path`` up to date with new bronze player rows."""
+    """Keep ``silver_path`` up to date with new bronze rows of players, leagues or rosters."""
     configure(spark)
     log = f"{root.rstrip('/')}/{commits.LOG_DIR}"
     entries = spark.readStream.format("text").option("wholetext", True).load(log)
@@ -170,7 +238,7 @@ def incremental_silver(
         rows = bronze.read_commits(spark, root, paths, source_id, tbl)
         if rows is None:  # compacted and vacuumed by now: their rows are among those of the table
             rows = bronze.scan(spark, root, source_id, tbl)
-        merge_players(spark, silver_path, bronze.parsed(rows))
+        merge(spark, silver_path, bronze.parsed(rows), tbl)
 
     return (
         entries.writeStream.foreachBatch(step)

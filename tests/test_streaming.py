@@ -4,7 +4,7 @@ import json
 
 from ingot.functions.expr import json_fields
 from ingot.plans import silver as sv
-from ingot.sources import bronze
+from ingot.sources import bronze, files
 from ingot.streaming import bronze_stream as bs
 
 
@@ -66,3 +66,41 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     assert bs.merge_players(spark, silver, make(["q7"])).count() == 200
     second = bs._manifest(spark, silver)
     assert sum(first[b] != second[b] for b in second) == 1
+
+
+def test_counts_follow_replaced_records(spark, tmp_path):
+    def records(batch, recs):
+        rows = spark.createDataFrame([(json.dumps(x),) for x in recs], "j string")
+        return bronze.parsed(bronze.records_from_json_column(rows, "j", "s", "t", batch_id=batch))
+
+    path = str(tmp_path / "players")
+    assert bs.counts(spark, path) == {"players": 0, "injuries": 0}
+    hurt, well = {"injury_status": "Out"}, {"status": "Active"}
+    steps = [
+        (2, [{"player_id": f"p{i}", **(hurt if i < 5 else well)} for i in range(20)], (20, 5)),
+        (3, [{"player_id": "p1", **well}, {"player_id": "p9", **hurt}, {"player_id": "p10", **hurt}, {"name": "no id"}], (20, 6)),
+        (1, [{"player_id": "p0", **well}, {"player_id": "old", **hurt}], (21, 7)),  # came late: p0 stays as it is
+        (3, [{"player_id": "p1", **well}, {"player_id": "p9", **hurt}, {"player_id": "p10", **hurt}], (21, 7)),  # a replay
+        (4, [{"player_id": "p1", **hurt}, {"player_id": "p1", **well}], (21, 7)),
+        (5, [{"player_id": f"p{i}", **well} for i in range(20)], (21, 1)),  # more than MAX_RUNS: merged
+        (6, [{"name": "no id"}], (21, 1)),
+    ]
+    for batch, recs, (players, injuries) in steps:
+        bs.merge(spark, path, records(batch, recs))
+        assert bs.counts(spark, path) == bs.recount(spark, path) == {"players": players, "injuries": injuries}
+    for tbl, recs, n in [
+        ("league", [{"league_id": "1", "name": "a"}, {"league_id": "1", "name": "b"}, {"league_id": 0}], 1),
+        ("rosters", [{"league_id": "1", "roster_id": 1, "players": ["x"]}, {"league_id": "1", "roster_id": 2}, {"league_id": "1"}], 2),
+    ]:
+        for batch in (1, 2):
+            bs.merge(spark, str(tmp_path / tbl), records(batch, recs), tbl)
+        assert bs.counts(spark, str(tmp_path / tbl), tbl) == {tbl: n}
+
+
+def test_counts_of_a_manifest_without_them(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    rows = bronze.parsed(bronze.records_from_json_column(spark.createDataFrame([('{"player_id": "a"}',)], "j string"), "j", "s", "t"))
+    bs.merge(spark, path, rows)
+    lines = [x for x in files.current(spark, f"{path}/_versions") if not x.startswith("counts")]
+    files.publish(spark, f"{path}/_versions", "\n".join(lines))
+    assert bs.counts(spark, path) == {"players": 1, "injuries": 0}
