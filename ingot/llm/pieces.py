@@ -10,7 +10,7 @@
    best path by summed scores (Viterbi), for a model whose type is BPE to what its merges, in order of score, leave.
    A BPE model's encoding is defined by its merges, and the best path by its scores is another one for many
    words, so Viterbi would not give the right ids there.
-4. The most frequent segments, HEAD at most, go to the tasks as a dictionary;
+4. The most frequent segments, of HEAD bytes with their ids at most, go to the tasks as a dictionary;
    the other segments of a document are joined to it from the segment table.
 
 Decoding looks the ids' bytes up in an array and reads them as UTF-8.
@@ -40,7 +40,8 @@ ships(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-HEAD = 1 << 22  # segments in the tasks' dictionary, at most: some 150 MB
+HEAD = 64 << 20  # bytes of the tasks' dictionary, at most
+ENTRY = 24  # bytes of an entry besides its ids: a digest and an end
 CACHE = 100_000  # words whose ids a task remembers, at most
 PER_TASK = 20_000  # segments of a lattice partition, about
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, as in SentencePiece
@@ -238,12 +239,15 @@ def pack_batches(batches):
 
 
 def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
-    """The segments above the count at which ``most`` at most are left: sorted keys, ends and ids; and that count's step."""
+    """The most frequent segments, of ``most`` bytes at most: sorted keys, ends and ids; and the step of counts from which on they are in it.
+
+    Frequencies are taken in steps of an eighth of a doubling; a step is in the head whole or not at all.
+    """
     step = F.floor(8 * F.log2(F.col("n")))
-    by = sorted(table.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"])  # 500 rows at most
+    by = table.groupBy(step.alias("b")).agg(F.sum(F.size("ids") * 4 + ENTRY).alias("bytes")).collect()  # 500 rows at most
     total, least = 0, None
-    for r in by:
-        total += r["count"]
+    for r in sorted(by, key=lambda r: -r["b"]):
+        total += r["bytes"]
         if total > most:
             break
         least = r["b"]
@@ -253,12 +257,15 @@ def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
     rows = table.filter(step >= least).select("seg", "ids").mapInArrow(pack_batches, "key binary, ids binary").toArrow()
     if not rows.num_rows:
         return empty, least
-    # plain buffers: millions of entries are some 30 bytes each
+    # plain buffers: an entry is ENTRY bytes and its ids
     keys = np.frombuffer(rows.column(0).combine_chunks().buffers()[2], "V16", count=rows.num_rows)
     order = np.argsort(keys.view(np.uint64).reshape(-1, 2)[:, 0], kind="stable")
-    ids = rows.column(1).combine_chunks().take(pa.array(order))
+    keys = keys[order]
+    ids = rows.column(1).combine_chunks()
+    del rows  # one copy of the ids at a time
+    ids = ids.take(pa.array(order))
     ends = np.frombuffer(ids.buffers()[1], np.int32, count=len(ids) + 1).astype(np.int64)
-    return (keys[order], ends, ids.buffers()[2].to_pybytes()), least
+    return (keys, ends, ids.buffers()[2].to_pybytes()), least
 
 
 class _Encoder:
