@@ -1,15 +1,16 @@
 """Operator 4: SentencePiece encoding and decoding on a relational lattice.
 
-1. A text is cut into segments that no piece of the model can cross: a run of
-   word marks with the letters, or with the other characters, that follow. The distinct segments of all
-   documents are counted.
+1. A text is cut into segments that no piece of the model can cross: a word with its marks, cut between every two
+   characters that are never neighbours inside a piece. The distinct segments of all documents are counted.
 2. Lattice: every segment is exploded into its substrings of bounded length,
    these are equi-joined with the piece table (bounded by the model, so it is broadcast), and the
    matches are grouped by segment as edges.
 3. Each segment's edges are folded with higher-order ``aggregate``: for a unigram model to the
    best path by summed scores (Viterbi), for a model whose type is BPE to what its merges, in order of score, leave.
    A BPE model's encoding is defined by its merges, and the best path by its scores is another one for many
-   words, so Viterbi would not give the right ids there.
+   words, so Viterbi would not give the right ids there. The fold takes the square of a segment's length, so a
+   segment of more than LONG characters (a run without any cut) is encoded by a queue of merges, or by a plain
+   best path, in the task that holds it.
 4. The most frequent segments, of HEAD bytes with their ids at most, go to the tasks as a dictionary;
    the other segments of a document are joined to it from the segment table.
 
@@ -26,10 +27,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +44,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 64 << 20  # bytes of the tasks' dictionary, at most
 ENTRY = 24  # bytes of an entry besides its ids: a digest and an end
-CACHE = 100_000  # words whose ids a task remembers, at most
+CACHE = 100_000  # words whose ids a task remembers, at most, twice over
+LONG = 256  # characters of a segment that is folded in the lattice, at most
+GROUP = 1 << 18  # characters of the texts whose words are looked up at once, about
 PER_TASK = 20_000  # segments of a lattice partition, about
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, as in SentencePiece
 
-SEGMENT = regex.compile(rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}]+|{MARK}+")
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -71,9 +74,8 @@ class Model:
             raise ValueError("only models that keep the text and put a mark before it are supported")
         every = list(enumerate(proto.pieces))
         pieces = [(p.piece, i, p.score) for i, p in every if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
-        crossed = [p for p, _, _ in pieces if SEGMENT.findall(p) != [p]]
-        if crossed:
-            raise ValueError(f"pieces cross the segments' borders: {crossed[:5]}")
+        if any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
+            raise ValueError("pieces cross the words' borders")
         first = next((i for i, p in every if p.type == kinds.BYTE), 0)
         if [p.piece for p in proto.pieces[first : first + 256]] != [f"<0x{b:02X}>" for b in range(256)]:
             raise ValueError("the model has no row of byte pieces")
@@ -84,6 +86,11 @@ class Model:
         merges = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
         return cls(pieces, first, hexes, lowest - UNKNOWN_PENALTY, max(len(p) for p, _, _ in pieces), merges)
 
+    @property
+    def pairs(self) -> frozenset[str]:
+        """The pairs of characters that are neighbours inside a piece."""
+        return frozenset(a + b for p, _, _ in self.pieces for a, b in zip(p, p[1:]))
+
 
 def words_of(text: str) -> list[str]:
     """The marked words of a text, without the one mark that each begins with; joined by marks they give the text."""
@@ -94,46 +101,55 @@ def words_of(text: str) -> list[str]:
     return [w[1:] for w in MARKED_WORD.findall(MARK + text.replace(" ", MARK))]
 
 
-def count_batches(batches):
+def segments_of(marked: str, pairs: frozenset[str]) -> list[str]:
+    """A marked word, cut between all neighbours that no piece has."""
+    cuts = [i for i, p in enumerate(map(add, marked, marked[1:]), 1) if p not in pairs]
+    if not cuts:
+        return [marked]
+    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
+
+
+def count_batches(pairs: frozenset[str]):
     """For mapInArrow over (text): seg, n: the segments with their counts so far."""
 
     def flush(seen):
         total = Counter()
         for w, n in seen.items():
-            for s in SEGMENT.findall(MARK + w):
+            for s in segments_of(MARK + w, pairs):
                 total[s] += n
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seg", "n"])
 
-    seen: Counter = Counter()
-    for b in batches:
-        for t in b.column(0):
-            seen.update(words_of(t.as_py()))
-            if len(seen) > 2 * CACHE:
-                yield flush(seen)
-                seen = Counter()
-    yield flush(seen)
+    def run(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(words_of(t.as_py()))
+                if len(seen) > 2 * CACHE:
+                    yield flush(seen)
+                    seen = Counter()
+        yield flush(seen)
+
+    return run
 
 
 # --------------------------------------------------------------------------- the lattice
 
-_EDGE = "struct<e:int,s:int,score:double,id:int>"
-
+def edges(segments: DataFrame, model: Model, ranked: bool = False) -> DataFrame:
+    """Per segment (seg, n): edges (e, s, score, id), by end and start; id -1 stands for a character without a piece.
 
-def edges(segments: DataFrame, model: Model) -> DataFrame:
-    """Per segment (seg, n): edges, sorted by end and start; id -1 stands for a character without a piece."""
-    spark = segments.sparkSession
-    rows = spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    ``ranked``: (rank, s, e, id) instead, the single characters from the left, then the others by falling score and start.
+    """
+    rows = segments.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double")
     n = F.length("seg")
-    parts = F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)),
-            lambda k: F.struct((s + k).alias("e"), s.alias("s"), F.substr(F.col("seg"), s + 1, k).alias("piece")),
-        ),
-    ))
-    parts = segments.select("seg", "n", F.inline(parts))
+    starts = segments.select("seg", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))
+    parts = starts.select("seg", "n", "s", F.explode(sizes).alias("k"))
+    parts = parts.select("seg", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.substr(F.col("seg"), F.col("s") + 1, F.col("k")).alias("piece"))
     found = parts.join(F.broadcast(rows), "piece", "left").filter("id is not null or e - s = 1")
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    score, at = F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")
+    edge = F.struct("e", "s", score, at)
+    if ranked:
+        edge = F.struct(F.when(F.col("e") - F.col("s") > 1, -score).alias("rank"), "s", "e", at)  # nulls come first
     return found.groupBy("seg", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
@@ -173,18 +189,14 @@ def best_path(edges: Column) -> Column:
     return let(let(end, lambda a: F.concat(a["done"], F.array(a["best"]))), back)
 
 
-def merged_path(edges: Column) -> Column:
-    """BPE: the pieces (s, e, id) after all merges, the highest score and then the leftmost first.
+def merged_path(edges: Column, length: Column) -> Column:
+    """BPE: the pieces (s, e, id) of a segment of ``length`` characters after all merges, the highest score and then the leftmost first.
 
-    A piece outranks every piece that contains it, so one pass in that order makes the merges in theirs.
+    ``edges`` are ranked. A piece outranks every piece that contains it, so one pass in that order makes the merges in theirs.
     """
     symbol = "array<struct<e:int,id:int>>"
-    single = F.filter(edges, lambda x: x["e"] - x["s"] == 1)
-    state = F.transform(single, lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id"))).cast(symbol)
-    longer = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-    ranked = F.sort_array(F.transform(
-        longer, lambda x: F.struct((-x["score"]).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))
-    ))
+    state = F.transform(F.slice(edges, F.lit(1), length), lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id"))).cast(symbol)
+    ranked = F.slice(edges, length + 1, F.size(edges))
     gone = F.struct(F.lit(-1).alias("e"), F.lit(-1).alias("id"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -212,14 +224,78 @@ def ids_of(path: Column, seg: Column, model: Model) -> Column:
     return F.flatten(F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(bytes_at(x["s"]))))
 
 
+def queued(seg: str, table: dict[str, tuple[int, float]], model: Model) -> list[tuple[int, int]]:
+    """BPE of a long segment: starts and ends of what a queue of merges, by score and start, leaves."""
+    after, before = list(range(1, len(seg) + 1)), list(range(-1, len(seg) - 1))
+
+    def merge(s: int, m: int):
+        if 0 <= s and m < len(seg):
+            e = after[m]
+            hit = table.get(seg[s:e]) if e - s <= model.longest else None
+            if hit:
+                return -hit[1], s, m, e
+        return None
+
+    queue = [x for x in (merge(s, s + 1) for s in range(len(seg) - 1)) if x]
+    heapify(queue)
+    while queue:
+        _, s, m, e = heappop(queue)
+        if after[s] != m or after[m] != e:
+            continue  # one of the two is another symbol by now
+        after[s], after[m] = e, -1
+        if e < len(seg):
+            before[e] = s
+        for x in (merge(before[s], s), merge(s, e)):
+            if x:
+                heappush(queue, x)
+    out, s = [], 0
+    while s < len(seg):
+        out.append((s, after[s]))
+        s = after[s]
+    return out
+
+
+def scored(seg: str, table: dict[str, tuple[int, float]], model: Model) -> list[tuple[int, int]]:
+    """Viterbi over a long segment: starts and ends of its best path; of equals the longer last piece."""
+    best, back = [0.0] + [float("-inf")] * len(seg), [0] * (len(seg) + 1)
+    for e in range(1, len(seg) + 1):
+        for s in range(max(0, e - model.longest), e):
+            score = table.get(seg[s:e], (-1, model.unknown) if e - s == 1 else None)
+            if score and best[s] + score[1] > best[e]:
+                best[e], back[e] = best[s] + score[1], s
+    out, e = [], len(seg)
+    while e:
+        out.append((back[e], e))
+        e = back[e]
+    return out[::-1]
+
+
+def long_batches(model: Model):
+    """For mapInArrow over (seg, n): seg, n, ids: segments that are too long to fold."""
+
+    def run(batches):
+        table = {p: (i, score) for p, i, score in model.pieces}
+        path = queued if model.merges else scored
+        for b in batches:
+            ids = []
+            for seg in b.column(0).to_pylist():
+                found = ((seg[s:e], table.get(seg[s:e])) for s, e in path(seg, table, model))
+                ids.append([x for p, hit in found for x in ([hit[0]] if hit else [model.bytes_from + c for c in p.encode()])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["seg", "n", "ids"])
+
+    return run
+
+
 def segment_table(segments: DataFrame, model: Model) -> DataFrame:
     """Per segment (seg, n): ids, by the model's rule."""
     spark = segments.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * PER_TASK))
+    long = F.length("seg") > LONG
     parts = segments.count() // PER_TASK + 1
-    lattice = edges(segments.repartition(parts, "seg"), model)
-    path = (merged_path if model.merges else best_path)(F.col("edges"))
-    return lattice.withColumn("path", path).select("seg", "n", ids_of(F.col("path"), F.col("seg"), model).alias("ids"))
+    lattice = edges(segments.filter(~long).repartition(parts, "seg"), model, model.merges)
+    path = merged_path(F.col("edges"), F.length("seg")) if model.merges else best_path(F.col("edges"))
+    folded = lattice.withColumn("path", path).select("seg", "n", ids_of(F.col("path"), F.col("seg"), model).alias("ids"))
+    return folded.union(segments.filter(long).select("seg", "n").mapInArrow(long_batches(model), "seg string, n long, ids array<int>"))
 
 
 # --------------------------------------------------------------------------- documents
@@ -269,76 +345,112 @@ def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
 
 
 class _Encoder:
-    """A task's view of the dictionary: ids of words, from the head and the document's own rest."""
+    """A task's view of the dictionary: ids of words, looked up many at once."""
 
-    def __init__(self, head):
+    def __init__(self, head, pairs):
         self.keys, self.ends, self.ids = head
-        self.first = self.keys.view(np.uint64).reshape(-1, 2)[:, 0]
-        self.words = {}
-
-    def _segment(self, seg: str) -> bytes | None:
-        key = _digest(seg)
-        want = np.frombuffer(key, np.uint64)[0]
-        at = int(self.first.searchsorted(want))
-        while at < len(self.first) and self.first[at] == want:
-            if self.keys[at].tobytes() == key:
-                return self.ids[self.ends[at] : self.ends[at + 1]]
-            at += 1
-        return None
-
-    def _known(self, w: str) -> bytes | None:
-        got = [self._segment(s) for s in SEGMENT.findall(MARK + w)]
-        if None in got:
-            return None
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[w] = out = b"".join(got)
-        return out
-
-    def missing(self, text: str) -> set[str]:
-        out = set()
-        for w in set(words_of(text)):
-            if w not in self.words and self._known(w) is None:
-                out.update(s for s in SEGMENT.findall(MARK + w) if self._segment(s) is None)
-        return out
-
-    def encode(self, text: str, rest: dict[str, bytes]) -> bytes:
-        out = []
-        for w in words_of(text):
-            got = self.words.get(w)
-            if got is None:
-                got = self._known(w)
+        halves = self.keys.view(np.uint64).reshape(-1, 2)
+        self.first, self.second = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+        self.pairs = pairs
+        self.new, self.old = {}, {}
+
+    def _find(self, segs: list[str]) -> dict[str, bytes]:
+        """The ids of those segments that are in the dictionary."""
+        if not segs or not len(self.first):
+            return {}
+        want = np.frombuffer(b"".join(map(_digest, segs)), np.uint64).reshape(-1, 2)
+        at, found = self.first.searchsorted(want[:, 0]), {}
+        left = np.arange(len(segs))
+        while len(left):  # keys that begin alike are neighbours
+            here = at[left]
+            left = left[here < len(self.first)]
+            left = left[self.first[at[left]] == want[left, 0]]
+            hit = self.second[at[left]] == want[left, 1]
+            for i in left[hit].tolist():
+                k = at[i]
+                found[segs[i]] = self.ids[self.ends[k] : self.ends[k + 1]]
+            left = left[~hit]
+            at[left] += 1
+        return found
+
+    def words(self, texts: list[list[str]]) -> tuple[dict[str, bytes], dict[str, list], dict[str, bytes]]:
+        """Of the words of some texts: ids of those known, segments of those not, and ids of these segments as far as known."""
+        if len(self.new) > CACHE:
+            self.new, self.old = {}, self.new
+        known, fresh = {}, {}
+        for w in set().union(*texts):
+            got = self.new.get(w)
             if got is None:
-                got = b"".join(rest[s] if s in rest else self._segment(s) for s in SEGMENT.findall(MARK + w))
-            out.append(got)
-        return b"".join(out)
-
-
-def rest_batches(head):
+                got = self.old.get(w)
+                if got is None:
+                    fresh[w] = segments_of(MARK + w, self.pairs)
+                    continue
+                self.new[w] = got
+            known[w] = got
+        found = self._find(list({s for segs in fresh.values() for s in segs}))
+        part = {}
+        for w, segs in fresh.items():
+            got = [found.get(s) for s in segs]
+            if None in got:
+                part[w] = segs
+            else:
+                known[w] = self.new[w] = b"".join(got)
+        return known, part, found
+
+
+def _groups(texts):
+    """The words of consecutive texts, of GROUP characters together."""
+    held, size = [], 0
+    for t in texts:
+        t = t.as_py()
+        held.append(words_of(t))
+        size += len(t)
+        if size > GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def rest_batches(head, pairs):
     """For mapInArrow over (_id, _tx, text): _id, _tx, seg: each document's segments outside the head."""
 
     def run(batches):
-        encoder = _Encoder(head.value)
+        encoder = _Encoder(head.value, pairs)
         for b in batches:
-            rows = [(i, s) for i, t in enumerate(b.column(2)) for s in encoder.missing(t.as_py())]
-            at = pa.array([i for i, _ in rows], pa.int64())
+            at, segs = [], []
+            i = 0
+            for group in _groups(b.column(2)):
+                _, part, found = encoder.words(group)
+                for ws in group:
+                    miss = {s for w in part.keys() & set(ws) for s in part[w] if s not in found}
+                    at.extend([i] * len(miss))
+                    segs.extend(miss)
+                    i += 1
+            at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array([s for _, s in rows], pa.string())], names=["_id", "_tx", "seg"]
+                [b.column(0).take(at), b.column(1).take(at), pa.array(segs, pa.string())], names=["_id", "_tx", "seg"]
             )
 
     return run
 
 
-def encode_batches(head):
+def encode_batches(head, pairs):
     """For mapInArrow over (_id, text, rest): _id, text, ids."""
 
     def run(batches):
-        encoder = _Encoder(head.value)
+        encoder = _Encoder(head.value, pairs)
         for b in batches:
-            ids = []
-            for t, rest in zip(b.column(1), b.column(2), strict=True):
-                own = {r["seg"]: np.array(r["ids"], "<i4").tobytes() for r in rest.as_py() or []}
-                ids.append(encoder.encode(t.as_py(), own))
+            ids, rests = [], iter(b.column(2))
+            for group in _groups(b.column(1)):
+                known, part, found = encoder.words(group)
+                for ws in group:
+                    rest = next(rests).as_py()
+                    if part and rest:
+                        found.update((r["seg"], np.array(r["ids"], "<i4").tobytes()) for r in rest)
+                        for w in part.keys() & set(ws):
+                            known[w] = b"".join([found[s] for s in part[w]])
+                    ids.append(b"".join(map(known.__getitem__, ws)))
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype("<i4")
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -360,19 +472,20 @@ def encode_documents(docs: DataFrame, model: Model | None = None, head: int = HE
     model = model or Model.load()
     docs = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_tx"), text_of().alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    counts = docs.select("text").mapInArrow(count_batches, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
+    pairs = model.pairs
+    counts = docs.select("text").mapInArrow(count_batches(pairs), "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
     table = materialise(segment_table(materialise(counts, "segments"), model), "pieces")
     common, least = _head(table, head)
     shared = spark.sparkContext.broadcast(common)
     rare = table if least is None else table.filter(F.floor(8 * F.log2(F.col("n"))) < least)
     rows = docs.select("_id", "text", F.lit(None).cast("array<struct<seg:string,ids:array<int>>>").alias("rest"))
     if rare.limit(1).count():  # segments beyond the dictionary: joined to the documents that hold them
-        rest = docs.mapInArrow(rest_batches(shared), f"_id {kind}, _tx long, seg string").distinct()
+        rest = docs.mapInArrow(rest_batches(shared, pairs), f"_id {kind}, _tx long, seg string").distinct()
         rest = rest.join(rare.select("seg", "ids"), "seg").groupBy("_id", "_tx")
         rest = rest.agg(F.collect_list(F.struct("seg", "ids")).alias("rest")).toDF("_i", "_t", "rest")
         whole = docs.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
         rows = whole.select("_id", "text", "rest")
-    out = rows.mapInArrow(encode_batches(shared), f"_id {kind}, text string, ids array<int>")
+    out = rows.mapInArrow(encode_batches(shared, pairs), f"_id {kind}, text string, ids array<int>")
     back = F.when(F.size("ids") > 0, decode(F.col("ids"), model)).otherwise("")
     return out.select(
         F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids",

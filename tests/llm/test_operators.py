@@ -322,7 +322,7 @@ def test_pieces_match_the_library(spark, head):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     more = [(50, "Hello  world\nfoo é 😀 12345", "a"), (51, " lead and trail  ", "a"), (52, "a.b-c?d   e\t\t\n\n", "a"), (53, "日本語のテキスト ½ ² x²y", "a")]
-    rows = [r for r in ODD if not r[1] or len(r[1]) < 10_000] + more + [(60, prose(9, 3000), "a"), (61, "x" * 2000, "a")]
+    rows = ODD + more + [(60, prose(9, 3000), "a"), (61, "x" * 2000, "a"), (62, "abcabd" * 5000, "a"), (63, "the" * 90 + " é" + "in" * 129, "a")]
     got = pieces.encode_documents(docs_of(spark, rows), head=head).collect()
     want = sorted((-1 if i is None else i, sp.encode(t) if t else []) for i, t, _ in rows)
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["ids"]) for r in got) == want
@@ -338,6 +338,11 @@ def test_best_path_is_the_best(spark):
         assert "".join(r["seg"][x["s"] : x["e"]] for x in r["best"]) == r["seg"]
         score = sum(table[x["id"]][1] if x["id"] >= 0 else model.unknown for x in r["best"])
         assert score == best_score(r["seg"], model)
+    table = {p: (i, score) for p, i, score in model.pieces}
+    for seg in (*segs, "unbelievable" * 30):  # the plain path of segments that are too long to fold
+        found = [seg[s:e] for s, e in pieces.scored(seg, table, model)]
+        assert "".join(found) == seg
+        assert sum(table[x][1] if x in table else model.unknown for x in found) == best_score(seg, model)
 
 
 def test_pieces_empty(spark):
