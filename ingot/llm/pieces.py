@@ -33,6 +33,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +88,9 @@ class Model:
         return cls(pieces, first, hexes, lowest - UNKNOWN_PENALTY, max(len(p) for p, _, _ in pieces), merges)
 
     @property
-    def pairs(self) -> frozenset[str]:
-        """The pairs of characters that are neighbours inside a piece."""
-        return frozenset(a + b for p, _, _ in self.pieces for a, b in zip(p, p[1:]))
+    def pairs(self) -> np.ndarray:
+        """The pairs of characters that are neighbours inside a piece, as sorted numbers."""
+        return np.array(sorted({ord(a) << 21 | ord(b) for p, _, _ in self.pieces for a, b in zip(p, p[1:])}), np.uint64)
 
 
 def words_of(text: str) -> list[str]:
@@ -101,22 +102,31 @@ def words_of(text: str) -> list[str]:
     return [w[1:] for w in MARKED_WORD.findall(MARK + text.replace(" ", MARK))]
 
 
-def segments_of(marked: str, pairs: frozenset[str]) -> list[str]:
-    """A marked word, cut between all neighbours that no piece has."""
-    cuts = [i for i, p in enumerate(map(add, marked, marked[1:]), 1) if p not in pairs]
-    if not cuts:
-        return [marked]
-    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
-
-
-def count_batches(pairs: frozenset[str]):
+def segments_of(words: list[str], pairs: np.ndarray) -> tuple[list[str], list[int]]:
+    """The words, each with a mark before it, cut between all neighbours that no piece has; and where each word's segments begin, and the end."""
+    if not words:
+        return [], [0]
+    joined = MARK + MARK.join(words)
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    near = chars[:-1] << np.uint64(21) | chars[1:]
+    cut = np.ones(len(chars), bool)
+    if len(pairs):
+        cut[1:] = pairs[np.minimum(pairs.searchsorted(near), len(pairs) - 1)] != near
+    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    cut[starts] = True
+    at = np.flatnonzero(cut)
+    ends = [*at[1:].tolist(), len(joined)]
+    return [joined[x:y] for x, y in zip(at.tolist(), ends, strict=True)], [*at.searchsorted(starts).tolist(), len(at)]
+
+
+def count_batches(pairs: np.ndarray):
     """For mapInArrow over (text): seg, n: the segments with their counts so far."""
 
     def flush(seen):
+        segs, firsts = segments_of(list(seen), pairs)
         total = Counter()
-        for w, n in seen.items():
-            for s in segments_of(MARK + w, pairs):
-                total[s] += n
+        for s, n in zip(segs, np.repeat(list(seen.values()), np.diff(firsts)).tolist(), strict=True):
+            total[s] += n
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seg", "n"])
 
     def run(batches):
@@ -352,50 +362,44 @@ class _Encoder:
         halves = self.keys.view(np.uint64).reshape(-1, 2)
         self.first, self.second = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
         self.pairs = pairs
-        self.new, self.old = {}, {}
+        self.known, self.old = {}, {}
 
-    def _find(self, segs: list[str]) -> dict[str, bytes]:
-        """The ids of those segments that are in the dictionary."""
+    def _find(self, segs: list[str]) -> list[bytes | None]:
+        """The ids of segments; None where the dictionary has none."""
+        found = [None] * len(segs)
         if not segs or not len(self.first):
-            return {}
+            return found
         want = np.frombuffer(b"".join(map(_digest, segs)), np.uint64).reshape(-1, 2)
-        at, found = self.first.searchsorted(want[:, 0]), {}
+        at = self.first.searchsorted(want[:, 0])
         left = np.arange(len(segs))
         while len(left):  # keys that begin alike are neighbours
-            here = at[left]
-            left = left[here < len(self.first)]
+            left = left[at[left] < len(self.first)]
             left = left[self.first[at[left]] == want[left, 0]]
             hit = self.second[at[left]] == want[left, 1]
-            for i in left[hit].tolist():
-                k = at[i]
-                found[segs[i]] = self.ids[self.ends[k] : self.ends[k + 1]]
+            k = at[left[hit]]
+            for i, x, y in zip(left[hit].tolist(), self.ends[k].tolist(), self.ends[k + 1].tolist(), strict=True):
+                found[i] = self.ids[x:y]
             left = left[~hit]
             at[left] += 1
         return found
 
-    def words(self, texts: list[list[str]]) -> tuple[dict[str, bytes], dict[str, list], dict[str, bytes]]:
-        """Of the words of some texts: ids of those known, segments of those not, and ids of these segments as far as known."""
-        if len(self.new) > CACHE:
-            self.new, self.old = {}, self.new
-        known, fresh = {}, {}
-        for w in set().union(*texts):
-            got = self.new.get(w)
-            if got is None:
-                got = self.old.get(w)
-                if got is None:
-                    fresh[w] = segments_of(MARK + w, self.pairs)
-                    continue
-                self.new[w] = got
-            known[w] = got
-        found = self._find(list({s for segs in fresh.values() for s in segs}))
-        part = {}
-        for w, segs in fresh.items():
-            got = [found.get(s) for s in segs]
+    def learn(self, texts: list[list[str]]) -> dict[str, list[tuple[str, bytes | None]]]:
+        """Makes ``known`` hold the ids of these texts' words; of words with a segment outside the dictionary returns the segments."""
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        words = set().union(*texts).difference(self.known)
+        again = words & self.old.keys()
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        fresh, part = list(words - again), {}
+        segs, firsts = segments_of(fresh, self.pairs)
+        found = self._find(segs)
+        for w, x, y in zip(fresh, firsts, firsts[1:]):
+            got = found[x:y]
             if None in got:
-                part[w] = segs
+                part[w] = list(zip(segs[x:y], got))
             else:
-                known[w] = self.new[w] = b"".join(got)
-        return known, part, found
+                self.known[w] = got[0] if y - x == 1 else b"".join(got)
+        return part
 
 
 def _groups(texts):
@@ -418,12 +422,11 @@ def rest_batches(head, pairs):
     def run(batches):
         encoder = _Encoder(head.value, pairs)
         for b in batches:
-            at, segs = [], []
-            i = 0
+            at, segs, i = [], [], 0
             for group in _groups(b.column(2)):
-                _, part, found = encoder.words(group)
+                part = encoder.learn(group)
                 for ws in group:
-                    miss = {s for w in part.keys() & set(ws) for s in part[w] if s not in found}
+                    miss = {s for w in part.keys() & set(ws) for s, got in part[w] if got is None}
                     at.extend([i] * len(miss))
                     segs.extend(miss)
                     i += 1
@@ -435,26 +438,41 @@ def rest_batches(head, pairs):
     return run
 
 
+def packed_batches(batches):
+    """For mapInArrow over (_id, _tx, text): the same with compressed texts, as they are shuffled."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        texts = pa.array([pack(t.as_py().encode()) for t in b.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["_id", "_tx", "packed"])
+
+
+def unpacked(texts):
+    """Texts, of compressed ones."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t.as_py()).decode() for t in texts], pa.string())
+
+
 def encode_batches(head, pairs):
-    """For mapInArrow over (_id, text, rest): _id, text, ids."""
+    """For mapInArrow over (_id, text or its compressed bytes, rest): _id, text, ids."""
 
     def run(batches):
         encoder = _Encoder(head.value, pairs)
         for b in batches:
+            texts = unpacked(b.column(1)) if pa.types.is_binary(b.column(1).type) else b.column(1)
             ids, rests = [], iter(b.column(2))
-            for group in _groups(b.column(1)):
-                known, part, found = encoder.words(group)
+            for group in _groups(texts):
+                part = encoder.learn(group)
                 for ws in group:
                     rest = next(rests).as_py()
                     if part and rest:
-                        found.update((r["seg"], np.array(r["ids"], "<i4").tobytes()) for r in rest)
+                        own = {r["seg"]: np.array(r["ids"], "<i4").tobytes() for r in rest}
                         for w in part.keys() & set(ws):
-                            known[w] = b"".join([found[s] for s in part[w]])
-                    ids.append(b"".join(map(known.__getitem__, ws)))
+                            encoder.known[w] = b"".join([own[s] if got is None else got for s, got in part.pop(w)])
+                    ids.append(b"".join(map(encoder.known.__getitem__, ws)))
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype("<i4")
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["_id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, lists], names=["_id", "text", "ids"])
 
     return run
 
@@ -483,8 +501,9 @@ def encode_documents(docs: DataFrame, model: Model | None = None, head: int = HE
         rest = docs.mapInArrow(rest_batches(shared, pairs), f"_id {kind}, _tx long, seg string").distinct()
         rest = rest.join(rare.select("seg", "ids"), "seg").groupBy("_id", "_tx")
         rest = rest.agg(F.collect_list(F.struct("seg", "ids")).alias("rest")).toDF("_i", "_t", "rest")
-        whole = docs.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
-        rows = whole.select("_id", "text", "rest")
+        packed = docs.mapInArrow(packed_batches, f"_id {kind}, _tx long, packed binary")
+        whole = packed.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
+        rows = whole.select("_id", "packed", "rest")
     out = rows.mapInArrow(encode_batches(shared, pairs), f"_id {kind}, text string, ids array<int>")
     back = F.when(F.size("ids") > 0, decode(F.col("ids"), model)).otherwise("")
     return out.select(
