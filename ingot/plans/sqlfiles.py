@@ -23,10 +23,11 @@ LAYERS = ("bronze", "silver", "gold")
 # and ``str(a or b or "")``; same definitions as ingot.functions.expr.
 _FUNCTIONS = (
     # falsy(x, t): x is a VARIANT value, t its str() (try_variant_get(x, '$', 'string')).
-    # to_json runs only for the ambiguous renderings, to tell "0" from 0.
+    # to_json runs only for the ambiguous renderings, to tell "0" from 0. A JSON number that is zero is rendered as 0... or -0...;
+    # other texts aren't cast, as each failed cast costs an exception.
     """CREATE OR REPLACE TEMPORARY FUNCTION falsy(x VARIANT, t STRING) RETURNS BOOLEAN
 RETURN t IS NULL OR t = ''
-  OR ((t IN ('false', '[]', '{}') OR coalesce(try_cast(t AS DOUBLE) = 0, false))
+  OR ((t IN ('false', '[]', '{}') OR CASE WHEN startswith(t, '0') OR startswith(t, '-0') THEN coalesce(try_cast(t AS DOUBLE) = 0, false) ELSE false END)
       AND NOT startswith(to_json(x), '"'))""",
 )
 

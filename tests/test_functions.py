@@ -9,10 +9,12 @@ from ingot.functions.expr import (
     Field,
     column_fields,
     inject_keys,
+    json_fields,
     parse_id_list,
     stage_fields,
     text_or,
 )
+from ingot.session import configure
 
 # (JSON text, Python truthiness of json.loads(text))
 TRUTH = [
@@ -112,3 +114,30 @@ def test_key_injection_payload_wins(spark, payload, expected):
     m = F.from_json("j", "map<string,variant>")
     out = df.select(F.to_json(inject_keys(m, league_id=F.lit("L1"))).alias("o")).first().o
     assert json.loads(out) == {"league_id": "L1", **payload} == expected
+
+
+def test_falsy_casts_only_texts_that_may_be_zero(spark):
+    """Zeros of every rendering are falsy, texts like them aren't, and no cast is tried on other texts (each failed one costs an exception)."""
+    values = ["0", "-0", "0.0", "-0.0", "0e5", "0.000", '"0"', '"0.0"', '" 0"', '"-0"', '"0d"', '""', '"x"', "7", "false", '"false"', "[]", "{}", '"[]"', "null", "0.5", "true", '"+0"']
+    df = spark.createDataFrame([(i, '{"a":' + v + "}") for i, v in enumerate(values)], "i int, j string")
+    f = json_fields()("a")
+    out = df.select("i", F.try_parse_json("j").alias("record_v")).select("i", f.falsy().alias("x"))
+    assert [r.x for r in out.orderBy("i").collect()] == [not json.loads(v) for v in values]
+    from ingot.plans import sqlfiles
+
+    sqlfiles.register_functions(spark)
+    out = df.select("i", F.try_parse_json("j").alias("v")).selectExpr("i", "falsy(try_variant_get(v, '$.a', 'variant'), try_variant_get(v, '$.a', 'string')) AS x")
+    assert [r.x for r in out.orderBy("i").collect()] == [not json.loads(v) for v in values]
+    plan = df.select(F.try_parse_json("j").alias("record_v")).select(f.falsy().alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("StartsWith") < plan.index("try_cast")
+
+
+def test_configure_keeps_methods_the_jvm_compiles(spark):
+    old = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    try:
+        assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "9000")  # the caller's own stays
+        assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "9000"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", old)
