@@ -102,3 +102,16 @@ def test_a_repeated_append_replaces_its_rows(spark, tmp_path):
     bronze.append(rows, root, key="a")
     bronze.append(rows, root)
     assert bronze.scan(spark, root).count() == 10
+
+
+def test_tree_names_are_those_of_the_path(spark):
+    """Source and table as a pattern on the whole path finds them, without one."""
+    files_ = ["file:/r/src/t.jsonl", "file:/r/src/t.jsonl/part-0.txt", "file:/r/a.jsonl/t.jsonl", "file:/r/x.jsonl/src/t.jsonl/p", "file:/r/src/t.v1.jsonl",
+              "file:/r/src/t.jsonl.jsonl", "file:/r/src/.jsonl/p", "file:/r/src/t.jsonl/k=1/p", "file:/r/src/t.json", "s/t.jsonl", "t.jsonl/p", "file:/r/s%20c/t.jsonl/p"]
+    df = spark.createDataFrame([(f,) for f in files_], "f string")
+    src, tbl = bronze._tree_names(F.col("f"))
+    pattern = r"([^/]+)/([^/]+)\.jsonl(?:/[^/]+)?$"
+    for r in df.select("f", src.alias("s"), tbl.alias("t"), *[F.regexp_extract("f", pattern, i).alias(f"p{i}") for i in (1, 2)]).collect():
+        assert (r.s, r.t) == (r.p1, r.p2), r.f
+    plan = df.select(src, tbl)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
