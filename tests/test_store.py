@@ -250,3 +250,32 @@ def test_silver_reads_only_the_fields_it_needs(spark, root):
         assert len(got) == 51 and got["p1"] == "later" and got["p2"] == "N2"
         bronze.compact(spark, root)
     assert [f.variant for f in commits.snapshot(spark, root).of()] == [True]
+
+
+def test_a_record_is_parsed_once_on_its_way_in(spark, root):
+    """The column that says whether a record is malformed and the parsed record come of one parse; keys come of the parsed column."""
+    lines = spark.createDataFrame([(json.dumps({"league_id": i, "n": i}),) for i in range(5)] + [("{bad",), (None,)], "j string")
+    rows = bronze.records_from_json_column(lines, "j", "s", "rosters", variant=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    bronze.append(rows, root, index={"rosters": "league_id"}, variant=True)
+    plain = bronze.records_from_json_column(lines, "j", "s", "rosters")
+    bronze.append(plain, root + "2", index={"rosters": "league_id"}, variant=True)
+    for at in (root, root + "2"):
+        assert sorted((r.record or "", r.is_malformed) for r in bronze.scan(spark, at).collect()) == sorted(
+            [(json.dumps({"league_id": i, "n": i}), False) for i in range(5)] + [("{bad", True), ("", True)])
+        assert sorted(r.key for r in bronze.keys(spark, at, "s", "rosters").collect()) == [str(i) for i in range(5)]
+        assert bronze.parsed_at(spark, at, "s", "rosters").count() == 5
+    bronze.append(rows, root + "3")  # without the parsed column it isn't written
+    assert bronze.scan(spark, root + "3").count() == 7
+
+
+def test_compaction_sorts_a_bounded_number_of_rows_in_a_task(spark, root, monkeypatch):
+    monkeypatch.setattr(bronze, "TASK_ROWS", 10)
+    for i in range(4):
+        bronze.append(rows_of(spark, [{"i": i, "n": n} for n in range(20)]), root)
+    before = held(spark, root)
+    bronze.compact(spark, root)
+    assert held(spark, root) == before
+    folder = commits.snapshot(spark, root).of()
+    assert len(folder) == 1 and folder[0].rows == 80 and folder[0].files >= 6
