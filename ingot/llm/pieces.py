@@ -1,7 +1,8 @@
 """Operator 4: SentencePiece encoding and decoding on a relational lattice.
 
 1. A text is cut into segments that no piece of the model can cross: a word with its marks, cut between every two
-   characters that are never neighbours inside a piece. The distinct segments of all documents are counted.
+   characters that are never neighbours inside a piece. The segments of the words that are frequent in a task are counted, and the
+   most frequent ones, of HEAD bytes with their ids at most, make the dictionary. What is in it changes no result.
 2. Lattice: every segment is exploded into its substrings of bounded length,
    these are equi-joined with the piece table (bounded by the model, so it is broadcast), and the
    matches are grouped by segment as edges.
@@ -11,8 +12,9 @@
    words, so Viterbi would not give the right ids there. The fold takes the square of a segment's length, so a
    segment of more than LONG characters (a run without any cut) is encoded by a queue of merges, or by a plain
    best path, in the task that holds it.
-4. The most frequent segments, of HEAD bytes with their ids at most, go to the tasks as a dictionary;
-   the other segments of a document are joined to it from the segment table.
+4. The dictionary goes to the tasks. The lattice of all other segments is built and folded where the text is, of many segments at
+   once: the same substrings are joined to the same piece table and folded in the same order, as arrays. No text is shuffled, and
+   what a task holds doesn't grow with the input.
 
 Decoding looks the ids' bytes up in an array and reads them as UTF-8.
 
@@ -28,12 +30,10 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +43,10 @@ ships(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-HEAD = 64 << 20  # bytes of the tasks' dictionary, at most
+HEAD = 8 << 20  # bytes of the tasks' dictionary, at most
 ENTRY = 24  # bytes of an entry besides its ids: a digest and an end
-CACHE = 100_000  # words whose ids a task remembers, at most, twice over
+CACHE = 100_000  # words whose ids a task remembers, at most, twice over; and segments
+OFTEN = 8  # times that a word stands in what a task counts at once, for its segments to be counted
 LONG = 256  # characters of a segment that is folded in the lattice, at most
 GROUP = 1 << 18  # characters of the texts whose words are looked up at once, about
 PER_TASK = 20_000  # segments of a lattice partition, about
@@ -120,12 +121,13 @@ def segments_of(words: list[str], pairs: np.ndarray) -> tuple[list[str], list[in
 
 
 def count_batches(pairs: np.ndarray):
-    """For mapInArrow over (text): seg, n: the segments with their counts so far."""
+    """For mapInArrow over (text): seg, n: the segments of frequent words with their counts so far."""
 
     def flush(seen):
-        segs, firsts = segments_of(list(seen), pairs)
+        often = {w: n for w, n in seen.items() if n >= OFTEN}
+        segs, firsts = segments_of(list(often), pairs)
         total = Counter()
-        for s, n in zip(segs, np.repeat(list(seen.values()), np.diff(firsts)).tolist(), strict=True):
+        for s, n in zip(segs, np.repeat(list(often.values()), np.diff(firsts)).tolist(), strict=True):
             total[s] += n
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seg", "n"])
 
@@ -280,17 +282,20 @@ def scored(seg: str, table: dict[str, tuple[int, float]], model: Model) -> list[
     return out[::-1]
 
 
+def ids_along(seg: str, table: dict[str, tuple[int, float]], model: Model) -> list[int]:
+    """The ids of a segment by a queue of merges, or by its best path."""
+    path = queued if model.merges else scored
+    found = ((seg[s:e], table.get(seg[s:e])) for s, e in path(seg, table, model))
+    return [x for p, hit in found for x in ([hit[0]] if hit else [model.bytes_from + c for c in p.encode()])]
+
+
 def long_batches(model: Model):
     """For mapInArrow over (seg, n): seg, n, ids: segments that are too long to fold."""
 
     def run(batches):
         table = {p: (i, score) for p, i, score in model.pieces}
-        path = queued if model.merges else scored
         for b in batches:
-            ids = []
-            for seg in b.column(0).to_pylist():
-                found = ((seg[s:e], table.get(seg[s:e])) for s, e in path(seg, table, model))
-                ids.append([x for p, hit in found for x in ([hit[0]] if hit else [model.bytes_from + c for c in p.encode()])])
+            ids = [ids_along(seg, table, model) for seg in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["seg", "n", "ids"])
 
     return run
@@ -308,6 +313,89 @@ def segment_table(segments: DataFrame, model: Model) -> DataFrame:
     return folded.union(segments.filter(long).select("seg", "n").mapInArrow(long_batches(model), "seg string, n long, ids array<int>"))
 
 
+# --------------------------------------------------------------------------- the lattice of a task's segments
+
+
+def _hash(before: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    return before * np.uint64(0x9E3779B97F4A7C15) + chars + np.uint64(1)
+
+
+def piece_table(model: Model) -> dict[int, tuple]:
+    """By length: the pieces' hashes, sorted, their characters, ids and ranks (0: the highest score)."""
+    rank = np.unique([-score for _, _, score in model.pieces], return_inverse=True)[1] if model.pieces else []
+    out = {}
+    for k in sorted({len(p) for p, _, _ in model.pieces}):
+        rows = [(p, i, r) for (p, i, _), r in zip(model.pieces, rank, strict=True) if len(p) == k]
+        chars = np.frombuffer("".join(p for p, _, _ in rows).encode("utf-32-le"), np.uint32).reshape(-1, k)
+        h = np.zeros(len(rows), np.uint64)
+        for j in range(k):
+            h = _hash(h, chars[:, j])
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two pieces have one hash")
+        at = np.argsort(h)
+        out[k] = (h[at], chars[at], np.array([i for _, i, _ in rows])[at], np.array([r for _, _, r in rows])[at])
+    return out
+
+
+def folded(segs: list[str], table: dict[int, tuple], bytes_from: int) -> list[bytes]:
+    """The ids (4 bytes each) that the merges leave of each of these segments, as :func:`edges`, :func:`merged_path` and :func:`ids_of` do.
+
+    The k-th edges of all segments are folded together: an edge joins two symbols if they are what it spans.
+    """
+    if not segs:
+        return []
+    size = np.fromiter(map(len, segs), np.int64, len(segs))
+    chars = np.frombuffer("".join(segs).encode("utf-32-le"), np.uint32)
+    own, stop = np.repeat(np.arange(len(segs)), size), np.cumsum(size)
+    begin, room = stop - size, np.repeat(stop, size) - np.arange(len(chars))
+    ids, after = np.full(len(chars), -1), np.arange(1, len(chars) + 1)
+    at, h, k, edge = np.arange(len(chars)), _hash(np.zeros(len(chars), np.uint64), chars), 1, []
+    while len(at):  # the substrings of k characters, joined to the pieces of that length
+        if k in table:
+            hashes, letters, number, rank = table[k]
+            x = np.minimum(hashes.searchsorted(h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[x] == h)
+            x, s = x[hit], at[hit]
+            same = (letters[x] == chars[s[:, None] + np.arange(k)]).all(axis=1)
+            x, s = x[same], s[same]
+            if k == 1:
+                ids[s] = number[x]
+            else:
+                edge.append((s, s + k, number[x], rank[x]))
+        k += 1
+        if k > max(table, default=0):
+            break
+        more = room[at] >= k
+        at = at[more]
+        h = _hash(h[more], chars[at + k - 1])
+    if edge:
+        s, e, number, rank = (np.concatenate(x) for x in zip(*edge, strict=True))
+        order = np.lexsort((e, s, rank, own[s]))
+        s, e, number = s[order], e[order], number[order]
+        count = np.bincount(own[s], minlength=len(segs))
+        first = np.cumsum(count) - count
+        by = np.argsort(-count, kind="stable")
+        first, count = first[by], -count[by]
+        for turn in range(-count[0]):
+            i = first[: count.searchsorted(-turn)] + turn  # of the segments with more than ``turn`` edges
+            x, y = s[i], e[i]
+            middle = after[x]
+            fits = (middle > 0) & (middle < y)
+            fits[fits] = after[middle[fits]] == y[fits]
+            x, middle = x[fits], middle[fits]
+            after[x], ids[x], after[middle] = y[fits], number[i[fits]], -1
+    left = np.flatnonzero(after > 0)
+    got, width = ids[left], np.ones(len(left), np.int64)
+    bare = got < 0  # characters without a piece: their bytes
+    c = chars[left[bare]]
+    width[bare] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    flat = np.repeat(got, width)
+    flat[flat < 0] = bytes_from + np.frombuffer(c.tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int64)
+    ends = 4 * np.cumsum(np.bincount(own[left], width, len(segs)).astype(np.int64))
+    data = flat.astype("<i4").tobytes()
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 # --------------------------------------------------------------------------- documents
 
 
@@ -324,13 +412,14 @@ def pack_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["key", "ids"])
 
 
-def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
-    """The most frequent segments, of ``most`` bytes at most: sorted keys, ends and ids; and the step of counts from which on they are in it.
+def _head(counts: DataFrame, model: Model, most: int) -> tuple:
+    """The most frequent segments, of ``most`` bytes at most: sorted keys, ends and ids.
 
-    Frequencies are taken in steps of an eighth of a doubling; a step is in the head whole or not at all.
+    Frequencies are taken in steps of an eighth of a doubling; a step is in the head whole or not at all. A segment has an id
+    for each of its bytes, at most.
     """
     step = F.floor(8 * F.log2(F.col("n")))
-    by = table.groupBy(step.alias("b")).agg(F.sum(F.size("ids") * 4 + ENTRY).alias("bytes")).collect()  # 500 rows at most
+    by = counts.groupBy(step.alias("b")).agg(F.sum(F.octet_length("seg") * 4 + ENTRY).alias("bytes")).collect()  # 500 rows at most
     total, least = 0, None
     for r in sorted(by, key=lambda r: -r["b"]):
         total += r["bytes"]
@@ -339,10 +428,11 @@ def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
         least = r["b"]
     empty = np.empty(0, "V16"), np.zeros(1, np.int64), b""
     if least is None:
-        return empty, None
-    rows = table.filter(step >= least).select("seg", "ids").mapInArrow(pack_batches, "key binary, ids binary").toArrow()
+        return empty
+    rows = segment_table(counts.filter(step >= least), model)
+    rows = rows.select("seg", "ids").mapInArrow(pack_batches, "key binary, ids binary").toArrow()
     if not rows.num_rows:
-        return empty, least
+        return empty
     # plain buffers: an entry is ENTRY bytes and its ids
     keys = np.frombuffer(rows.column(0).combine_chunks().buffers()[2], "V16", count=rows.num_rows)
     order = np.argsort(keys.view(np.uint64).reshape(-1, 2)[:, 0], kind="stable")
@@ -351,18 +441,18 @@ def _head(table: DataFrame, most: int) -> tuple[tuple, int | None]:
     del rows  # one copy of the ids at a time
     ids = ids.take(pa.array(order))
     ends = np.frombuffer(ids.buffers()[1], np.int32, count=len(ids) + 1).astype(np.int64)
-    return (keys, ends, ids.buffers()[2].to_pybytes()), least
+    return keys, ends, ids.buffers()[2].to_pybytes()
 
 
 class _Encoder:
-    """A task's view of the dictionary: ids of words, looked up many at once."""
+    """A task's ids of words: of those it met, by the dictionary, or by the lattice of their segments."""
 
-    def __init__(self, head, pairs):
+    def __init__(self, head, pairs, table, plain):
         self.keys, self.ends, self.ids = head
         halves = self.keys.view(np.uint64).reshape(-1, 2)
         self.first, self.second = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
-        self.pairs = pairs
-        self.known, self.old = {}, {}
+        self.pairs, self.table, self.model, self.scores = pairs, table, Model(*plain), None
+        self.known, self.old, self.met = {}, {}, {}
 
     def _find(self, segs: list[str]) -> list[bytes | None]:
         """The ids of segments; None where the dictionary has none."""
@@ -383,23 +473,34 @@ class _Encoder:
             at[left] += 1
         return found
 
-    def learn(self, texts: list[list[str]]) -> dict[str, list[tuple[str, bytes | None]]]:
-        """Makes ``known`` hold the ids of these texts' words; of words with a segment outside the dictionary returns the segments."""
+    def _meet(self, segs: list[str]) -> None:
+        """Makes ``met`` hold the ids of these segments."""
+        if len(self.met) > CACHE:
+            self.met = {}
+        new = list(set(segs).difference(self.met))
+        self.met.update(zip(new, self._find(new), strict=True))
+        rest = [s for s in new if self.met[s] is None]
+        if self.model.merges:
+            short = [s for s in rest if len(s) <= LONG]
+            self.met.update(zip(short, folded(short, self.table, self.model.bytes_from), strict=True))
+            rest = [s for s in rest if len(s) > LONG]
+        if rest:
+            self.scores = self.scores or {p: (i, score) for p, i, score in self.model.pieces}
+            self.met.update((s, np.array(ids_along(s, self.scores, self.model), "<i4").tobytes()) for s in rest)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes ``known`` hold the ids of these texts' words."""
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
         words = set().union(*texts).difference(self.known)
         again = words & self.old.keys()
         self.known.update(zip(again, map(self.old.__getitem__, again)))
-        fresh, part = list(words - again), {}
+        fresh = list(words - again)
         segs, firsts = segments_of(fresh, self.pairs)
-        found = self._find(segs)
+        self._meet(segs)
+        found = list(map(self.met.__getitem__, segs))
         for w, x, y in zip(fresh, firsts, firsts[1:]):
-            got = found[x:y]
-            if None in got:
-                part[w] = list(zip(segs[x:y], got))
-            else:
-                self.known[w] = got[0] if y - x == 1 else b"".join(got)
-        return part
+            self.known[w] = found[x] if y - x == 1 else b"".join(found[x:y])
 
 
 def _groups(texts):
@@ -416,63 +517,20 @@ def _groups(texts):
         yield held
 
 
-def rest_batches(head, pairs):
-    """For mapInArrow over (_id, _tx, text): _id, _tx, seg: each document's segments outside the head."""
+def encode_batches(shared):
+    """For mapInArrow over (_id, text): _id, text, ids."""
 
     def run(batches):
-        encoder = _Encoder(head.value, pairs)
+        encoder = _Encoder(*shared.value)
         for b in batches:
-            at, segs, i = [], [], 0
-            for group in _groups(b.column(2)):
-                part = encoder.learn(group)
-                for ws in group:
-                    miss = {s for w in part.keys() & set(ws) for s, got in part[w] if got is None}
-                    at.extend([i] * len(miss))
-                    segs.extend(miss)
-                    i += 1
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(segs, pa.string())], names=["_id", "_tx", "seg"]
-            )
-
-    return run
-
-
-def packed_batches(batches):
-    """For mapInArrow over (_id, _tx, text): the same with compressed texts, as they are shuffled."""
-    pack = zstandard.ZstdCompressor(3).compress
-    for b in batches:
-        texts = pa.array([pack(t.as_py().encode()) for t in b.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["_id", "_tx", "packed"])
-
-
-def unpacked(texts):
-    """Texts, of compressed ones."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(t.as_py()).decode() for t in texts], pa.string())
-
-
-def encode_batches(head, pairs):
-    """For mapInArrow over (_id, text or its compressed bytes, rest): _id, text, ids."""
-
-    def run(batches):
-        encoder = _Encoder(head.value, pairs)
-        for b in batches:
-            texts = unpacked(b.column(1)) if pa.types.is_binary(b.column(1).type) else b.column(1)
-            ids, rests = [], iter(b.column(2))
-            for group in _groups(texts):
-                part = encoder.learn(group)
-                for ws in group:
-                    rest = next(rests).as_py()
-                    if part and rest:
-                        own = {r["seg"]: np.array(r["ids"], "<i4").tobytes() for r in rest}
-                        for w in part.keys() & set(ws):
-                            encoder.known[w] = b"".join([own[s] if got is None else got for s, got in part.pop(w)])
-                    ids.append(b"".join(map(encoder.known.__getitem__, ws)))
+            ids = []
+            for group in _groups(b.column(1)):
+                encoder.learn(group)
+                ids.extend(b"".join(map(encoder.known.__getitem__, ws)) for ws in group)
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype("<i4")
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), texts, lists], names=["_id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["_id", "text", "ids"])
 
     return run
 
@@ -488,23 +546,14 @@ def encode_documents(docs: DataFrame, model: Model | None = None, head: int = HE
     """doc_id, n_pieces, ids, decoded (the ids give the text back): one row per document."""
     spark: SparkSession = prepare(docs.sparkSession)
     model = model or Model.load()
-    docs = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_tx"), text_of().alias("text"))
+    docs = docs.select(F.col("doc_id").alias("_id"), text_of().alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
     pairs = model.pairs
     counts = docs.select("text").mapInArrow(count_batches(pairs), "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
-    table = materialise(segment_table(materialise(counts, "segments"), model), "pieces")
-    common, least = _head(table, head)
-    shared = spark.sparkContext.broadcast(common)
-    rare = table if least is None else table.filter(F.floor(8 * F.log2(F.col("n"))) < least)
-    rows = docs.select("_id", "text", F.lit(None).cast("array<struct<seg:string,ids:array<int>>>").alias("rest"))
-    if rare.limit(1).count():  # segments beyond the dictionary: joined to the documents that hold them
-        rest = docs.mapInArrow(rest_batches(shared, pairs), f"_id {kind}, _tx long, seg string").distinct()
-        rest = rest.join(rare.select("seg", "ids"), "seg").groupBy("_id", "_tx")
-        rest = rest.agg(F.collect_list(F.struct("seg", "ids")).alias("rest")).toDF("_i", "_t", "rest")
-        packed = docs.mapInArrow(packed_batches, f"_id {kind}, _tx long, packed binary")
-        whole = packed.join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tx") == F.col("_t")), "left")
-        rows = whole.select("_id", "packed", "rest")
-    out = rows.mapInArrow(encode_batches(shared, pairs), f"_id {kind}, text string, ids array<int>")
+    common = _head(materialise(counts, "segments"), model, head)
+    plain = (model.pieces, model.bytes_from, [], model.unknown, model.longest, model.merges)
+    shared = spark.sparkContext.broadcast((common, pairs, piece_table(model), plain))
+    out = docs.mapInArrow(encode_batches(shared), f"_id {kind}, text string, ids array<int>")
     back = F.when(F.size("ids") > 0, decode(F.col("ids"), model)).otherwise("")
     return out.select(
         F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids",

@@ -345,6 +345,18 @@ def test_best_path_is_the_best(spark):
         assert sum(table[x][1] if x in table else model.unknown for x in found) == best_score(seg, model)
 
 
+def test_pieces_shuffle_no_text(spark):
+    """Whatever the dictionary holds, segments outside it are folded where their text is."""
+    out = pieces.encode_documents(docs_of(spark, ODD), head=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    segs = ["▁hello", "▁unbelievable", "▁ñandú", "▁▁▁foo", "...!!", "▁x", "é日😀", "▁internationalization", "the" * 80]
+    model = pieces.Model.load()
+    table = spark.createDataFrame([(s, 1) for s in segs], "seg string, n long")
+    want = {r["seg"]: np.array(r["ids"], "<i4").tobytes() for r in pieces.segment_table(table, model).collect()}
+    assert dict(zip(segs, pieces.folded(segs, pieces.piece_table(model), model.bytes_from))) == want
+
+
 def test_pieces_empty(spark):
     assert pieces.encode_documents(docs_of(spark, []).limit(0)).count() == 0
 
