@@ -140,13 +140,19 @@ def _bits(marks: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
-def _marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The documents whose place is in the bitmap, found without a shuffle."""
+def _flagged(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The documents with ``marked``: whether their place is in the bitmap, found without a shuffle."""
     place = F.pmod("tx", F.lit(BITS)) + 1
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
-    return found.filter(byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(F.lit(7))).cast("int")) != 0).drop("bucket", "bits")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket", "left")
+    marked = byte.bitwiseAND(F.pow(F.lit(2), at.bitwiseAND(F.lit(7))).cast("int")) != 0
+    return found.withColumn("marked", F.coalesce(marked, F.lit(False))).drop("bucket", "bits")
+
+
+def _marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The documents whose place is in the bitmap."""
+    return _flagged(docs, bits).filter("marked").drop("marked")
 
 
 def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -196,14 +202,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCE
     best = found.filter("kept").groupBy("root").agg(F.min("tx").alias("best"))
     judged = found.join(best, "root", "left").withColumn("stays", F.coalesce(F.col("kept") & (F.col("tx") == F.col("best")), F.lit(False)))
     gone = judged.filter(~F.col("stays")).select("doc_id", "tx").distinct()
-    rows = keyed(docs, F.col("doc_id"), F.xxhash64("text"))
-    same = (F.col("_k1") == F.col("doc_id")) & (F.col("_k2") == F.col("tx"))
-    left = rows.join(materialise(gone), same, "left_anti")
+    gone = materialise(gone, "gone")
     again = judged.filter("stays").groupBy("doc_id", "tx").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
     again = materialise(again.select("doc_id", "tx"))
+    # only rows whose text may be one of those are shuffled
+    rows = keyed(docs, F.col("doc_id"), F.xxhash64("text")).withColumn("tx", F.col("_k2"))
+    rows = _flagged(rows, materialise(_bits(gone.union(again)), "bits")).withColumnRenamed("tx", "_x")
+    same = (F.col("_k1") == F.col("doc_id")) & (F.col("_k2") == F.col("tx"))
+    plain = rows.filter("not marked")
+    left = rows.filter("marked").join(gone, same, "left_anti")
     if not again.limit(1).count():
-        return left.select("_row.*")
+        return plain.union(left).select("_row.*")
     # rows that repeat the one that stays
     many = left.join(again, same, "left_semi").dropDuplicates(["_k1", "_k2"])
     once = left.join(again, same, "left_anti")
-    return once.union(many).select("_row.*")
+    return plain.union(once).union(many).select("_row.*")

@@ -45,11 +45,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HEAD = 8 << 20  # bytes of the tasks' dictionary, at most
 ENTRY = 24  # bytes of an entry besides its ids: a digest and an end
-CACHE = 100_000  # words whose ids a task remembers, at most, twice over; and segments
+CACHE = 200_000  # words whose ids a task remembers, at most, twice over; and segments
 OFTEN = 8  # times that a word stands in what a task counts at once, for its segments to be counted
 LONG = 256  # characters of a segment that is folded in the lattice, at most
 GROUP = 1 << 18  # characters of the texts whose words are looked up at once, about
 PER_TASK = 20_000  # segments of a lattice partition, about
+PLACES = 18  # bits of the places of the pieces' hashes
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, as in SentencePiece
 
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -320,8 +321,12 @@ def _hash(before: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return before * np.uint64(0x9E3779B97F4A7C15) + chars + np.uint64(1)
 
 
+def _place(h: np.ndarray) -> np.ndarray:
+    return h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)
+
+
 def piece_table(model: Model) -> dict[int, tuple]:
-    """By length: the pieces' hashes, sorted, their characters, ids and ranks (0: the highest score)."""
+    """By length: which places hold a piece's hash, the pieces' hashes, sorted, their characters, ids and ranks (0: the highest score)."""
     rank = np.unique([-score for _, _, score in model.pieces], return_inverse=True)[1] if model.pieces else []
     out = {}
     for k in sorted({len(p) for p, _, _ in model.pieces}):
@@ -332,8 +337,9 @@ def piece_table(model: Model) -> dict[int, tuple]:
             h = _hash(h, chars[:, j])
         if len(np.unique(h)) < len(h):
             raise ValueError("two pieces have one hash")
-        at = np.argsort(h)
-        out[k] = (h[at], chars[at], np.array([i for _, i, _ in rows])[at], np.array([r for _, _, r in rows])[at])
+        at, held = np.argsort(h), np.zeros(1 << PLACES, bool)
+        held[_place(h)] = True
+        out[k] = (held, h[at], chars[at], np.array([i for _, i, _ in rows])[at], np.array([r for _, _, r in rows])[at])
     return out
 
 
@@ -352,10 +358,11 @@ def folded(segs: list[str], table: dict[int, tuple], bytes_from: int) -> list[by
     at, h, k, edge = np.arange(len(chars)), _hash(np.zeros(len(chars), np.uint64), chars), 1, []
     while len(at):  # the substrings of k characters, joined to the pieces of that length
         if k in table:
-            hashes, letters, number, rank = table[k]
-            x = np.minimum(hashes.searchsorted(h), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[x] == h)
-            x, s = x[hit], at[hit]
+            held, hashes, letters, number, rank = table[k]
+            hit = np.flatnonzero(held[_place(h)])  # most substrings are no piece
+            x = np.minimum(hashes.searchsorted(h[hit]), len(hashes) - 1)
+            same = hashes[x] == h[hit]
+            x, s = x[same], at[hit[same]]
             same = (letters[x] == chars[s[:, None] + np.arange(k)]).all(axis=1)
             x, s = x[same], s[same]
             if k == 1:

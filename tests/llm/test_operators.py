@@ -345,6 +345,17 @@ def test_best_path_is_the_best(spark):
         assert sum(table[x][1] if x in table else model.unknown for x in found) == best_score(seg, model)
 
 
+def test_near_duplicates_shuffle_no_other_text(spark):
+    """Rows that are surely kept pass beside the join that drops the copies, whatever their number."""
+    copy = prose(800, 60)
+    rows = [(i, prose(i + 900, 60), "a") for i in range(30)] + [(100 + i, copy, "a") for i in range(5)] + [(7, None, "b"), (None, copy, "b")]
+    out = minhash.drop_near_duplicates(docs_of(spark, rows))
+    parts = out._jdf.queryExecution().optimizedPlan().toString().split("Union")
+    assert len(parts) == 2 and "LeftAnti" in parts[1].split("LeftOuter")[1]
+    assert "LeftAnti" not in parts[1].split("LeftOuter")[0]
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in out.collect()) == [-1, *range(7), 7, 7, *range(8, 30), 100]
+
+
 def test_pieces_shuffle_no_text(spark):
     """Whatever the dictionary holds, segments outside it are folded where their text is."""
     out = pieces.encode_documents(docs_of(spark, ODD), head=40)
