@@ -3,14 +3,20 @@
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+import duckdb
 import pytest
 
+import __spark_entry__ as E
 from ingot.functions.expr import json_fields
-from ingot.plans import gold, pipeline
+from ingot.plans import catalog as cat
+from ingot.plans import gold, pipeline, roles
 from ingot.plans import silver as sv
+from ingot.session import at_least_partitions
 from ingot.sources import bronze, commits, files
 from ingot.streaming import bronze_stream as bs
 
+from conftest import SF001
+
 
 def rows_of(spark, values, tbl="t", source_id="s"):
     lines = spark.createDataFrame([(json.dumps(v) if not isinstance(v, str) else v,) for v in values], "j string")
@@ -279,3 +285,64 @@ def test_compaction_sorts_a_bounded_number_of_rows_in_a_task(spark, root, monkey
     assert held(spark, root) == before
     folder = commits.snapshot(spark, root).of()
     assert len(folder) == 1 and folder[0].rows == 80 and folder[0].files >= 6
+
+
+# --------------------------------------------------------------------------- catalog and samples over the store
+def _fields_read(df, among):
+    """Those of some fields that the plan of ``df`` names."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return {f for f in among if f in plan}
+
+
+def test_players_of_chosen_columns(spark, root):
+    """No field is read that only other columns need, and the chosen columns' rows stay the same."""
+    people = [
+        {"player_id": f"p{i % 7}", "display_name": f"N{i}", "team": f"T{i}", "age": str(i), "trending": i / 2,
+         "status": ["Active", "Inactive", ""][i % 3], "injury_status": ["Out", "", None, "Active"][i % 4], "updated_at": f"d{i}"}
+        for i in range(50)
+    ]
+    bronze.append(rows_of(spark, [*people, {"id": 9, "status": "Out"}, {"player_id": 0}], "players"), root, variant=True)
+    recs = bronze.parsed_at(spark, root, "s", "players")
+    full, some = sv.players(recs), sv.players(recs, columns=sv.INJURY_COLUMNS)
+    assert some.columns == [*sv.INJURY_COLUMNS, "_seq", "_first_seq"]
+    assert _fields_read(some, ["injury_status", "display_name", "trending", "updated_at", "team"]) == {"injury_status"}
+    assert sorted(some.collect()) == sorted(full.select(*some.columns).collect()) and some.count() == 8
+    # what is made of them lacks just the columns that they were built without
+    data = cat.silver_gold_datasets(some, sv.leagues(recs), sv.rosters(recs))
+    whole = cat.silver_gold_datasets(full, sv.leagues(recs), sv.rosters(recs))
+    for name in (("silver", "injuries"), ("gold", "injury"), ("gold", "available_players")):
+        columns = data[name].columns
+        assert set(columns) == set(whole[name].columns) - {"name", "position", "team", "age", "trending", "updated_at"}
+        assert sorted(data[name].collect()) == sorted(whole[name].select(*columns).collect())
+
+
+def test_partitions_follow_the_input(spark, monkeypatch):
+    """The line items of 600 KB make many parts of some bytes each, in the order of their sequence."""
+    monkeypatch.setattr(roles, "PART_BYTES", 8 << 10)
+    parts = roles.partitions(spark, SF001)
+    recs = roles.player_records(spark, SF001, ordered=True)
+    assert parts > 10 and recs.rdd.getNumPartitions() == parts
+    seqs = [tuple(r._seq) for r in recs.select("_seq").collect()]
+    assert seqs == sorted(seqs) and len(seqs) == roles.player_records(spark, SF001).count()
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        for asked in (parts, 3):  # a smaller input takes nothing back
+            at_least_partitions(spark, asked)
+            assert int(spark.conf.get(name)) == max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    finally:
+        spark.conf.unset(name)
+
+
+def test_samples_aggregate_the_players_once(spark):
+    """The four datasets of players in sample_named are read from one stored aggregate; the store's player records aren't read again."""
+    df = E.queries()["sample_named"](spark, SF001)
+    read = [str(f) for f in df.inputFiles()]
+    assert read and not any("tbl=players" in f for f in read) and any("tbl=rosters" in f for f in read)
+    _equals_oracle(spark, "sample_named", df)
+
+
+def _equals_oracle(spark, name, df):
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(E.oracle_sql()[name]).fetchall()))
