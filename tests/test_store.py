@@ -346,3 +346,9 @@ def _equals_oracle(spark, name, df):
     for t in ("lineitem", "orders", "customer"):
         con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(E.oracle_sql()[name]).fetchall()))
+
+
+def test_the_catalog_reads_only_what_decides(spark):
+    df = E.queries()["catalog_full"](spark, SF001)
+    assert _fields_read(df, ["injury_status", "display_name", "trending", "updated_at", "team"]) == {"injury_status"}
+    _equals_oracle(spark, "catalog_full", df)
