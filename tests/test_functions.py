@@ -141,3 +141,23 @@ def test_configure_keeps_methods_the_jvm_compiles(spark):
         assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "9000"
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", old)
+
+
+def test_numbers_read_straight_from_the_record_equal_cast_values(spark):
+    """What a field gives read from the record, or staged with its text, is what its value gives when it is cast."""
+    values = [0, 5, -7, 12.9, -0.5, 1e30, 10**18, 10**19, True, False, None, "", "0", "007", "+5", "-3", " 8 ", "9\t", "\u00015", "12.5", "1e3", "n/a", "true",
+              "false", "Infinity", "nan", "1d", "x1", "-", "+", "9" * 18, "9" * 19, "9" * 30, "\u0665", [], [1, None, "x"], {}, {"a": 1}]
+    lines = [(json.dumps({"age": v, "trending": v, "players": v}), i) for i, v in enumerate(values)] + [("{}", len(values))]
+    recs = spark.createDataFrame(lines, "j string, n int").select(F.try_parse_json("j").alias("record_v"), "n")
+    f = json_fields()
+    age, trending, players = (f(n) for n in ("age", "trending", "players"))
+    rows = lambda df: {r.n: str(r) for r in df.collect()}
+    named = lambda a, t, *more: (a.alias("a"), t.alias("t"), *more, "n")
+    cast = recs.select(*named(age.as_int(age.raw), trending.as_float(trending.raw), players.as_str_array(players.raw).alias("p"), age.text(age.raw).alias("x")))
+    direct = recs.select(*named(age.as_int(), trending.as_float(), players.as_str_array().alias("p"), age.text().alias("x")))
+    assert rows(direct) == rows(cast)
+    assert direct._jdf.queryExecution().optimizedPlan().toString().count("VariantType, false") == 0 < cast._jdf.queryExecution().optimizedPlan().toString().count("VariantType, false")
+    staged, s = stage_fields(recs, f, ["age", "trending"], ["n"], {"trending": "double"})
+    assert rows(staged.select(*named(s["age"].as_int(), s["trending"].as_float()))) == rows(cast.select("a", "t", "n"))
+    plan = staged.select(s["trending"].as_float().alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") == 2  # its text and its number: no VARIANT of its own, no cast of one

@@ -1,13 +1,17 @@
 """End-to-end pipeline over landed payloads (Q5, G5-G9) and the driver contract."""
 
 import json
+import time
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ingot.plans import catalog as cat
 from ingot.plans import pipeline
+from ingot.session import scratch_path, shuffles_dropped
 from ingot.sources import bronze
 
 from conftest import SF001
@@ -89,3 +93,45 @@ def test_oracle_parity_small(spark, name):
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
     norm = lambda rows: sorted(tuple(text(v) for v in r) for r in rows)
     assert norm(got) == norm(want)
+
+
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_of_finished_steps_go(spark):
+    before, conf = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(conf, None)
+    with shuffles_dropped(spark):
+        df = spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count()
+        df.write.format("noop").mode("overwrite").save()
+        assert df.count() == len(df.collect()) == len(df.collect()) == 10  # a plan that runs again makes them again
+        until = time.time() + 20
+        while _shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.1)
+        assert not _shuffle_files(spark) - before
+    assert spark.conf.get(conf, None) == held
+
+
+def test_pipeline_run_lands_little_and_everything(spark, monkeypatch):
+    """The landed lines are all there, in order, and take a fraction of their length; of its shuffles nothing is left when it has run."""
+    seen, before = [], _shuffle_files(spark)
+    monkeypatch.setattr(E, "scratch_path", lambda s, n: seen.append(scratch_path(s, n)) or seen[-1])
+    df = E.queries()["pipeline_run"](spark, SF001)
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    landing = Path(seen[0].removeprefix("file:"))
+    for name in ("players", "rosters"):
+        text = sum(len(r.value) + 1 for r in spark.read.text(f"{landing}/{name}/0.jsonl").collect())
+        assert 0 < sum(f.stat().st_size for f in (landing / name / "0.jsonl").iterdir() if not f.name.startswith((".", "_"))) < text / 4
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
+    day = "get_json_object(substring(value, locate(':', value) + 1), '$.updated_at') d"
+    lines = spark.read.text(f"{landing}/players/0.jsonl").selectExpr(day, "_metadata.file_path f", "monotonically_increasing_id() i")
+    days = [r.d for r in lines.orderBy("f", "i").collect()]
+    assert days == [str(d) for (d,) in con.execute("select l_shipdate from lineitem order by 1").fetchall()]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(E.oracle_sql()["pipeline_run"]).fetchall()))
