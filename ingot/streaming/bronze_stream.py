@@ -45,6 +45,7 @@ from ingot.sources import bronze, commits, files
 _BLANK = r"^\s*$"
 BUCKETS = 64
 MAX_RUNS = 4  # of a bucket, before they are merged
+SMALL = 8  # a run that is this many times smaller than the earlier ones of its buckets is joined with them before its changes are counted
 
 
 def stream_to_bronze(
@@ -161,7 +162,10 @@ def _changes(spark: SparkSession, kind: Kind, added: list[str], before: list[str
     rows = new
     if before:
         old = _read_runs(spark, before, kind).select(*kind.keys, SEQ, F.struct(*marks).alias("_c"), F.lit(True).alias("_old"))
-        rows = new.unionByName(old.join(new.select(*kind.keys), list(kind.keys), "left_semi"))
+        size = lambda folders: sum(files.size(spark, f)[0] for f in folders)
+        if size(added) * SMALL < size(before):  # else what the join drops costs less than the join; a key without a new row changes no count
+            old = old.join(new.select(*kind.keys), list(kind.keys), "left_semi")
+        rows = new.unionByName(old)
     keyed = rows.groupBy(*kind.keys).agg(
         F.max_by("_c", SEQ).alias("now"), F.max_by("_c", F.when(F.col("_old"), F.col(SEQ))).alias("was")  # a null order never wins
     )

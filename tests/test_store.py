@@ -1,6 +1,7 @@
 """The store's commit log: concurrent writers, replays, snapshots, compaction, vacuum, key files, counts, streams."""
 
 import json
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
@@ -352,3 +353,47 @@ def test_the_catalog_reads_only_what_decides(spark):
     df = E.queries()["catalog_full"](spark, SF001)
     assert _fields_read(df, ["injury_status", "display_name", "trending", "updated_at", "team"]) == {"injury_status"}
     _equals_oracle(spark, "catalog_full", df)
+
+
+def test_only_strings_are_true_where_texts_are_ambiguous(spark, root):
+    """Of stored and of parsed records the same ids count, and silver players read no field but the age as a VARIANT of its own."""
+    values = [0, "0", 0.0, "0.0", -0.0, "-0", "00", False, "false", True, "true", [], "[]", {}, "{}", [0], None, "", " ", "x", 7, "0x", 1e-400]
+    for n, ids in enumerate((values, [v for v in values if isinstance(v, str)], [0, 3, 0], [False, True])):  # of one type: columns of their own
+        at, people = f"{root}{n}", [{"player_id": v, "id": f"id{i}", "status": v, "age": 5} for i, v in enumerate(ids)]
+        bronze.append(rows_of(spark, people, "players"), at, variant=True)
+        bronze.append(rows_of(spark, people, "players"), at + "t")
+        want = [str(v) if isinstance(v, str) else json.dumps(v) for v in ids if v]
+        players = sv.players(bronze.parsed_at(spark, at, "s", "players"))
+        found = sorted((r["player_id"], r["status"], r["age"]) for r in players.collect())
+        assert found == sorted((r["player_id"], r["status"], r["age"]) for r in sv.players(bronze.parsed_at(spark, at + "t", "s", "players")).collect())
+        named = [i for i, _, _ in found if not i.startswith("id")]
+        assert sorted(named) == sorted({w.replace(" ", "") if w[0] in "[{" else w for w in want})
+    plan = players._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in plan
+
+
+def test_the_incremental_catalog_follows_its_tables_at_once(spark, monkeypatch):
+    """The merges of one table don't wait for those of another, and all nine are made."""
+    done, merge = [], bs.merge
+
+    def noted(session, path, rows, table="players"):
+        done.append((threading.get_ident(), table))
+        return merge(session, path, rows, table)
+
+    monkeypatch.setattr(bs, "merge", noted)
+    df = E.queries()["catalog_incremental"](spark, SF001)
+    assert sorted(t for _, t in done) == sorted(list(bs.KINDS) * 3)
+    assert len({i for i, _ in done}) == len(bs.KINDS)
+    _equals_oracle(spark, "catalog_incremental", df)
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_changes_are_counted_with_and_without_a_join(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(bs, "SMALL", small)
+    path = str(tmp_path / "silver")
+    for batch, (ids, status) in enumerate([(range(30), "Out"), (range(5), "Active"), (range(25, 40), "Active"), ([1, 50], "Out")], 1):
+        rows = bronze.records_from_json_column(
+            spark.createDataFrame([(json.dumps({"player_id": f"p{i}", "status": status}),) for i in ids], "j string"), "j", "s", "players", batch_id=batch)
+        bs.merge(spark, path, bronze.parsed(rows))
+        assert bs.counts(spark, path) == bs.recount(spark, path)
+    assert bs.counts(spark, path) == {"players": 41, "injuries": 22}
