@@ -4,7 +4,8 @@ X1 ``stream_to_bronze``: JSON Lines files landing in a directory are picked
 up by a file stream and appended to bronze by ``foreachBatch``; positions are
 taken directly above the micro-batch scan, as for batch ingest. The checkpoint
 lies in the store by default, so a restarted query resumes where it stopped. A
-micro-batch has one key in the store's commit log, so a replay changes nothing.
+micro-batch has one key in the store's commit log, so a replay changes nothing. The parsed records are kept
+beside the texts, so that silver reads the fields it needs as columns and parses nothing again.
 
 X2 ``incremental_silver``: the stream reads the commit log itself. Entries appear whole, have names of their own
 and are never replaced, so Spark's file stream keeps the offsets, and what a micro-batch merges are the folders that
@@ -39,7 +40,7 @@ from ingot.functions.expr import json_fields
 from ingot.operators.dedup import FIRST_SEQ, SEQ, latest_wins
 from ingot.plans import silver as sv
 from ingot.schema import SILVER_LEAGUE_KEYS, SILVER_PLAYER_KEYS, SILVER_ROSTER_KEYS
-from ingot.session import configure
+from ingot.session import configure, shuffles_dropped
 from ingot.sources import bronze, commits, files
 
 _BLANK = r"^\s*$"
@@ -71,18 +72,20 @@ def stream_to_bronze(
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.where(~F.col("value").rlike(_BLANK)).select(
+        rows = batch.where(~F.col("value").rlike(_BLANK)).withColumn("record_v", F.try_parse_json("value")).select(
             F.lit(0).cast("long").alias("_batch_id"),
             F.lit("").alias("_writer"),
             "_file",
             F.col("_block").cast("long").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"),
             F.col("value").alias("record"),
-            F.try_parse_json("value").isNull().alias("is_malformed"),
+            F.col("record_v").isNull().alias("is_malformed"),
             F.lit(source_id).alias("source_id"),
             F.lit(tbl).alias("tbl"),
+            "record_v",
         )
-        bronze.append(rows, root, [(source_id, tbl)], key=f"{stream}-{batch_id}")
+        with shuffles_dropped(spark):
+            bronze.append(rows, root, [(source_id, tbl)], key=f"{stream}-{batch_id}", variant=True)
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -236,13 +239,14 @@ def incremental_silver(
         now = commits.snapshot(spark, root)
         counts = lambda e: e.get("key") is None or now.keys.get(e["key"], [e["writer"]])[0] == e["writer"]
         adds = [a for e in found if e.get("kind") == "append" and counts(e) for a in e["adds"]]
-        paths = [a["path"] for a in adds if (a["source_id"], a["tbl"]) == (source_id, tbl)]
-        if not paths:
+        ours = [a for a in adds if (a["source_id"], a["tbl"]) == (source_id, tbl)]
+        if not ours:
             return
-        rows = bronze.read_commits(spark, root, paths, source_id, tbl)
+        rows = bronze.parsed_commits(spark, root, ours, source_id, tbl)
         if rows is None:  # compacted and vacuumed by now: their rows are among those of the table
-            rows = bronze.scan(spark, root, source_id, tbl)
-        merge(spark, silver_path, bronze.parsed(rows), tbl)
+            rows = bronze.parsed_at(spark, root, source_id, tbl)
+        with shuffles_dropped(spark):
+            merge(spark, silver_path, rows, tbl)
 
     return (
         entries.writeStream.foreachBatch(step)

@@ -2,11 +2,17 @@
 
 import json
 
+import duckdb
+
+import __spark_entry__ as E
 from ingot.functions.expr import json_fields
 from ingot.plans import silver as sv
-from ingot.sources import bronze, files
+from ingot.session import scratch_path
+from ingot.sources import bronze, commits, files
 from ingot.streaming import bronze_stream as bs
 
+from conftest import SF001
+
 
 def _write(path, recs):
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -104,3 +110,38 @@ def test_counts_of_a_manifest_without_them(spark, tmp_path):
     lines = [x for x in files.current(spark, f"{path}/_versions") if not x.startswith("counts")]
     files.publish(spark, f"{path}/_versions", "\n".join(lines))
     assert bs.counts(spark, path) == {"players": 1, "injuries": 0}
+
+
+def test_streamed_records_are_parsed_once(spark, tmp_path):
+    """A micro-batch keeps its parsed records, and silver reads their fields as columns; text folders and log entries of before are read too."""
+    land, root, silver = tmp_path / "land", str(tmp_path / "store"), str(tmp_path / "silver")
+    _write(land / "a.jsonl", [{"player_id": f"q{i}", "display_name": f"N{i}", "age": str(i)} for i in range(40)])
+    (land / "b.jsonl").write_text('{"player_id": "q1"\n\n{"player_id": "q2", "display_name": "Two"}\n', encoding="utf-8")
+    bs.stream_to_bronze(spark, str(land), root, "league_api", "players").awaitTermination(120)
+    text = spark.createDataFrame([(json.dumps({"player_id": "q3", "display_name": "Three"}),), ("{bad",)], "j string")
+    bronze.append(bronze.records_from_json_column(text, "j", "league_api", "players"), root)
+    assert sorted(f.variant for f in commits.snapshot(spark, root).of()) == [False, True]
+    assert bronze.scan(spark, root).where("is_malformed").count() == 2
+    adds = [{"path": f.path, **({"variant": True} if f.variant else {})} for f in commits.snapshot(spark, root).of()]
+    rows = bronze.parsed_commits(spark, root, adds, "league_api", "players")
+    assert rows.count() == 42
+    assert bronze.parsed_commits(spark, root, [*adds, {"path": "commit=gone/source_id=s/tbl=t"}], "league_api", "players") is None
+    streamed = bronze.parsed_commits(spark, root, [a for a in adds if "variant" in a], "league_api", "players")
+    plan = sv.players(streamed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" not in plan
+    bs.incremental_silver(spark, root, silver).awaitTermination(120)
+    got = {r.player_id: (r.name, r.age) for r in bs.read_current(spark, silver).collect()}
+    assert got == {f"q{i}": (f"N{i}", i) for i in range(40)} | {"q2": ("Two", None), "q3": ("Three", None)}
+
+
+def test_stream_silver_lands_compressed_lines_and_keeps_every_row(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(E, "scratch_path", lambda s, n: seen.setdefault(n, scratch_path(s, n)))
+    df = E.queries()["stream_silver"](spark, SF001)
+    lines = spark.read.text(seen["landing"])
+    length = lines.selectExpr("sum(length(value) + 1) n").first().n
+    assert files.size(spark, seen["landing"])[0] < length / 4
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{SF001}/lineitem.parquet')")
+    assert lines.count() == bronze.scan(spark, seen["store"]).count() == con.execute("select count(*) from lineitem").fetchone()[0]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(E.oracle_sql()["stream_silver"]).fetchall()))
